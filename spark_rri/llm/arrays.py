@@ -17,7 +17,7 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 _powers: dict[str, np.ndarray] = {}
 

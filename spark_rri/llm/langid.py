@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .arrays import LOWER, Rolling, chunks, counts_of, word_hashes, words
 from .sampling import balanced_sample
+from .storage import bounded_batches
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -212,7 +213,7 @@ def detect(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id",
             for part, raw, at in chunks(batch):
                 yield label(part, raw, at, m, with_spans)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, SCHEMA)
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,7 +230,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel | None, id_col: str =
                 yield batch.slice(low, part.num_rows).filter(pc.not_equal(found, UNKNOWN))
                 low += part.num_rows
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
 def label(part: pa.RecordBatch, raw: np.ndarray, at: np.ndarray, m: LanguageModel | None, with_spans: bool) -> pa.RecordBatch:

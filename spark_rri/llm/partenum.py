@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .arrays import LOWER, Rolling, chunks, mix, owners, signed, word_hashes, words
 from .components import components
-from .storage import Scratch, beside
+from .storage import Scratch, beside, bounded_batches
 
 SHINGLE = 5
 LEVELS = 3
@@ -132,7 +132,7 @@ def _sign(value: np.ndarray, at: np.ndarray, sets: np.ndarray, tag: np.ndarray,
 
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
 
 def _profiles(plain: DataFrame) -> DataFrame:

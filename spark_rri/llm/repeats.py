@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import WHITE, Rolling, chunks, owners, words
+from .storage import bounded_batches
 
 #: Fixed values of the contract.
 SYMBOLS = np.zeros(256, bool)
@@ -153,4 +154,4 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, values)], list(COLUMNS))
 
     schema = ", ".join(f"{k} {v}" for k, v in COLUMNS.items())
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)

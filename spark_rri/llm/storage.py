@@ -18,6 +18,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bounded_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """The frame; batches that cross to Python in its session hold at most so many rows, as texts are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 class Scratch:
     """Parquet tables of one query under the shared folder."""
 

@@ -29,7 +29,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .arrays import Rolling, chunks, merged, signed, word_hashes, words
 from .fmindex import FMIndex, repeated_windows
 from .lyndon import longest_elsewhere, suffix_array
-from .storage import Scratch, beside
+from .storage import Scratch, beside, bounded_batches
 from .windows import super_windows
 
 #: Bytes of runs that a shard's index takes at a time, keys whole.
@@ -102,7 +102,7 @@ def by_fm_index(symbols: np.ndarray, at: np.ndarray, asked: np.ndarray, width: i
 
 def _plain(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     text = F.col(text_col).cast("binary")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"), *more)
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"), *more)
 
 
 def _same_row(a: str, b: str) -> Column:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, Rolling, chunks, signed, word_hashes, words
+from .storage import bounded_batches
 
 #: Documents are searched for longer matches first, from this many words down to min_match.
 FIRST_SEARCH = 64
@@ -171,7 +172,7 @@ def _scan(batches: Iterator[pa.RecordBatch], bench: Benchmark, coverage: float)
 
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
@@ -256,4 +257,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
                 yield batch.slice(low, part.num_rows).filter(clean)
                 low += part.num_rows
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

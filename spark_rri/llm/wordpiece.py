@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import bounded_batches
+
 CACHE_WORDS = 1_000_000
 _automata: dict[str, PieceAutomaton] = {}
 
@@ -110,4 +112,4 @@ def count_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                     x.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out)], ["doc_id", "n_words", "n_tokens", "n_unknown"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long")
