@@ -9,8 +9,9 @@ this could hide a link signs again under another hash (``LEVELS`` times, then it
 its empty parts), and both sets of a hidden link are in that case, so none is lost.
 
 Sets stand for all documents with the same shingles, so copies never meet. Sets that share a
-signature are first compared with one hub each (the smallest set they meet); only signatures
-whose sets are then still in different components give further pairs. Where such a signature
+signature are first compared with one hub each (of the smallest sets they meet, the one met
+most often); only signatures whose sets are then still in different components give further
+pairs. Pairs whose sizes or parity sketches rule a link out are not compared. Where such a signature
 has more than ``max_bucket`` sets, its sets sign again within it under a new hash, which
 keeps true pairs together and parts the others.
 
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, Rolling, chunks, mix, owners, signed, word_hashes, words
@@ -38,6 +39,8 @@ LEVELS = 3
 #: Similarity of at least 80 / 100.
 OVER, UNDER = 80, 100
 SEEN_SETS = 200_000
+SKETCH = 8
+SKETCHES = [f"p{k}" for k in range(SKETCH)]
 #: After so many new hashes within a large signature, its remaining pairs are compared one by one.
 REFINEMENTS = 2
 
@@ -131,6 +134,17 @@ def _sign(value: np.ndarray, at: np.ndarray, sets: np.ndarray, tag: np.ndarray,
         _sign(value, at, sets[short], tag[short], seed, level + 1, who, sigs)
 
 
+def parities(value: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sets x SKETCH numbers of 64 bits: whether an odd number of shingles falls on each bit.
+
+    The bits in which two sketches differ are at most the shingles in which their sets differ.
+    """
+    n = len(at) - 1
+    bit = (mix(value ^ np.uint64(0x9FB21C651E98DF25)) >> np.uint64(40)).astype(np.int64) % (64 * SKETCH)
+    odd = np.bincount(owners(at) * (64 * SKETCH) + bit, minlength=n * 64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, 64 * SKETCH), axis=1, bitorder="little").view(np.int64).reshape(n, SKETCH)
+
+
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
@@ -140,9 +154,9 @@ def _profiles(plain: DataFrame) -> DataFrame:
         for batch in batches:
             for part, raw, at in chunks(batch):
                 value, sa = shingles(raw, at)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(sa).astype(np.int64)), pa.array(signed(digests(value, sa)))], ["doc_id", "n_shingles", "digest"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(sa).astype(np.int64)), pa.array(signed(digests(value, sa))), *map(pa.array, np.ascontiguousarray(parities(value, sa).T))], ["doc_id", "n_shingles", "digest", *SKETCHES])
 
-    return plain.mapInArrow(run, "doc_id long, n_shingles long, digest long")
+    return plain.mapInArrow(run, "doc_id long, n_shingles long, digest long, " + ", ".join(f"{c} long" for c in SKETCHES))
 
 
 def _signed_rows(plain: DataFrame) -> DataFrame:
@@ -206,6 +220,23 @@ def _linked(plain: DataFrame, pairs: DataFrame, holders: DataFrame, scratch: Scr
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def _may_link(x: str, y: str) -> Column:
+    """A necessary condition on sizes and sketches; no pair that links fails it."""
+    sizes = F.expr(f"{UNDER} * least({x}.n_shingles, {y}.n_shingles) >= {OVER} * greatest({x}.n_shingles, {y}.n_shingles)")
+    apart = " + ".join(f"bit_count({x}.{c} ^ {y}.{c})" for c in SKETCHES)
+    return sizes & F.expr(f"9 * ({apart}) <= {x}.n_shingles + {y}.n_shingles")
+
+
+def _hub_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b): of the hubs that a set b meets and may link with, the one it shares most signatures with."""
+    met = members.filter("digest != hub").groupBy("digest", "hub").agg(F.count("*").alias("times"))
+    x = sketches.alias("x")
+    y = sketches.alias("y")
+    fit = met.join(x, F.col("digest") == F.col("x.digest")).join(y, (F.col("hub") == F.col("y.digest")) & _may_link("x", "y"))
+    best = fit.groupBy(F.col("x.digest").alias("b")).agg(F.max(F.struct("times", F.col("y.digest").alias("a"))).alias("m"))
+    return best.select(F.least("m.a", "b").alias("a"), F.greatest("m.a", "b").alias("b")).distinct()
+
+
 def _refined(plain: DataFrame, big: DataFrame, holders: DataFrame, scratch: Scratch, seed: int) -> DataFrame:
     """Signatures under a new hash within each signature of ``big``."""
     sets = _sets_of(plain, big.select("digest").distinct().join(holders, "digest"), scratch)
@@ -228,15 +259,17 @@ def _members(rows: DataFrame) -> DataFrame:
     return dealt.join(live.hint("shuffle_hash"), "sig").select("sig", "digest", "hub")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bucket: int = 50) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bucket: int = 200) -> DataFrame:
     """One row per document: size of its set and the smallest id of its component."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     plain = _plain(docs, id_col, text_col)
     profile = scratch.save(_profiles(plain))
-    holders = profile.filter("digest != 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    one = profile.filter("digest != 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), *[F.first(c).alias(c) for c in SKETCHES])
+    one = scratch.save(one)
+    holders, sketches = one.select("digest", "doc_id"), one.select("digest", "n_shingles", *SKETCHES)
     members = scratch.save(_members(_signed_rows(plain)))
-    pairs = scratch.save(members.filter("digest != hub").groupBy("digest").agg(F.min("hub").alias("a")).select("a", F.col("digest").alias("b")))
+    pairs = scratch.save(_hub_pairs(members, sketches))
     links = scratch.save(_linked(plain, pairs, holders, scratch))
     checked, seed = pairs, 0
     label = components(links, scratch)
@@ -245,11 +278,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_ = named.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low < high")
         left = scratch.save(named.join(open_.select("sig", "n"), "sig"))
         room = max_bucket if seed < REFINEMENTS else 1 << 62
-        small, big = left.filter(F.col("n") <= room), left.filter(F.col("n") > room)
-        x = small.select("sig", F.col("digest").alias("a"), F.col("label").alias("label_a"))
-        y = small.select("sig", F.col("digest").alias("b"), F.col("label").alias("label_b"))
-        more = x.join(y, "sig").filter("a < b and label_a != label_b").select("a", "b").distinct().join(checked, ["a", "b"], "left_anti")
-        more = scratch.save(more)
+        small, big = left.filter(F.col("n") <= room).join(sketches, "digest"), left.filter(F.col("n") > room)
+        more = small.alias("x").join(small.alias("y"), (F.col("x.sig") == F.col("y.sig")) & F.expr("x.digest < y.digest and x.label != y.label") & _may_link("x", "y"))
+        more = scratch.save(more.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct().join(checked, ["a", "b"], "left_anti"))
         if more.take(1):
             checked = scratch.save(checked.union(more))
             links = scratch.save(links.union(_linked(plain, more, holders, scratch)))
@@ -258,9 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         seed += 1
         members = scratch.save(_members(_refined(plain, big, holders, scratch, seed)))
-        fresh = members.filter("digest != hub").select(F.col("hub").alias("a"), F.col("digest").alias("b")).distinct()
-        fresh = fresh.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").join(checked, ["a", "b"], "left_anti")
-        fresh = scratch.save(fresh)
+        fresh = scratch.save(_hub_pairs(members, sketches).join(checked, ["a", "b"], "left_anti"))
         if fresh.take(1):
             checked = scratch.save(checked.union(fresh))
             links = scratch.save(links.union(_linked(plain, fresh, holders, scratch)))
