@@ -232,7 +232,8 @@ def _hub_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
     met = members.filter("digest != hub").groupBy("digest", "hub").agg(F.count("*").alias("times"))
     x = sketches.alias("x")
     y = sketches.alias("y")
-    fit = met.join(x, F.col("digest") == F.col("x.digest")).join(y, (F.col("hub") == F.col("y.digest")) & _may_link("x", "y"))
+    met = met.withColumnRenamed("digest", "met")
+    fit = met.join(x, F.col("met") == F.col("x.digest")).join(y, (F.col("hub") == F.col("y.digest")) & _may_link("x", "y"))
     best = fit.groupBy(F.col("x.digest").alias("b")).agg(F.max(F.struct("times", F.col("y.digest").alias("a"))).alias("m"))
     return best.select(F.least("m.a", "b").alias("a"), F.greatest("m.a", "b").alias("b")).distinct()
 
