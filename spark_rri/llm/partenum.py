@@ -12,7 +12,7 @@ Sets stand for all documents with the same shingles, so copies never meet. Sets
 signature are first compared with one hub each (of the smallest sets they meet, the one met
 most often); only signatures whose sets are then still in different components give further
 pairs. Pairs whose sizes or parity sketches rule a link out are not compared. Where such a signature
-has more than ``max_bucket`` sets, its sets sign again within it under a new hash, which
+has more than ``max_pairs`` of them, its sets sign again within it under a new hash, which
 keeps true pairs together and parts the others.
 
 Edge cases: null, empty and blank texts have an empty set and link with nothing; a text of
@@ -260,7 +260,7 @@ def _members(rows: DataFrame) -> DataFrame:
     return dealt.join(live.hint("shuffle_hash"), "sig").select("sig", "digest", "hub")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bucket: int = 200) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_pairs: int = 40_000) -> DataFrame:
     """One row per document: size of its set and the smallest id of its component."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -270,18 +270,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = scratch.save(one)
     holders, sketches = one.select("digest", "doc_id"), one.select("digest", "n_shingles", *SKETCHES)
     members = scratch.save(_members(_signed_rows(plain)))
+    scratch.release()
     pairs = scratch.save(_hub_pairs(members, sketches))
     links = scratch.save(_linked(plain, pairs, holders, scratch))
     checked, seed = pairs, 0
     label = components(links, scratch)
     while True:
         named = members.select("sig", "digest").distinct().join(label.withColumnRenamed("node", "digest"), "digest", "left").select("sig", "digest", F.coalesce("label", "digest").alias("label"))
-        open_ = named.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low < high")
-        left = scratch.save(named.join(open_.select("sig", "n"), "sig"))
-        room = max_bucket if seed < REFINEMENTS else 1 << 62
-        small, big = left.filter(F.col("n") <= room).join(sketches, "digest"), left.filter(F.col("n") > room)
-        more = small.alias("x").join(small.alias("y"), (F.col("x.sig") == F.col("y.sig")) & F.expr("x.digest < y.digest and x.label != y.label") & _may_link("x", "y"))
-        more = scratch.save(more.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct().join(checked, ["a", "b"], "left_anti"))
+        parts = named.groupBy("sig", "label").agg(F.count("*").alias("n"))
+        open_ = parts.groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("labels"), F.max_by("label", "n").alias("top")).filter("labels > 1")
+        room = max_pairs if seed < REFINEMENTS else 1 << 62
+        left = scratch.save(named.join(open_.select("sig", "top", (F.col("n") * F.col("n") - F.col("same") <= room).alias("small")), "sig"))
+        small, big = left.filter("small").join(sketches, "digest"), left.filter("not small")
+        # of two sets in different components at least one is outside the signature's largest
+        across = F.expr("x.label != y.label and (y.label = y.top or x.digest < y.digest)")
+        more = small.filter("label != top").alias("x").join(small.alias("y"), (F.col("x.sig") == F.col("y.sig")) & across & _may_link("x", "y"))
+        more = more.select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct()
+        more = scratch.save(more.join(checked, ["a", "b"], "left_anti"))
         if more.take(1):
             checked = scratch.save(checked.union(more))
             links = scratch.save(links.union(_linked(plain, more, holders, scratch)))

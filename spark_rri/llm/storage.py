@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,11 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def release(self) -> None:
+        """Let Spark's cleaner find the shuffle files of steps whose results are saved."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Delete a saved table that nothing reads any more."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs

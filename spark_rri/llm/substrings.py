@@ -217,6 +217,7 @@ def repeated(docs: DataFrame, split: Split, finder: Finder, width: int, gram: in
     rows = _runs(plain, split, width, gram)
     live = rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("body").alias("a"), F.max("body").alias("b"), F.max("again").alias("again")).filter("rows > 1 or again").select("key", F.expr("a < b or again").alias("open"))
     kept = scratch.save(rows.drop("again").join(live, "key"))
+    scratch.release()
     bodies = kept.groupBy("key", "body", "open").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "first", "n")).alias("r"))
     bodies = scratch.save(bodies.select("key", "body", "open", "copies", "r.*"))
     twice = bodies.filter("copies > 1").select("key", "body")
