@@ -260,7 +260,7 @@ def _members(rows: DataFrame) -> DataFrame:
     return dealt.join(live.hint("shuffle_hash"), "sig").select("sig", "digest", "hub")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_pairs: int = 40_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_pairs: int = 4_000_000) -> DataFrame:
     """One row per document: size of its set and the smallest id of its component."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
