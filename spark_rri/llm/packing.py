@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .storage import bounded_batches
 
 END_ID = 2
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_500_000
 _encoders: dict[str, WordEncoder] = {}
 
 PIECE_COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
