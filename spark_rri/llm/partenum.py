@@ -11,7 +11,8 @@ its empty parts), and both sets of a hidden link are in that case, so none is lo
 Sets stand for all documents with the same shingles, so copies never meet. Sets that share a
 signature are first compared with one hub each (of the smallest sets they meet, the one met
 most often); only signatures whose sets are then still in different components give further
-pairs. Pairs whose sizes or parity sketches rule a link out are not compared. Where such a signature
+pairs. Pairs whose sizes or parity sketches rule a link out are not compared; of the others the
+nearest come first, and all that still lie between components last. Where such a signature
 has more than ``max_pairs`` of them, its sets sign again within it under a new hash, which
 keeps true pairs together and parts the others.
 
@@ -39,10 +40,12 @@ LEVELS = 3
 #: Similarity of at least 80 / 100.
 OVER, UNDER = 80, 100
 SEEN_SETS = 200_000
-SKETCH = 8
+SKETCH = 16
 SKETCHES = [f"p{k}" for k in range(SKETCH)]
 #: After so many new hashes within a large signature, its remaining pairs are compared one by one.
 REFINEMENTS = 2
+#: Rounds in which every set is compared with its nearest candidate only, before all that are left.
+NEAREST_FIRST = 2
 
 
 def bands(limit: int = 1 << 31) -> np.ndarray:
@@ -285,12 +288,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # of two sets in different components at least one is outside the signature's largest
         across = F.expr("x.label != y.label and (y.label = y.top or x.digest < y.digest)")
         more = small.filter("label != top").alias("x").join(small.alias("y"), (F.col("x.sig") == F.col("y.sig")) & across & _may_link("x", "y"))
-        more = more.select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct()
+        apart = F.expr(" + ".join(f"bit_count(x.{c} ^ y.{c})" for c in SKETCHES)).alias("apart")
+        more = more.select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b"), apart).distinct()
         more = scratch.save(more.join(checked, ["a", "b"], "left_anti"))
-        if more.take(1):
-            checked = scratch.save(checked.union(more))
-            links = scratch.save(links.union(_linked(plain, more, holders, scratch)))
+        for turn in range(NEAREST_FIRST + 1):
+            names = label.withColumnRenamed("label", "of")
+            now = more.join(names.withColumnRenamed("node", "a").withColumnRenamed("of", "la"), "a", "left").join(names.withColumnRenamed("node", "b").withColumnRenamed("of", "lb"), "b", "left")
+            now = now.withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).filter("la != lb").join(checked, ["a", "b"], "left_anti")
+            if turn < NEAREST_FIRST:  # a set's nearest set elsewhere; most components merge by these pairs
+                ends = now.select("a", "b", "apart", F.explode(F.array("a", "b")).alias("end"))
+                now = ends.groupBy("end").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+            now = scratch.save(now.select("a", "b"))
+            if not now.take(1):
+                break
+            checked = scratch.save(checked.union(now))
+            links = scratch.save(links.union(_linked(plain, now, holders, scratch)))
             label = components(links, scratch)
+            scratch.release()
         if not big.take(1):
             break
         seed += 1

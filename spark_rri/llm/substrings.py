@@ -4,8 +4,8 @@ The shared plan. Windows go by runs that share a minimal gram (see ``windows``),
 windows meet under one key and only runs' digests are shuffled. Keys that occur once drop
 out, unless their run holds its minimal gram twice; a run whose symbols occur twice is repeated as a whole; what is left are keys with
 different runs. Their distinct runs, each once, are dealt by key and indexed shard by shard
-to find which of their windows repeat. A key with more than ``max_runs`` distinct runs (a
-passage that very many texts hold, at its ends) is dealt window by window instead, by the
+to find which of their windows repeat. A key with more than ``max_runs`` distinct runs (which
+bounds a shard: some 5 MB of text), a passage that very many texts hold, at its ends, is dealt window by window instead, by the
 windows' digests, pre-aggregated before the shuffle. Nothing is dropped in either way.
 
 Rows are known by id and a digest of their text, so repeated rows and null ids are safe:
@@ -245,7 +245,7 @@ def _kept(plain: DataFrame, spans: DataFrame, each: Callable, names: list[str],
     return plain.join(beside(spans), _same_row("span_id", "span_th"), "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
 
 
-def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 48, max_runs: int = 500, with_text: bool = False) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 48, max_runs: int = 20_000, with_text: bool = False) -> DataFrame:
     """One row per document: bytes, removed bytes, removed spans and digest of what is left.
 
     with_text adds kept_text, the bytes that are left (which may break a character).
@@ -269,7 +269,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return _kept(plain, spans, each, names, schema)
 
 
-def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, gram: int = 12, max_runs: int = 500, with_text: bool = False) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, gram: int = 12, max_runs: int = 20_000, with_text: bool = False) -> DataFrame:
     """One row per document: words, removed words and digest of what is left, joined by blanks."""
     scratch = Scratch(docs.sparkSession)
     plain, spans = repeated(docs, as_words, by_fm_index, width, gram, np.uint64, id_col, text_col, max_runs, scratch)
@@ -291,7 +291,7 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return _kept(plain, spans, each, names, schema)
 
 
-def without_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, width: int = 200, gram: int = 48, max_runs: int = 500) -> DataFrame:
+def without_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, width: int = 200, gram: int = 48, max_runs: int = 20_000) -> DataFrame:
     """The rows of docs, all columns, with repeated bytes cut out of the text.
 
     A character that a cut breaks goes whole. length_col, if given, becomes the new length in characters.

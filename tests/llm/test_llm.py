@@ -64,7 +64,7 @@ def test_suffix_array():
         assert suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-@pytest.mark.parametrize("max_runs", [500, 1])
+@pytest.mark.parametrize("max_runs", [20_000, 1])
 @pytest.mark.parametrize("by_words", [False, True])
 def test_repeated_windows(docs, texts, by_words, max_runs):
     op = substrings.remove_repeated_words if by_words else substrings.remove_repeated_bytes
