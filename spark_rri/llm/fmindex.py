@@ -82,9 +82,15 @@ def repeated_windows(index: FMIndex, text: np.ndarray, begin: np.ndarray, count:
         s = at[live]
         got = index.matching(text, begin[live] + s + width, width)
         hit = got == width
-        runs.append(live[hit])
-        found.append(s[hit])
-        at[live] = np.where(hit, s + 1, s + width - got)
+        at[live[~hit]] = (s + width - got)[~hit]
+        own, s = live[hit], s[hit]
+        # where a window repeats, the whole stretch behind it often does
+        many = np.minimum(count[own] - s, width)
+        reach = index.matching(text, begin[own] + s + many - 1 + width, 2 * width - 1)
+        many = np.where(reach >= many - 1 + width, many, 1)
+        runs.append(np.repeat(own, many))
+        found.append(np.repeat(s, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+        at[own] = s + many
         live = live[at[live] < count[live]]
     if not runs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
