@@ -17,4 +17,6 @@ def balanced_sample(rows: DataFrame, label: str, per_label: int, key: str = "doc
     for value, n in counts.items():
         share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_label / n))).otherwise(share)
     draw = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    most = max([min(1.0, per_label / n) for n in counts.values()], default=0.0)
+    rows = rows.filter(draw < most)  # on the key alone, so it holds below a join of texts with labels
     return sorted(rows.filter(draw < share).collect(), key=lambda r: (r[key] is None, r[key])), counts
