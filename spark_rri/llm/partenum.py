@@ -12,7 +12,8 @@ Sets stand for all documents with the same shingles, so copies never meet. Sets
 signature are first compared with one hub each (of the smallest sets they meet, the one met
 most often); only signatures whose sets are then still in different components give further
 pairs. Pairs whose sizes or parity sketches rule a link out are not compared; of the others the
-nearest come first, and all that still lie between components last. Where such a signature
+nearest come first, and all that still lie between components last. Before whole sets are
+compared, parity sketches as wide as the sets are large rule most other pairs out. Where such a signature
 has more than ``max_pairs`` of them, its sets sign again within it under a new hash, which
 keeps true pairs together and parts the others.
 
@@ -23,7 +24,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ LEVELS = 3
 OVER, UNDER = 80, 100
 SEEN_SETS = 200_000
 SKETCH = 16
+#: Bits a shingle, at least, of the sketches that are compared before whole sets.
+WIDE = 4
 SKETCHES = [f"p{k}" for k in range(SKETCH)]
 #: After so many new hashes within a large signature, its remaining pairs are compared one by one.
 REFINEMENTS = 2
@@ -148,6 +151,40 @@ def parities(value: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(n, 64 * SKETCH), axis=1, bitorder="little").view(np.int64).reshape(n, SKETCH)
 
 
+def whole_sets(value: np.ndarray, at: np.ndarray) -> list[bytes]:
+    raws = value.tobytes()
+    return [raws[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def wide_parities(value: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """A parity sketch of each set, of four to eight bits a shingle: a power of two, at least 64."""
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(WIDE * np.diff(at), 1))).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(bits)])
+    own = owners(at)
+    bit = mix(value ^ np.uint64(0x6A09E667F3BCC909)) & (bits[own] - 1).astype(np.uint64)
+    place, times = np.unique(base[own] + bit.astype(np.int64), return_counts=True)
+    place = place[times % 2 == 1]
+    raws = np.bincount(place >> 3, 1 << (place & 7), minlength=int(base[-1] >> 3)).astype(np.uint8).tobytes()
+    return [raws[a:b] for a, b in zip((base[:-1] >> 3).tolist(), (base[1:] >> 3).tolist(), strict=True)]
+
+
+def least_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """In how many shingles two sets differ at least, by their wide sketches; the wider one folds to the other's width."""
+    x, y = sorted((x, y), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, n_x: int, n_y: int) -> bool:
+    return 9 * least_apart(x, y) <= n_x + n_y
+
+
+def are_similar(x: np.ndarray, y: np.ndarray, n_x: int, n_y: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return UNDER * both >= OVER * (n_x + n_y - both)
+
+
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
@@ -186,41 +223,43 @@ def _signed_rows(plain: DataFrame) -> DataFrame:
     return plain.mapInArrow(run, "sig long, digest long")
 
 
-def _sets_of(plain: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-    """(digest, shingles as bytes) of the wanted (doc_id, digest)."""
+def _sets_of(plain: DataFrame, wanted: DataFrame, scratch: Scratch, form: Callable[[np.ndarray, np.ndarray], list[bytes]] = whole_sets) -> DataFrame:
+    """(digest, n_shingles, shingles as bytes or another form of them) of the wanted (doc_id, digest)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw, at in chunks(batch):
                 value, sa = shingles(raw, at)
-                raws = value.tobytes()
                 found = pa.array(signed(digests(value, sa)))
                 same = pc.equal(found, part.column(2))  # another text of the same id is not the holder
-                each = pa.array([raws[8 * a : 8 * b] for a, b in zip(sa[:-1].tolist(), sa[1:].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([found, each], ["digest", "shingles"]).filter(same)
+                yield pa.RecordBatch.from_arrays([found, pa.array(np.diff(sa).astype(np.int64)), pa.array(form(value, sa), pa.binary())], ["digest", "n_shingles", "shingles"]).filter(same)
 
     side = beside(scratch.save(wanted.select(F.col("doc_id").alias("wanted_id"), "digest")))
     rows = plain.join(side, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("doc_id", "text", "digest")
-    return rows.mapInArrow(sets, "digest long, shingles binary")
+    return rows.mapInArrow(sets, "digest long, n_shingles long, shingles binary")
 
 
-def _linked(plain: DataFrame, pairs: DataFrame, holders: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of sets whose similarity reaches the threshold, by their whole sets."""
-    wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct().join(holders, "digest")
-    sets = _sets_of(plain, wanted, scratch)
-    left = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("set_b"))
+def _agreeing(pairs: DataFrame, sets: DataFrame, agree: Callable[[np.ndarray, np.ndarray, int, int], bool]) -> DataFrame:
+    """The pairs (a, b) whose sets, in the form given, agree."""
+    side = lambda c: sets.select(F.col("digest").alias(c), F.col("shingles").alias(f"set_{c}"), F.col("n_shingles").alias(f"n_{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(UNDER * both >= OVER * (len(x) + len(y) - both))
+            sizes = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
+            ok = [agree(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), *n) for x, y, n in zip(batch.column(2), batch.column(3), sizes, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b", "n_a", "n_b")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _linked(plain: DataFrame, pairs: DataFrame, holders: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of sets whose similarity reaches the threshold, by their whole sets."""
+    ends = lambda p: p.select(F.col("a").alias("digest")).union(p.select("b")).distinct().join(holders, "digest")
+    sketches = scratch.save(_sets_of(plain, ends(pairs), scratch, wide_parities))
+    left = scratch.save(_agreeing(pairs, sketches, may_be_similar).distinct())
+    scratch.drop(sketches)
+    return _agreeing(left, _sets_of(plain, ends(left), scratch), are_similar)
 
 
 def _may_link(x: str, y: str) -> Column:
@@ -257,10 +296,10 @@ def _refined(plain: DataFrame, big: DataFrame, holders: DataFrame, scratch: Scra
 
 
 def _members(rows: DataFrame) -> DataFrame:
-    """Rows of signatures that at least two sets share, with the smallest of them as hub."""
+    """Rows, each once, of signatures that at least two sets share, with the smallest of them as hub."""
     dealt = rows.repartition("sig")
     live = dealt.groupBy("sig").agg(F.min("digest").alias("hub"), F.max("digest").alias("top")).filter("hub < top").select("sig", "hub")
-    return dealt.join(live.hint("shuffle_hash"), "sig").select("sig", "digest", "hub")
+    return dealt.join(live.hint("shuffle_hash"), "sig").select("sig", "digest", "hub").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_pairs: int = 4_000_000) -> DataFrame:
@@ -279,7 +318,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     checked, seed = pairs, 0
     label = components(links, scratch)
     while True:
-        named = members.select("sig", "digest").distinct().join(label.withColumnRenamed("node", "digest"), "digest", "left").select("sig", "digest", F.coalesce("label", "digest").alias("label"))
+        named = members.select("sig", "digest").join(label.withColumnRenamed("node", "digest"), "digest", "left").select("sig", "digest", F.coalesce("label", "digest").alias("label"))
         parts = named.groupBy("sig", "label").agg(F.count("*").alias("n"))
         open_ = parts.groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("labels"), F.max_by("label", "n").alias("top")).filter("labels > 1")
         room = max_pairs if seed < REFINEMENTS else 1 << 62

@@ -95,6 +95,25 @@ def test_jaccard_components(docs, texts, max_pairs):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
 
 
+def test_wide_sketches_never_rule_out_a_link():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 31, 33, 700, 5000):
+        for share in (0.0, 0.5, 0.85, 0.9, 1.0):
+            base = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+            cut = int(n * share)
+            pair = [np.unique(base[:n]), np.unique(np.concatenate([base[:cut], base[n : 2 * n - cut]]))]
+            at = np.cumsum([0, *map(len, pair)])
+            x, y = (np.frombuffer(s, np.uint64) for s in partenum.wide_parities(np.concatenate(pair), at))
+            assert partenum.least_apart(x, y) == partenum.least_apart(y, x) <= len(np.setxor1d(*pair))
+            if partenum.are_similar(*pair, *map(len, pair)):
+                assert partenum.may_be_similar(x, y, *map(len, pair))
+            if n == 5000 and share == 0.5:
+                assert not partenum.may_be_similar(x, y, *map(len, pair))
+    assert partenum.wide_parities(np.zeros(0, np.uint64), np.array([0, 0])) == [b"\0" * 8]
+
+
 def test_packing_round_trip(docs, texts):
     got = packing.pack(docs, path("word_bpe_49k.json"), with_ids=True).collect()
     from tokenizers import Tokenizer
