@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from spark_rri.plans import curve_queries, more_queries  # noqa: F401
+from spark_rri.plans import curve_queries, more_queries, source_queries  # noqa: F401
 from spark_rri.plans import queries as q
 
 SF = "/root/testdata/sf0.001"
