@@ -1,18 +1,21 @@
-"""Language-model scoring: a hashed maximum-entropy model with class-factored softmax.
+"""Language-model scoring: a hashed maximum-entropy model over a tree of the whole vocabulary.
 
-A token's probability is that of its class times that within the class. The most frequent
-words (``head``) have classes of ``per_class`` words by frequency; all others share the tail
-class, in which the smoothed counts of the training tokens decide, so every text has a
-proper probability. Class and word logits sum hashed feature weights: the previous word, the
-one before it (a skip feature) and both as a bigram. Biases start at the counts, so the
-untrained model equals the smoothed unigram model.
+A token's probability is the product of the binary decisions on the way to its word. The
+shared tree is a Huffman tree whose leaves are the ``head`` most frequent words, classes of
+about ``per_class`` other words, dealt by hash, and the unseen word; within a class a balanced
+tree leads to each word. The logit of every decision is a bias plus hashed feature weights:
+the previous word, the one before it (a skip feature) and both as a bigram. Biases start at
+the counts, so the untrained model equals the smoothed unigram model, and every text has a
+proper probability.
 
 Training goes in rounds. Every task makes gradient steps over its documents from the shared
-model; the models are averaged by tokens in a tree of bounded groups and shared again. All
-training documents are used once over the rounds.
+weights; they are averaged by tokens in a tree of bounded groups and shared again. All
+training documents are used once over the rounds. Weight rows grow with the tokens, up to
+2**MOST_ROWS; beyond that more decisions share a row.
 
-Counts are over all training documents and never leave Spark: the ``frequent`` most frequent
-words go to all tasks, each document's other words are joined with the counts.
+Counts are over all training documents and never leave Spark: the head words go to all tasks;
+other words' tokens are joined, with their features, with counts and paths within classes, on
+which the decisions within classes are learnt and scored.
 
 Edge cases: null, empty and blank texts are one end token; repeated rows count and are scored
 each; an empty table gives no rows; without training tokens every token has the base
@@ -22,7 +25,7 @@ probability; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,9 +41,10 @@ END = np.uint64(0xE0D0E0D0E0D0E0D1)
 START = np.uint64(0x57A757A757A757A7)
 ADD = 0.1
 FEATURES = 3
-CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 15
-BATCH = 4096
-SCORE_BATCH = 8192
+NODE_FACTOR, ROW_FACTOR = np.uint32(0x85EBCA6B), np.uint32(0x9E3779B1)
+LEAST_ROWS, MOST_ROWS, TOKENS_PER_ROW = 16, 22, 64
+MOST_CLASS_BITS, GROUP_WORDS = 16, 100_000
+BATCH = 32_768
 FLUSH = 1_000_000
 BLOCKS, FAN_IN = 32, 32
 TOKENS_PER_TASK = 4_000_000
@@ -69,121 +73,212 @@ def contexts(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([mix(one + np.uint64(1)), mix(two + np.uint64(2)), mix(one * np.uint64(3) ^ mix(two + np.uint64(3)))], axis=1)
 
 
+def log_sigmoid(z: np.ndarray) -> np.ndarray:
+    return -np.log1p(np.exp(-z))
+
+
+@dataclass
+class Paths:
+    """Binary decisions that lead to each token's leaf: ``size`` bits of ``code``, the highest first.
+
+    at(order, depth, prefix) gives the hash key and the bias of the nodes at a depth.
+    """
+
+    code: np.ndarray
+    size: np.ndarray
+    at: Callable[[np.ndarray, int, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+    def levels(self, f: np.ndarray, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By depth, for the tokens that have a node there: their bits, weight rows and logits of bit 1; and all tokens' order."""
+        order = np.argsort((255 - self.size).astype(np.uint8), kind="stable")
+        size, code, own = self.size[order], self.code[order], np.ascontiguousarray(f[order].T)
+        if len(size) and size[0] < 31:
+            size, code = size.astype(np.int32), code.astype(np.int32)
+        shift = np.uint32(32 - (len(weight).bit_length() - 1))
+        for depth in range(int(size[0]) if len(size) else 0):
+            n = int(np.searchsorted(-size, -depth, "left"))
+            left = size[:n] - size.dtype.type(depth)
+            key, bias = self.at(order[:n], depth, code[:n] >> left)
+            rows = own[:, :n] ^ key
+            rows *= ROW_FACTOR
+            rows >>= shift
+            rows = rows.astype(np.intp)
+            z = weight.take(rows).sum(axis=0)
+            z += bias
+            yield order, (code[:n] >> (left - left.dtype.type(1))) & left.dtype.type(1), rows, z
+
+    def log_probability(self, f: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the tokens' leaves."""
+        total, out = np.zeros(len(self.code)), np.zeros(len(self.code))
+        for order, bit, _, z in self.levels(f, weight):
+            z *= bit * np.float32(2) - np.float32(1)
+            total[: len(z)] += log_sigmoid(z)
+        if total.any():
+            out[order] = total
+        return out
+
+    def learn(self, f: np.ndarray, weight: np.ndarray, heat: np.ndarray, rate: float) -> None:
+        """One Adagrad step on all decisions of the tokens, in place."""
+        rows, grads = [], []
+        for _, bit, row, z in self.levels(f, weight):
+            rows.append(row.ravel())
+            grads += [np.float32(1) / (np.float32(1) + np.exp(-z)) - bit.astype(np.float32)] * FEATURES
+        if rows:
+            total = np.bincount(np.concatenate(rows), np.concatenate(grads), minlength=len(weight))
+            own = np.flatnonzero(total)
+            total = total[own].astype(np.float32)
+            heat[own] += total * total
+            weight[own] -= np.float32(rate) * total / np.sqrt(heat[own] + 1)
+
+
+def huffman_sizes(weight: np.ndarray) -> np.ndarray:
+    """Code lengths of ascending weights, by the two queues of leaves and joins."""
+    n, w = len(weight), weight.tolist()
+    joined: list[float] = []
+    parent = [0] * (2 * n - 1)
+    leaf = join = 0
+    for k in range(n - 1):
+        total = 0.0
+        for _ in range(2):
+            if leaf < n and (join >= len(joined) or w[leaf] <= joined[join]):
+                total += w[leaf]
+                parent[leaf] = n + k
+                leaf += 1
+            else:
+                total += joined[join]
+                parent[n + join] = n + k
+                join += 1
+        joined.append(total)
+    depth = [0] * (2 * n - 1)
+    for k in range(2 * n - 3, -1, -1):
+        depth[k] = depth[parent[k]] + 1
+    return np.array(depth[:n], np.int64)
+
+
+class Tree:
+    """Canonical Huffman tree: at each depth leaves come before inner nodes, so nodes need no table of paths."""
+
+    def __init__(self, weight: np.ndarray):
+        order = np.argsort(weight, kind="stable")
+        self.size = np.empty(len(weight), np.int64)
+        self.size[order] = huffman_sizes(weight[order])
+        deepest = int(self.size.max())
+        count = np.bincount(self.size, minlength=deepest + 1)
+        start = [0]
+        for d in range(deepest):
+            start.append(start[-1] + int(count[d]) << 1)
+        self.lead = [a + int(c) for a, c in zip(start, count, strict=True)]
+        self.first = np.concatenate([[0], np.cumsum([(1 << d) - x for d, x in enumerate(self.lead)])])
+        by = np.argsort(self.size, kind="stable")
+        rank = np.arange(len(by)) - np.concatenate([[0], np.cumsum(count)])[self.size[by]]
+        self.code = np.empty(len(by), np.int64)
+        self.code[by] = np.array(start, np.int64)[self.size[by]] + rank
+        mass = np.zeros((2, int(self.first[-1])))
+        for d in range(deepest):
+            below = np.flatnonzero(self.size > d)
+            left = self.size[below] - d
+            node = self.first[d] + (self.code[below] >> left) - self.lead[d]
+            bit = (self.code[below] >> (left - 1)) & 1
+            for b in (0, 1):
+                mass[b] += np.bincount(node[bit == b], weight[below[bit == b]], minlength=mass.shape[1])
+        self.bias = (np.log(mass[1]) - np.log(mass[0])).astype(np.float32)
+
+    def paths(self, leaf: np.ndarray) -> Paths:
+        def at(_: np.ndarray, depth: int, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            node = prefix + prefix.dtype.type(int(self.first[depth]) - self.lead[depth])
+            return node.astype(np.uint32) * NODE_FACTOR, self.bias.take(node)
+
+        return Paths(self.code[leaf], self.size[leaf], at)
+
+
 @dataclass
 class Model:
+    """The tree's leaves are the head words, then the classes that hold other words, then the unseen word."""
+
     head: np.ndarray  # hashes of the head words, ascending
-    rank: np.ndarray  # their frequency ranks
-    per_class: int
-    class_bias: np.ndarray
-    word_bias: np.ndarray  # classes x per_class; -inf where a class has fewer words
-    class_weight: np.ndarray
-    word_weight: np.ndarray
-
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        """Frequency rank of head words, -1 for the tail."""
-        if not len(self.head):
-            return np.full(len(h), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
-        return np.where(self.head[at] == h, self.rank[at], -1)
-
-    def parts(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Class, place in the class, and weight rows of every token's features."""
-        f = contexts(h, at)
-        r = self.ids(h)
-        tail = len(self.class_bias) - 1
-        c = np.where(r >= 0, r // self.per_class, tail)
-        row = (f >> np.uint64(64 - 14)).astype(np.uint16)
-        inner = (mix(f + c[:, None].astype(np.uint64)) >> np.uint64(64 - 15)).astype(np.uint16)
-        return c, np.where(r >= 0, r % self.per_class, -1), row, inner
-
-    def class_logs(self, row: np.ndarray) -> np.ndarray:
-        return log_softmax(gathered(self.class_weight, row) + self.class_bias)
-
-    def word_logs(self, c: np.ndarray, inner: np.ndarray) -> np.ndarray:
-        return log_softmax(gathered(self.word_weight, inner) + self.word_bias[c])
-
-    def log_probability(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Natural logarithms per token, for tail words that of the class only; and which are tail words."""
-        c, k, row, inner = self.parts(h, at)
-        out = np.empty(len(h))
-        for low in range(0, len(h), SCORE_BATCH):
-            part = slice(low, low + SCORE_BATCH)
-            out[part] = self.class_logs(row[part])[np.arange(len(c[part])), c[part]]
-            known = np.flatnonzero(k[part] >= 0) + low
-            out[known] += self.word_logs(c[known], inner[known])[np.arange(len(known)), k[known]]
-        return out, k < 0
-
-
-def gathered(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The sum of each example's table rows."""
-    out = table[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        out += table[rows[:, k]]
-    return out
-
-
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    """In place; logits stay far from overflow, as biases are logarithms of counts and weights are small."""
-    z -= z[:, :1]
-    z -= np.log(np.exp(z) @ np.ones(z.shape[1], z.dtype))[:, None]
-    return z
-
-
-def initial(top: list[tuple[int, int]], total: float, per_class: int) -> Model:
-    """From (hash, count) by falling frequency and the smoothed total of all tokens."""
-    hashes = np.array([x[0] for x in top], np.int64).view(np.uint64)
-    weight = np.array([x[1] + ADD for x in top])
-    n = -(-len(top) // per_class)
-    word = np.full(n * per_class, -np.inf)
-    word[: len(top)] = np.log(weight)
-    by_class = np.concatenate([np.add.reduceat(weight, np.arange(0, len(top), per_class)) if len(top) else [], [max(total - weight.sum(), 1e-300)]])
-    order = np.argsort(hashes)
-    return Model(hashes[order], order, per_class, np.log(by_class).astype(np.float32), word.reshape(n, per_class).astype(np.float32), np.zeros((CLASS_ROWS, n + 1), np.float32), np.zeros((WORD_ROWS, per_class), np.float32))
-
-
-def _update(table: np.ndarray, heat: np.ndarray, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
-    """One Adagrad step by rows: rows is examples x features, grad examples x outputs."""
-    flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")
-    flat = flat[order]
-    first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-    total = np.add.reduceat(grad[order // rows.shape[1]], first, axis=0)
-    own = flat[first]
-    heat[own] += np.einsum("ij,ij->i", total, total) / np.float32(total.shape[1])
-    table[own] -= rate * total / np.sqrt(heat[own] + 1.0)[:, None]
-
-
-def learn(model: Model, stream: Iterator[tuple[np.ndarray, np.ndarray]], rate: float) -> int:
-    """Gradient steps over the texts of the stream, in place; the number of tokens."""
-    heats = [np.zeros(CLASS_ROWS, np.float32), np.zeros(WORD_ROWS, np.float32)]
-    seen = 0
-    for h, at in stream:
-        c, k, row, inner = model.parts(h, at)
-        for low in range(0, len(h), BATCH):
-            part = slice(low, low + BATCH)
-            grad = np.exp(model.class_logs(row[part])).astype(np.float32)
-            grad[np.arange(len(grad)), c[part]] -= 1
-            _update(model.class_weight, heats[0], row[part], grad, rate)
-            known = np.flatnonzero(k[part] >= 0) + low
-            if len(known):
-                grad = np.exp(model.word_logs(c[known], inner[known])).astype(np.float32)
-                grad[np.arange(len(grad)), k[known]] -= 1
-                _update(model.word_weight, heats[1], inner[known], grad, rate)
-        seen += len(h)
-    return seen
-
-
-def _round(model: Model, plain: DataFrame, tasks: int, rate: float) -> Model:
-    """Every task learns from its texts; the weights' average by tokens."""
-    shared = plain.sparkSession.sparkContext.broadcast(model)  # size fixed by rows x classes
+    times: np.ndarray  # their counts
+    class_bits: int
+    class_leaf: np.ndarray  # class -> leaf, -1 for classes without words
+    tree: Tree
+    weight: np.ndarray
+
+    def leaves(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's leaf and whether it is a head word's."""
+        if len(self.head):
+            at = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
+            own = self.head[at] == h
+        else:
+            at, own = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        return np.where(own, at, self.class_leaf[class_of(h, self.class_bits)]), own
+
+    @property
+    def unseen(self) -> int:
+        return len(self.tree.code) - 1
+
+
+def class_of(h: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(h) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+
+
+def rows_for(tokens_: int) -> int:
+    """Weight rows grow with the tokens to learn from, up to what tasks can be sent."""
+    return 1 << min(max((tokens_ // TOKENS_PER_ROW).bit_length(), LEAST_ROWS), MOST_ROWS)
+
+
+def features(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (contexts(h, at) >> np.uint64(32)).astype(np.uint32)
+
+
+def lower_codes(h: np.ndarray, c: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Balanced trees over the words of each class, whole classes given: order of words, code, size, biases with offsets.
+
+    Places without a word have no mass: the decision for them has probability 0.
+    """
+    cls = class_of(h, bits)
+    order = np.lexsort((h, cls))
+    h, cls, w = h[order], cls[order], c[order] + ADD
+    first = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
+    low = np.repeat(first, np.diff(np.append(first, len(h))))
+    high = np.repeat(np.append(first[1:], len(h)), np.diff(np.append(first, len(h))))
+    code = np.arange(len(h)) - low
+    size = np.ceil(np.log2(high - low)).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(size)])
+    total = np.concatenate([[0.0], np.cumsum(w)])
+    bias = np.empty(at[-1], np.float32)
+    for d in range(int(size.max())):
+        on = np.flatnonzero(size > d)
+        width = 1 << (size[on] - d)
+        a = low[on] + code[on] // width * width
+        mid, b = np.minimum(a + width // 2, high[on]), np.minimum(a + width, high[on])
+        with np.errstate(divide="ignore"):
+            bias[at[on] + d] = np.log(np.where(b > mid, total[b] - total[mid], 0.0)) - np.log(total[mid] - total[a])
+    return order, code, size, bias, at
+
+
+def lower_paths(table: pa.RecordBatch) -> tuple[Paths, np.ndarray]:
+    """Paths within classes, and features, of joined rare words."""
+    code, size, base = (table.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("code", "size", "class"))
+    flat = np.frombuffer(b"".join(table.column("bias").to_pylist()), np.float32)
+    start = np.cumsum(size) - size
+
+    def at(who: np.ndarray, depth: int, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = mix(base[who].astype(np.uint64) * np.uint64(1 << 32) + (prefix + (1 << depth)).astype(np.uint64))
+        return (key >> np.uint64(32)).astype(np.uint32), flat[start[who] + depth]
+
+    f = np.stack([table.column(f"f{k}").to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32) for k in range(FEATURES)], axis=1)
+    return Paths(code, size, at), f
+
+
+def _averaged(data: DataFrame, weight: np.ndarray, tasks: int, learn: Callable[[np.ndarray, Iterator[pa.RecordBatch]], int]) -> np.ndarray:
+    """Every task learns from its rows, starting from the same weights; the weights' average by tokens."""
+    shared = data.sparkSession.sparkContext.broadcast(weight)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = shared.value
-        own = Model(base.head, base.rank, base.per_class, base.class_bias, base.word_bias, base.class_weight.copy(), base.word_weight.copy())
-        n = learn(own, (tokens(raw, at) for b in batches for _, raw, at in chunks(b)), rate)
+        own = base.copy()
+        n = learn(own, batches)
         if n:
-            flat = np.concatenate([(own.class_weight - base.class_weight).ravel(), (own.word_weight - base.word_weight).ravel()]) * np.float32(n)
-            parts = [x.tobytes() for x in np.array_split(flat, BLOCKS)]
+            parts = [x.tobytes() for x in np.array_split((own - base) * np.float32(n), BLOCKS)]
             task = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([task] * BLOCKS, pa.int64()), pa.array([n] * BLOCKS, pa.int64()), pa.array(parts, pa.binary())], ["block", "task", "tokens", "delta"])
 
@@ -193,16 +288,14 @@ def _round(model: Model, plain: DataFrame, tasks: int, rate: float) -> Model:
         total = np.sum([np.frombuffer(x, np.float32) for x in table.column("delta").to_pylist()], axis=0, dtype=np.float32)
         return pa.table({"block": table.column("block")[:1], "task": pa.array([table.column("task")[0].as_py() // FAN_IN], pa.int64()), "tokens": pa.array([sum(table.column("tokens").to_pylist())], pa.int64()), "delta": pa.array([total.tobytes()], pa.binary())})
 
-    deltas = plain.coalesce(tasks).mapInArrow(run, schema)
+    deltas = data.coalesce(tasks).mapInArrow(run, schema)
     while tasks > 1:
         deltas = deltas.groupBy("block", F.expr(f"task div {FAN_IN}")).applyInArrow(add, schema)
         tasks = -(-tasks // FAN_IN)
     rows = sorted(deltas.collect(), key=lambda r: r["block"])
     if not rows:
-        return model
-    flat = np.concatenate([np.frombuffer(bytes(r["delta"]), np.float32) for r in rows]) / np.float32(rows[0]["tokens"])
-    cut = model.class_weight.size
-    return Model(model.head, model.rank, model.per_class, model.class_bias, model.word_bias, model.class_weight + flat[:cut].reshape(model.class_weight.shape), model.word_weight + flat[cut:].reshape(model.word_weight.shape))
+        return weight
+    return weight + np.concatenate([np.frombuffer(bytes(r["delta"]), np.float32) for r in rows]) / np.float32(rows[0]["tokens"])
 
 
 def _counts(plain: DataFrame) -> DataFrame:
@@ -232,7 +325,42 @@ def _counts(plain: DataFrame) -> DataFrame:
     return plain.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", head: int = 256, per_class: int = 16, frequent: int = 65_536, rounds: int = 2, rate: float = 0.3) -> DataFrame:
+def _codes(rare: DataFrame, bits: int, words_: int) -> DataFrame:
+    """Word -> count, class and path within its class; classes are dealt to groups of about ``GROUP_WORDS`` words."""
+    groups = max(1, -(-words_ // GROUP_WORDS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cls = class_of(b.column(0).to_numpy().view(np.uint64), bits)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cls)], ["h", "c", "class"])
+
+    def build(table: pa.Table) -> pa.Table:
+        h, c = table.column("h").to_numpy(), table.column("c").to_numpy()
+        order, code, size, bias, at = lower_codes(h.view(np.uint64), c, bits)
+        raw = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(bias.tobytes())])
+        return pa.table({"h": h[order], "c": c[order], "class": table.column("class").to_numpy()[order], "code": code, "size": size.astype(np.int32), "bias": raw})
+
+    by_class = rare.mapInArrow(run, "h long, c long, class long")
+    return by_class.groupBy(F.pmod(F.xxhash64("class"), F.lit(groups)).alias("part")).applyInArrow(build, "h long, c long, class long, code long, size int, bias binary")
+
+
+def _head_words(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes and counts of the words over the least count that at most ``limit`` words have, and that count."""
+    left, least = limit, None
+    for r in counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).toLocalIterator():
+        left -= r["n"]
+        if left < 0:
+            break
+        least = r["c"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0), 1 << 62
+    found = counts.filter(F.col("c") >= least).toArrow()
+    h, c = found.column("h").to_numpy().view(np.uint64), found.column("c").to_numpy()
+    order = np.argsort(h)
+    return h[order], c[order].astype(np.float64), least
+
+
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", head: int = 1 << 20, per_class: int = 32, frequent: int = 1 << 20, rounds: int = 2, rate: float = 0.3) -> DataFrame:
     """One row per document: token counts, base score and the model's log10 probability.
 
     train is true for the rows of docs to learn from.
@@ -244,52 +372,100 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     counts = scratch.save(_counts(learned))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total = n + ADD * (v + 1)
-    top = [(r["h"], r["c"]) for r in counts.orderBy(F.desc("c"), "h").limit(frequent).collect()]
-    model = initial(top[:head], total, per_class)
-    tail_total = total - sum(c + ADD for _, c in top[:head])
-    tasks = min(max(spark.sparkContext.defaultParallelism, n // TOKENS_PER_TASK), learned.rdd.getNumPartitions()) if n else 0
-    for r in range(rounds if tasks else 0):
+    known, times, least = _head_words(counts, min(head, frequent))
+    others = counts.filter(F.col("c") < least)
+    n_others = v - len(known)
+    bits = min((n_others // per_class).bit_length(), MOST_CLASS_BITS)
+    codes = scratch.save(_codes(others, bits, n_others))
+    mass = codes.groupBy("class").agg((F.sum("c") + F.lit(ADD) * F.count("*")).alias("mass"), F.sum("c").alias("c")).toArrow()
+    class_leaf = np.full(1 << bits, -1, np.int64)
+    class_leaf[mass.column("class").to_numpy()] = len(known) + np.arange(mass.num_rows)
+    tree = Tree(np.concatenate([times + ADD, mass.column("mass").to_numpy(), [ADD]]))
+    n_rare = int(sum(mass.column("c").to_pylist()))
+    model = Model(known, times, bits, class_leaf, tree, np.zeros(rows_for(n), np.float32))
+    shape = spark.sparkContext.broadcast(Model(known, times, bits, class_leaf, tree, np.zeros(0, np.float32)))  # at most ``head`` words and 2**MOST_CLASS_BITS classes
+
+    def task_count(size: int, data: DataFrame) -> int:
+        return int(max(1, min(max(spark.sparkContext.defaultParallelism, size // TOKENS_PER_TASK), data.rdd.getNumPartitions())))
+
+    for r in range(rounds if n else 0):
+
+        def upper(weight: np.ndarray, batches: Iterator[pa.RecordBatch], step: float = rate / (r + 1)) -> int:
+            m, heat, seen = shape.value, np.zeros_like(weight), 0
+            for b in batches:
+                for _, raw, at in chunks(b):
+                    h, ta = tokens(raw, at)
+                    f, (leaf, _) = features(h, ta), m.leaves(h)
+                    for low in range(0, len(h), BATCH):
+                        m.tree.paths(leaf[low : low + BATCH]).learn(f[low : low + BATCH], weight, heat, step)
+                    seen += len(h)
+            return seen
+
         part = learned.filter(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == r)
-        model = _round(model, part, max(1, int(tasks)), rate / (r + 1))
-    order = np.argsort(np.array([x[0] for x in top], np.int64).view(np.uint64)) if top else np.zeros(0, np.int64)
-    table = (np.array([x[0] for x in top], np.int64).view(np.uint64)[order], np.array([x[1] for x in top], np.float64)[order])
-    shared = spark.sparkContext.broadcast((model, table))  # at most ``frequent`` words and a model of fixed size
+        model.weight = _averaged(part, model.weight, task_count(n, learned), upper)
+    shared = spark.sparkContext.broadcast(model.weight)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, (known, times) = shared.value
+        m, weight = shape.value, shared.value
         serial = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part, raw, at in chunks(batch):
                 h, ta = tokens(raw, at)
                 size = np.diff(ta)
                 owner = np.repeat(np.arange(len(size)), size)
-                log, tail = m.log_probability(h, ta)
-                log /= math.log(10)
-                if len(known):
-                    where = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    common = known[where] == h
-                    base = np.where(common, np.log10(times[where] + ADD), 0.0)
-                else:
-                    common, base = np.zeros(len(h), bool), np.zeros(len(h))
-                sums = [np.bincount(owner, x, minlength=len(size)) for x in (base, np.where(tail, log + base, log))]
-                n_tail, n_common = (np.bincount(owner, x, minlength=len(size)).astype(np.int64) for x in (tail, common))
-                rare = ~common
+                f, (leaf, common) = features(h, ta), m.leaves(h)
+                log = np.zeros(len(h))
+                has = np.flatnonzero(leaf >= 0)
+                for low in range(0, len(has), BATCH):
+                    own = has[low : low + BATCH]
+                    log[own] = m.tree.paths(leaf[own]).log_probability(f[own], weight)
+                base = np.where(common, np.log10(m.times[np.where(common, leaf, 0)] + ADD), 0.0) if len(m.times) else np.zeros(len(h))
+                rare = np.flatnonzero(~common)
+                unseen = m.tree.paths(np.full(len(rare), m.unseen)).log_probability(f[rare], weight)
+                sums = [np.bincount(owner, x, minlength=len(size)) for x in (base, np.where(common, log, 0.0))]
+                n_common = np.bincount(owner, common, minlength=len(size)).astype(np.int64)
                 edges = np.concatenate([[0], np.cumsum(np.bincount(owner[rare], minlength=len(size)))])
-                lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(signed(h[rare])))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(serial, serial + len(size))), part.column(0), pa.array(size.astype(np.int64)), pa.array(n_common), pa.array(n_tail), pa.array(sums[0]), pa.array(sums[1]), lists], ["row", "doc_id", "n_tokens", "n_common", "n_tail", "base", "model", "rare"])
+                record = pa.StructArray.from_arrays([pa.array(signed(h[rare])), pa.array(log[rare].astype(np.float32)), pa.array(unseen.astype(np.float32))] + [pa.array(np.ascontiguousarray(f[rare, k]).view(np.int32)) for k in range(FEATURES)], ["h", "up", "unseen", "f0", "f1", "f2"])
+                lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), record)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(serial, serial + len(size))), part.column(0), part.column(2), pa.array(size.astype(np.int64)), pa.array(n_common), pa.array(sums[0]), pa.array(sums[1]), lists], ["row", "doc_id", "train", "n_tokens", "n_common", "base", "model", "rare"])
                 serial += len(size)
 
-    schema = "row long, doc_id long, n_tokens long, n_common long, n_tail long, base double, model double, rare array<long>"
-    scored = scratch.save(both.select("doc_id", "text").mapInArrow(run, schema))
-    rare = scored.select("row", F.explode("rare").alias("h")).join(counts, "h", "left")
-    rare = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD))).alias("rare_sum"), F.count("c").alias("rare_known"))
+    record = "struct<h: long, up: float, unseen: float, f0: int, f1: int, f2: int>"
+    scored = scratch.save(both.mapInArrow(run, f"row long, doc_id long, train boolean, n_tokens long, n_common long, base double, model double, rare array<{record}>"))
+    scratch.release()
+    joined = scratch.save(scored.select("row", "train", F.explode("rare").alias("x")).select("row", "train", "x.*").join(codes, "h", "left").drop("h"))
+    lower_weight = np.zeros(rows_for(n_rare), np.float32)
+    inner = joined.filter("train and size > 0").select("code", "size", "class", "bias", "f0", "f1", "f2", "row")
+    for r in range(rounds if n_rare else 0):
+
+        def lower(weight: np.ndarray, batches: Iterator[pa.RecordBatch], step: float = rate / (r + 1)) -> int:
+            heat, seen = np.zeros_like(weight), 0
+            for b in batches:
+                if b.num_rows:
+                    paths, f = lower_paths(b)
+                    paths.learn(f, weight, heat, step)
+                    seen += b.num_rows
+            return seen
+
+        part = inner.filter(F.pmod(F.xxhash64("row", F.lit("round")), F.lit(rounds)) == r).drop("row")
+        lower_weight = _averaged(part, lower_weight, task_count(n_rare, inner), lower)
+    lower_shared = spark.sparkContext.broadcast(lower_weight)
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                paths, f = lower_paths(b)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(b.column(2).to_numpy() + paths.log_probability(f, lower_shared.value))], ["row", "c", "log"])
+
+    seen = joined.filter("c is not null").select("row", "c", "up", "code", "size", "class", "bias", "f0", "f1", "f2").mapInArrow(within, "row long, c long, log double")
+    rare = seen.unionByName(joined.filter("c is null").select("row", "c", F.col("unseen").cast("double").alias("log")))
+    rare = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD))).alias("rare_base"), F.sum("log").alias("rare_log"), F.count("c").alias("rare_known"))
     out = scored.drop("rare").join(rare, "row", "left")
-    extra = F.coalesce("rare_sum", F.lit(0.0))
     return out.select(
         "doc_id",
         "n_tokens",
         (F.col("n_common") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + extra - F.col("n_tokens") * math.log10(total)).alias("base_score"),
-        (F.col("model") + extra - F.col("n_tail") * math.log10(max(tail_total, 1e-300))).alias("score"),
+        (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * math.log10(total)).alias("base_score"),
+        ((F.col("model") + F.coalesce("rare_log", F.lit(0.0))) / math.log(10)).alias("score"),
     )

@@ -220,6 +220,43 @@ def test_language_model(docs, texts):
     assert maxent.score(docs, F.lit(False)).filter("train_tokens != 0 or score > 0").count() == 0
 
 
+def test_language_model_whole_vocabulary(spark):
+    """Contexts tell all words apart, also those that are not among the most frequent."""
+    rng = random.Random(3)
+    pairs = 300
+    rows = [(1 + k, " ".join(f"a{p} b{p}" for p in rng.sample(range(pairs), 100)) + " the" * 9) for k in range(240)]
+    asked = rng.sample(range(pairs), 20)
+    held = [(-1 - 2 * i - j, f"a{p} b{(p + j) % pairs}") for i, p in enumerate(asked) for j in (0, 1)] + [(-99, "neverseen the the a1 b1")]
+    docs = spark.createDataFrame(rows + held, "doc_id long, text string")
+    for some in ({}, {"head": 4, "per_class": 3}):
+        got = {r["doc_id"]: r for r in maxent.score(docs, F.col("doc_id") > 0, **some).filter("doc_id < 0").collect()}
+        wins = sum(got[-1 - 2 * i]["score"] > got[-2 - 2 * i]["score"] + 0.1 for i in range(20))
+        assert wins >= 18
+        for r in maxent.score(docs, F.col("doc_id") > 0, rounds=0, **some).collect():
+            assert abs(r["score"] - r["base_score"]) < 1e-4 * abs(r["base_score"])
+
+
+def test_language_model_is_proper():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    h, c = rng.integers(1, 1 << 63, 500).astype(np.uint64), rng.zipf(1.4, 500).astype(np.float64)
+    weight = rng.normal(size=1 << 16).astype(np.float32)
+    tree = maxent.Tree(c)
+    f = np.tile(rng.integers(0, 1 << 32, 3).astype(np.uint32), (500, 1))
+    assert abs(np.exp(tree.paths(np.arange(500)).log_probability(f, weight)).sum() - 1) < 1e-5
+    import pyarrow as pa
+
+    order, code, size, bias, at = maxent.lower_codes(h, c, 4)
+    cls = maxent.class_of(h[order], 4)
+    cols = {"code": code, "size": size, "class": cls, "bias": [bias[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]} | {f"f{k}": f[:, k].view(np.int32) for k in range(3)}
+    paths, features = maxent.lower_paths(pa.RecordBatch.from_pydict(cols))
+    p = np.exp(paths.log_probability(features, weight))
+    assert np.allclose(np.bincount(cls, p), 1, atol=1e-5)
+    plain = np.exp(paths.log_probability(features, weight * 0))
+    assert np.allclose(plain, (c[order] + maxent.ADD) / np.bincount(cls, c[order] + maxent.ADD)[cls], rtol=1e-4)
+
+
 def test_empty_tables(spark, docs):
     none = docs.filter("doc_id < 0")
     assert partenum.near_duplicates(none).count() == substrings.remove_repeated_bytes(none).count() == substrings.remove_repeated_words(none).count() == 0
