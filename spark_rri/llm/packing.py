@@ -46,7 +46,6 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.mark_id = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         assert len(self.mark_id) == 1
 

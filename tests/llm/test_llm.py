@@ -131,6 +131,17 @@ def test_packing_round_trip(docs, texts):
     assert all(whole[i] == (2 if i == 5 else 1) * (len(t.encode(x or "", add_special_tokens=False).ids) + 1) for i, x in enumerate(texts))
 
 
+def test_packing_special_strings(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path("word_bpe_49k.json"))
+    said = ["end <|endoftext|> next", "<|startoftext|>", "in<|endoftext|>side <|endoftext|><|startoftext|>x <|ENDOFTEXT|>", "plain \x01 <|endoftext|>\x01"]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"), path("word_bpe_49k.json"), with_ids=True).collect()
+    want = {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(said)}
+    assert want[0] == [806, 49407, 1131, 2]
+    assert {r["doc_id"]: r["ids"] for r in rows} == want and all(r["doc_tokens"] == len(want[r["doc_id"]]) for r in rows)
+
+
 def test_repetition(docs, texts):
     for r in repeats.repetition_rules(docs).collect():
         text = texts[r["doc_id"]] or ""
