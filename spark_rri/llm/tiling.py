@@ -9,8 +9,9 @@ passages are found. An item is contaminated by a document when its tiles cover a
 Words are runs of non-ASCII bytes, letters and digits, lower-cased; an item with fewer words than ``min_match``
 is one seed and one tile by itself.
 
-Seeds of the benchmark go to every task only while their number is at most ``max_shared_seeds``
-(counted first); beyond that documents' distinct seeds are joined with them.
+Seeds of the benchmark go to every task only while its texts have at most ``max_shared_seeds``
+bytes, which bound the seeds (counted first); beyond that documents' distinct seeds are joined
+with them, rows known by id and a digest of their text, so null and repeated ids are safe.
 
 Edge cases: null and empty texts and items without a word match nothing; repeated documents
 and items are reported each; empty tables give no rows; other columns are ignored, and kept
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, Rolling, chunks, signed, word_hashes, words
@@ -188,7 +189,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per document and item whose tiles cover at least ``coverage`` of the item's words."""
     plain, items = _plain(docs, id_col, text_col), _items(benchmark, item_col, item_text_col)
     if not _small(items, max_shared_seeds):
-        return _joined(plain, items, min_match, coverage)
+        return _joined(plain, items, min_match, coverage).drop("doc_key")
     shared = docs.sparkSession.sparkContext.broadcast(Benchmark(items.collect(), min_match))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,8 +203,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return plain.mapInArrow(run, SCHEMA)
 
 
+def _digest(text: Column) -> Column:
+    return F.xxhash64(text.cast("binary"))
+
+
 def _joined(plain: DataFrame, items: DataFrame, min_match: int, coverage: float) -> DataFrame:
-    """The same by joins: distinct seeds of both sides, then the texts of pairs that share one."""
+    """The same by joins, with the digest of the document's text: distinct seeds of both sides, then the texts of pairs that share one."""
+    plain, items = plain.withColumn("doc_key", _digest(F.col("text"))), items.withColumn("item_key", _digest(F.col("text")))
 
     def seeds(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,13 +220,14 @@ def _joined(plain: DataFrame, items: DataFrame, min_match: int, coverage: float)
                     for length in range(1, min_match + 1) if least else [min(min_match, len(t))]:
                         s = signed(np.unique(seed_hashes(t, length))) if length else []
                         if len(s):
-                            yield pa.RecordBatch.from_arrays([pa.array([part.column(0)[d].as_py()] * len(s), pa.int64()), pa.array(s), pa.array([length] * len(s), pa.int32())], ["id", "seed", "length"])
+                            yield pa.RecordBatch.from_arrays([pa.array([part.column(k)[d].as_py()] * len(s), pa.int64()) for k in (0, 2)] + [pa.array(s), pa.array([length] * len(s), pa.int32())], ["id", "key", "seed", "length"])
 
-    schema = "id long, seed long, length int"
-    left = plain.mapInArrow(lambda b: seeds(b, 1), schema).withColumnRenamed("id", "doc_id")
-    right = items.mapInArrow(lambda b: seeds(b, 0), schema).withColumnRenamed("id", "item_id")
-    pairs = left.join(right, ["seed", "length"]).select("doc_id", "item_id").distinct()
-    both = pairs.join(plain, "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id")
+    schema = "id long, key long, seed long, length int"
+    left = plain.mapInArrow(lambda b: seeds(b, 1), schema).withColumnsRenamed({"id": "left_id", "key": "left_key"})
+    right = items.mapInArrow(lambda b: seeds(b, 0), schema).withColumnsRenamed({"id": "right_id", "key": "right_key"})
+    pairs = left.join(right, ["seed", "length"]).select("left_id", "left_key", "right_id", "right_key").distinct()
+    both = pairs.join(plain, F.col("left_id").eqNullSafe(F.col("doc_id")) & (F.col("left_key") == F.col("doc_key")))
+    both = both.join(items.withColumnRenamed("text", "item_text"), F.col("right_id").eqNullSafe(F.col("item_id")) & (F.col("right_key") == F.col("item_key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,20 +237,22 @@ def _joined(plain: DataFrame, items: DataFrame, min_match: int, coverage: float)
                 found = tiles(text_tokens(row["text"]), item, min_match)
                 got = sum(t[2] for t in found)
                 if len(item) and got >= coverage * len(item):
-                    out.append((row["doc_id"], row["item_id"], len(item), got, got / len(item), len(found)))
+                    out.append((row["doc_id"], row["item_id"], len(item), got, got / len(item), len(found), row["doc_key"]))
             if out:
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if i == 4 else pa.int64()) for i, c in enumerate(cols)], ["doc_id", "item_id", "item_words", "covered_words", "coverage", "n_tiles"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if i == 4 else pa.int64()) for i, c in enumerate(cols)], ["doc_id", "item_id", "item_words", "covered_words", "coverage", "n_tiles", "doc_key"])
 
-    return both.select("doc_id", "text", "item_id", "item_text").mapInArrow(run, SCHEMA)
+    return both.select("doc_id", "doc_key", "text", "item_id", "item_text").mapInArrow(run, SCHEMA + ", doc_key long")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = 5, coverage: float = 0.6, max_shared_seeds: int = 32 << 20) -> DataFrame:
     """The rows of docs, all columns, that contaminate no item."""
     items = _items(benchmark, item_col, item_text_col)
     if not _small(items, max_shared_seeds):
-        bad = _joined(_plain(docs, id_col, text_col), items, min_match, coverage).select(F.col("doc_id").alias(id_col)).distinct()
-        return docs.join(bad, id_col, "left_anti").select(*docs.columns)
+        bad = _joined(_plain(docs, id_col, text_col), items, min_match, coverage).select("doc_id", "doc_key").distinct()
+        own = docs.select(F.struct(*docs.columns).alias("own"))
+        same = F.col("own")[id_col].cast("long").eqNullSafe(F.col("doc_id")) & (_digest(F.col("own")[text_col]) == F.col("doc_key"))
+        return own.join(bad, same, "left_anti").select("own.*")
     shared = docs.sparkSession.sparkContext.broadcast(Benchmark(items.collect(), min_match))
     names = docs.columns
 

@@ -194,6 +194,20 @@ def test_tiling_reordered(spark, docs):
     assert tiling.contaminated(docs, bench).count() == 0
 
 
+def test_tiling_null_and_repeated_ids(spark):
+    item, other = " ".join(f"t{k}" for k in range(30)), " ".join(f"u{k}" for k in range(12))
+    rows = spark.createDataFrame([(None, item), (None, "clean words"), (7, other), (7, item), (7, "nothing here"), (8, item), (8, item), (9, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (4, other), (4, item), (5, other), (5, other), (None, None)], "item_id long, text string")
+    at_item, at_other = [None, 4], [4, 5, 5]
+    want = Counter([(d, i, 30) for d in (None, 7, 8, 8) for i in at_item] + [(7, i, 12) for i in at_other])
+    for limit in (32 << 20, -1):
+        got = tiling.contaminated(rows, bench, max_shared_seeds=limit)
+        assert got.columns == ["doc_id", "item_id", "item_words", "covered_words", "coverage", "n_tiles"]
+        assert Counter((r["doc_id"], r["item_id"], r["covered_words"]) for r in got.collect()) == want
+        kept = tiling.remove_contaminated(rows, bench, max_shared_seeds=limit)
+        assert kept.columns == rows.columns and Counter(map(tuple, kept.collect())) == Counter([(None, "clean words"), (7, "nothing here"), (9, None)])
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs.filter("doc_id % 4 != 2"))
