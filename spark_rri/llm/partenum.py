@@ -1,21 +1,25 @@
 """N-gram Jaccard join by PartEnum signatures, exact for every pair of different texts.
 
 Sets of word shingles fall into bands of similar size; sets of a band and the next share a
-tag. A tag splits the shingle domain into parts by a hash, and each set signs with the
-content of its first parts: two sets of sizes a and b with similarity of at least 4/5 differ
-in at most (a + b) / 9 shingles, so among one part more than that at least one part agrees.
-Parts empty in both sets would agree without a signature; a set with so many empty parts that
-this could hide a link signs again under another hash (``LEVELS`` times, then it also signs
-its empty parts), and both sets of a hidden link are in that case, so none is lost.
-
-Sets stand for all documents with the same shingles, so copies never meet. Sets that share a
-signature are first compared with one hub each (of the smallest sets they meet, the one met
-most often); only signatures whose sets are then still in different components give further
-pairs. Pairs whose sizes or parity sketches rule a link out are not compared; of the others the
-nearest come first, and all that still lie between components last. Before whole sets are
-compared, parity sketches as wide as the sets are large rule most other pairs out. Where such a signature
-has more than ``max_pairs`` of them, its sets sign again within it under a new hash, which
-keeps true pairs together and parts the others.
+tag. A tag splits the shingle domain by a hash into coarse parts of ``FINE`` fine parts each,
+and a set signs, for each of its first coarse parts, with every subset of ``FINE - FREE`` fine
+parts. Two sets of sizes a and b with similarity of at least 4/5 differ in at most (a + b) / 9
+shingles, so among more than half as many coarse parts one has at most ``FREE`` = 1 difference,
+and the subset without that fine part agrees. A subset that is empty in both sets would agree
+without a signature; a set with so many of them that this could hide a link signs again under
+another hash (``LEVELS`` times, then with its empty subsets too), and both sets of a hidden
+link are in that case, so none is lost. Sets that can only link with equal sets do not sign.
+
+Sets stand for all documents with the same shingles, so copies never meet. Groups of sets that
+share a signature are settled in turns, each linear in their members: first every set meets
+one hub, of its groups' most connected sets the nearest; in later turns members outside a
+group's largest component meet a member of it, another one in every group, and again only the
+nearest counts. Groups that still hold different components then give their pairs across
+components, as far as sizes and parity sketches allow a link. A group that could give more
+than ``max_pairs`` of them is not paired: its sets are told apart by their rarest shingles
+instead (two sets that link share one of each other's 1/5 rarest), and the groups of sets that
+share such a shingle are settled in the same way. Before whole sets are compared, parity
+sketches as wide as the sets are large rule most other pairs out.
 
 Edge cases: null, empty and blank texts have an empty set and link with nothing; a text of
 fewer words than a shingle is one shingle; repeated rows link like copies; rows with a null id are components by their text's group; an empty table
@@ -29,7 +33,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, Rolling, chunks, mix, owners, signed, word_hashes, words
@@ -38,6 +42,8 @@ from .storage import Scratch, beside, bounded_batches
 
 SHINGLE = 5
 LEVELS = 3
+#: Fine parts of a coarse part, and how many of them a signature leaves out.
+FINE, FREE = 3, 1
 #: Similarity of at least 80 / 100.
 OVER, UNDER = 80, 100
 SEEN_SETS = 200_000
@@ -45,8 +51,8 @@ SKETCH = 16
 #: Bits a shingle, at least, of the sketches that are compared before whole sets.
 WIDE = 4
 SKETCHES = [f"p{k}" for k in range(SKETCH)]
-#: After so many new hashes within a large signature, its remaining pairs are compared one by one.
-REFINEMENTS = 2
+#: Turns in which every set is compared with one member of its groups at most.
+TURNS = 3
 #: Rounds in which every set is compared with its nearest candidate only, before all that are left.
 NEAREST_FIRST = 2
 
@@ -61,10 +67,10 @@ def bands(limit: int = 1 << 31) -> np.ndarray:
 
 
 TOPS = bands()
-#: By tag: most differences within it, and spare parts against empty ones.
+#: By tag: most differences within it, coarse parts, of which some are spare against empty ones.
 MOST = 2 * TOPS // 9
-SPARE = np.where(MOST > 0, np.ceil(0.08 * MOST).astype(np.int64) + 1, 0)
-PARTS = MOST + 1 + SPARE
+SPARE = 1 + (MOST // (FREE + 1) + 1) // 12
+PARTS = MOST // (FREE + 1) + 1 + SPARE
 
 
 def shingles(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,46 +104,54 @@ def digests(value: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(np.diff(at) > 0, out | np.uint64(1), np.uint64(0))
 
 
-def signatures(value: np.ndarray, at: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def signatures(value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(set, signature) of all sets, both tags, repeated under other hashes where parts are empty."""
     size = np.diff(at)
     sets = np.flatnonzero(size)
     band = np.searchsorted(TOPS, size[sets])
     who, sigs = [], []
     for step in (0, 1):
-        _sign(value, at, sets, band + step, seed, 0, who, sigs)
+        _sign(value, at, sets, band + step, 0, who, sigs)
     return np.concatenate(who), np.concatenate(sigs)
 
 
-def _sign(value: np.ndarray, at: np.ndarray, sets: np.ndarray, tag: np.ndarray, seed: int, level: int, who: list, sigs: list) -> None:
+def _sign(value: np.ndarray, at: np.ndarray, sets: np.ndarray, tag: np.ndarray, level: int, who: list, sigs: list) -> None:
     if not len(sets):
         who.append(np.zeros(0, np.int64))
         sigs.append(np.zeros(0, np.uint64))
         return
     size = at[sets + 1] - at[sets]
     partner = np.minimum(TOPS[tag], size * UNDER // OVER)
-    used = (size + partner) // 9 + 1 + SPARE[tag]
+    apart = (size + partner) // 9
+    used = np.where(apart > 0, apart // (FREE + 1) + 1 + SPARE[tag], 0)
     parts = PARTS[tag]
     own = np.concatenate([[0], np.cumsum(size)])
     k = np.repeat(np.arange(len(sets)), size)
     v = value[np.repeat(at[sets] - own[:-1], size) + np.arange(own[-1])]
-    salt = mix((tag * 64 + level * 8).astype(np.uint64) + np.uint64(seed << 32))
-    cell = (mix(v ^ salt[k]) >> np.uint64(33)).astype(np.int64) % parts[k]
-    inside = cell < used[k]
+    salt = mix((tag * 64 + level * 8).astype(np.uint64))
+    x = mix(v ^ salt[k])
+    coarse = (x >> np.uint64(33)).astype(np.int64) % parts[k]
+    inside = np.flatnonzero(coarse < used[k])
+    k, x = k[inside], x[inside]
     base = np.concatenate([[0], np.cumsum(used)])
-    total = np.zeros(base[-1], np.uint64)
-    np.add.at(total, base[k[inside]] + cell[inside], mix(v[inside] + np.uint64(0x2545F4914F6CDD1D)))
-    cells = np.arange(base[-1])
+    fine = (x & np.uint64(0xFFFFFFFF)).astype(np.int64) % FINE
+    total = np.zeros(base[-1] * FINE, np.uint64)
+    np.add.at(total, (base[k] + coarse[inside]) * FINE + fine, mix(v[inside] + np.uint64(0x2545F4914F6CDD1D)))
+    total = total.reshape(-1, FINE)
     owner = owners(base)
-    filled = total != 0
-    empty = np.bincount(owner[~filled], minlength=len(sets))
-    short = empty > SPARE[tag]
-    emit = filled | (short[owner] if level == LEVELS - 1 else False)
-    sig = mix(total + mix(salt[owner] + (cells - base[owner]).astype(np.uint64)))
-    who.append(sets[owner[emit]])
-    sigs.append(sig[emit])
+    place = mix(salt[owner] + (np.arange(base[-1]) - base[owner]).astype(np.uint64) * np.uint64(2 * FINE))
+    found, empty = [], np.zeros(base[-1], bool)
+    for left_out in range(FINE):  # every subset of FINE - FREE fine parts leaves out one
+        content = total.sum(axis=1) - total[:, left_out]
+        empty |= content == 0
+        found.append((content, mix(content + mix(place + np.uint64(left_out)))))
+    short = np.bincount(owner[empty], minlength=len(sets)) > SPARE[tag]
+    for content, sig in found:
+        emit = (content != 0) | (short[owner] if level == LEVELS - 1 else False)
+        who.append(sets[owner[emit]])
+        sigs.append(sig[emit])
     if short.any() and level < LEVELS - 1:
-        _sign(value, at, sets[short], tag[short], seed, level + 1, who, sigs)
+        _sign(value, at, sets[short], tag[short], level + 1, who, sigs)
 
 
 def parities(value: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -269,43 +283,120 @@ def _may_link(x: str, y: str) -> Column:
     return sizes & F.expr(f"9 * ({apart}) <= {x}.n_shingles + {y}.n_shingles")
 
 
-def _hub_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(a, b): of the hubs that a set b meets and may link with, the one it shares most signatures with."""
-    met = members.filter("digest != hub").groupBy("digest", "hub").agg(F.count("*").alias("times"))
-    x = sketches.alias("x")
-    y = sketches.alias("y")
-    met = met.withColumnRenamed("digest", "met")
-    fit = met.join(x, F.col("met") == F.col("x.digest")).join(y, (F.col("hub") == F.col("y.digest")) & _may_link("x", "y"))
-    best = fit.groupBy(F.col("x.digest").alias("b")).agg(F.max(F.struct("times", F.col("y.digest").alias("a"))).alias("m"))
-    return best.select(F.least("m.a", "b").alias("a"), F.greatest("m.a", "b").alias("b")).distinct()
+def _members(rows: DataFrame) -> DataFrame:
+    """(sig, digest), each once, of signatures that at least two sets share."""
+    dealt = rows.repartition("sig")
+    live = dealt.groupBy("sig").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low < high").select("sig")
+    return dealt.join(live.hint("shuffle_hash"), "sig").distinct()
 
 
-def _refined(plain: DataFrame, big: DataFrame, holders: DataFrame, scratch: Scratch, seed: int) -> DataFrame:
-    """Signatures under a new hash within each signature of ``big``."""
-    sets = _sets_of(plain, big.select("digest").distinct().join(holders, "digest"), scratch)
+def _central(members: DataFrame) -> DataFrame:
+    """(sig, met, digest): every set with its groups' hubs, the sets that meet most others."""
+    sizes = members.groupBy("sig").agg(F.count("*").alias("n"))
+    degree = members.join(sizes, "sig").groupBy("digest").agg(F.sum("n").alias("degree"))
+    hubs = members.join(degree, "digest").groupBy("sig").agg(F.max_by("digest", F.struct("degree", "digest")).alias("met"))
+    return members.join(hubs, "sig").filter("digest != met")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raws = batch.column(2).to_pylist()
-            value = np.frombuffer(b"".join(raws), np.uint64)
-            who, sig = signatures(value, np.concatenate([[0], np.cumsum([len(r) // 8 for r in raws])]), seed)
-            outer = batch.column(0).to_numpy().view(np.uint64)[who]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(mix(outer ^ sig))), batch.column(1).take(pa.array(who))], ["sig", "digest"])
 
-    return big.select("sig", "digest").join(sets, "digest").select("sig", "digest", "shingles").mapInArrow(run, "sig long, digest long")
+def _named(members: DataFrame, label: DataFrame, turn: int) -> DataFrame:
+    """(sig, digest, label, top, met, rows, same) of groups with several components.
 
+    top is a group's largest component and met one of its members, another one for every group and turn;
+    same counts the pairs of members within components.
+    """
+    named = members.select("sig", "digest").join(label, "digest", "left").select("sig", "digest", F.coalesce("label", "digest").alias("label"))
+    parts = named.groupBy("sig", "label").agg(F.count("*").alias("n"), F.max_by("digest", F.xxhash64("digest", "sig", F.lit(turn))).alias("met"))
+    groups = parts.groupBy("sig").agg(F.max(F.struct("n", "label", "met")).alias("m"), F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("labels"))
+    return named.join(groups.filter("labels > 1").select("sig", F.col("m.label").alias("top"), F.col("m.met").alias("met"), "rows", "same"), "sig")
+
+
+def _nearest(met: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b): of the sets that a set meets and may link with, the one with the nearest sketch."""
+    met = met.select(F.col("digest").alias("own"), "met").distinct()
+    x, y = sketches.alias("x"), sketches.alias("y")
+    fit = met.join(x, F.col("own") == F.col("x.digest")).join(y, (F.col("met") == F.col("y.digest")) & _may_link("x", "y"))
+    best = fit.groupBy("own").agg(F.min_by("met", F.struct(_apart("x", "y"), "met")).alias("met"))
+    return best.select(F.least("own", "met").alias("a"), F.greatest("own", "met").alias("b")).distinct()
+
+
+def _merged(label: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(digest, label) after more links; only the components they touch are walked."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    known = scratch.save(label.union(ends.join(label, "digest", "left_anti").select("digest", F.col("digest").alias("label"))))
+    of = lambda c: known.select(F.col("digest").alias(c), F.col("label").alias(f"l{c}"))
+    found = components(links.join(of("a"), "a").join(of("b"), "b").filter("la != lb"), scratch, "la", "lb")
+    found = found.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    return scratch.save(known.join(found, "label", "left").select("digest", F.coalesce("new", "label").alias("label")))
 
-def _members(rows: DataFrame) -> DataFrame:
-    """Rows, each once, of signatures that at least two sets share, with the smallest of them as hub."""
-    dealt = rows.repartition("sig")
-    live = dealt.groupBy("sig").agg(F.min("digest").alias("hub"), F.max("digest").alias("top")).filter("hub < top").select("sig", "hub")
-    return dealt.join(live.hint("shuffle_hash"), "sig").select("sig", "digest", "hub").distinct()
 
+def _rarest(plain: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(sig, digest): the rarest shingles, 1/5 of each set's, that at least two of the wanted sets share.
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_pairs: int = 4_000_000) -> DataFrame:
-    """One row per document: size of its set and the smallest id of its component."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    Sets of sizes a and b that link share 4/5 of either; in any one order of all shingles,
+    each of them has one of those among its first n - ceil(4 n / 5) + 1.
+    """
+    sets = scratch.save(_sets_of(plain, wanted, scratch))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw, at in chunks(batch, "shingles"):
+                yield pa.RecordBatch.from_arrays([pa.array(raw.view(np.int64)), part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), np.diff(at) // 8)))], ["sig", "digest"])
+
+    rows = sets.mapInArrow(each, "sig long, digest long")
+    shared = rows.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")
+    order = Window.partitionBy("digest").orderBy("n", "sig")  # as many rows as the set has shingles
+    met = rows.join(shared, "sig").withColumns({"place": F.row_number().over(order), "common": F.count("*").over(Window.partitionBy("digest"))})
+    # shingles of one set alone come first in the order, but are met nowhere
+    first = F.expr(f"common - ({OVER} * n_shingles + {UNDER - 1}) div {UNDER} + 1")
+    return met.join(sets.select("digest", "n_shingles"), "digest").filter(F.col("place") <= first).select("sig", "digest")
+
+
+def _apart(x: str, y: str) -> Column:
+    return F.expr(" + ".join(f"bit_count({x}.{c} ^ {y}.{c})" for c in SKETCHES))
+
+
+def _settled(members: DataFrame, label: DataFrame, plain: DataFrame, holders: DataFrame, sketches: DataFrame, max_pairs: int, scratch: Scratch, again: bool = True) -> DataFrame:
+    """(digest, label) after all links between sets that share a signature of members."""
+    met = _central(members)
+    for turn in range(1, TURNS + 1):
+        now = scratch.save(_nearest(met, sketches))
+        if now.take(1):
+            label = _merged(label, scratch.save(_linked(plain, now, holders, scratch)), scratch)
+        members = scratch.save(_named(members, label, turn))
+        met = members.filter("label != top")
+        scratch.release()
+    small = F.col("rows") * F.col("rows") - F.col("same") <= (max_pairs if again else 1 << 62)
+    near = members.filter(small).select("sig", "digest", "label", "top").join(sketches, "digest")
+    # of two sets in different components at least one is outside the group's largest
+    across = F.expr("x.label != y.label and (y.label = y.top or x.digest < y.digest)")
+    pairs = near.filter("label != top").alias("x").join(near.alias("y"), (F.col("x.sig") == F.col("y.sig")) & across & _may_link("x", "y"))
+    pairs = scratch.save(pairs.select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b"), _apart("x", "y").alias("apart")).distinct())
+    for turn in range(NEAREST_FIRST + 1):
+        of = lambda c: label.select(F.col("digest").alias(c), F.col("label").alias(f"l{c}"))  # noqa: E731, B023
+        pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "apart")
+        now = pairs.select("a", "b")
+        if turn < NEAREST_FIRST:  # a set's nearest set elsewhere; most components merge by these pairs
+            ends = pairs.withColumn("end", F.explode(F.array("a", "b")))
+            now = ends.groupBy("end").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        now = scratch.save(now)
+        if not now.take(1):
+            break
+        label = _merged(label, scratch.save(_linked(plain, now, holders, scratch)), scratch)
+        pairs = scratch.save(pairs.join(now, ["a", "b"], "left_anti"))
+        scratch.release()
+    hot = members.filter(~small).select("digest").distinct()
+    if again and hot.take(1):
+        rare = scratch.save(_rarest(plain, hot.join(holders, "digest"), scratch))
+        label = _settled(rare, label, plain, holders, sketches, max_pairs, scratch, again=False)
+    return label
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_pairs: int = 250_000) -> DataFrame:
+    """One row per document: size of its set and the smallest id of its component.
+
+    max_pairs decides how a group is settled, not what is found.
+    """
+    scratch = Scratch(docs.sparkSession)
     plain = _plain(docs, id_col, text_col)
     profile = scratch.save(_profiles(plain))
     one = profile.filter("digest != 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), *[F.first(c).alias(c) for c in SKETCHES])
@@ -313,47 +404,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     holders, sketches = one.select("digest", "doc_id"), one.select("digest", "n_shingles", *SKETCHES)
     members = scratch.save(_members(_signed_rows(plain)))
     scratch.release()
-    pairs = scratch.save(_hub_pairs(members, sketches))
-    links = scratch.save(_linked(plain, pairs, holders, scratch))
-    checked, seed = pairs, 0
-    label = components(links, scratch)
-    while True:
-        named = members.select("sig", "digest").join(label.withColumnRenamed("node", "digest"), "digest", "left").select("sig", "digest", F.coalesce("label", "digest").alias("label"))
-        parts = named.groupBy("sig", "label").agg(F.count("*").alias("n"))
-        open_ = parts.groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("labels"), F.max_by("label", "n").alias("top")).filter("labels > 1")
-        room = max_pairs if seed < REFINEMENTS else 1 << 62
-        left = scratch.save(named.join(open_.select("sig", "top", (F.col("n") * F.col("n") - F.col("same") <= room).alias("small")), "sig"))
-        small, big = left.filter("small").join(sketches, "digest"), left.filter("not small")
-        # of two sets in different components at least one is outside the signature's largest
-        across = F.expr("x.label != y.label and (y.label = y.top or x.digest < y.digest)")
-        more = small.filter("label != top").alias("x").join(small.alias("y"), (F.col("x.sig") == F.col("y.sig")) & across & _may_link("x", "y"))
-        apart = F.expr(" + ".join(f"bit_count(x.{c} ^ y.{c})" for c in SKETCHES)).alias("apart")
-        more = more.select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b"), apart).distinct()
-        more = scratch.save(more.join(checked, ["a", "b"], "left_anti"))
-        for turn in range(NEAREST_FIRST + 1):
-            names = label.withColumnRenamed("label", "of")
-            now = more.join(names.withColumnRenamed("node", "a").withColumnRenamed("of", "la"), "a", "left").join(names.withColumnRenamed("node", "b").withColumnRenamed("of", "lb"), "b", "left")
-            now = now.withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).filter("la != lb").join(checked, ["a", "b"], "left_anti")
-            if turn < NEAREST_FIRST:  # a set's nearest set elsewhere; most components merge by these pairs
-                ends = now.select("a", "b", "apart", F.explode(F.array("a", "b")).alias("end"))
-                now = ends.groupBy("end").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-            now = scratch.save(now.select("a", "b"))
-            if not now.take(1):
-                break
-            checked = scratch.save(checked.union(now))
-            links = scratch.save(links.union(_linked(plain, now, holders, scratch)))
-            label = components(links, scratch)
-            scratch.release()
-        if not big.take(1):
-            break
-        seed += 1
-        members = scratch.save(_members(_refined(plain, big, holders, scratch, seed)))
-        fresh = scratch.save(_hub_pairs(members, sketches).join(checked, ["a", "b"], "left_anti"))
-        if fresh.take(1):
-            checked = scratch.save(checked.union(fresh))
-            links = scratch.save(links.union(_linked(plain, fresh, holders, scratch)))
-            label = components(links, scratch)
-    first = holders.join(label.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "doc_id", F.coalesce("label", "digest").alias("label"))
+    alone = holders.limit(0).select("digest", F.col("digest").alias("label"))
+    label = _settled(members, alone, plain, holders, sketches, max_pairs, scratch)
+    first = holders.join(label, "digest", "left").select("digest", "doc_id", F.coalesce("label", "digest").alias("label"))
     smallest = first.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = first.join(smallest, "label").select("digest", "component_id")
     return profile.join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -367,7 +420,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     scratch = Scratch(docs.sparkSession)
     found = scratch.save(near_duplicates(docs, id_col, text_col))
     gone = scratch.save(found.filter("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct())
-    left = docs.join(beside(gone), F.col(id_col).cast("long") == F.col("gone_id"), "left_anti")
+    left = docs.alias("d").join(beside(gone).alias("g"), F.col(f"d.`{id_col}`").cast("long") == F.col("g.gone_id"), "left_anti")
     if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").take(1):
         named, bare = left.filter(F.col(id_col).isNotNull()), left.filter(F.col(id_col).isNull())
         left = named.dropDuplicates([id_col]).union(bare)

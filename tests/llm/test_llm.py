@@ -80,7 +80,7 @@ def sets(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize("max_pairs", [4_000_000, 0])
+@pytest.mark.parametrize("max_pairs", [250_000, -1])
 def test_jaccard_components(docs, texts, max_pairs):
     every = [sets(t) for t in texts]
     label = list(range(len(texts)))
@@ -95,6 +95,47 @@ def test_jaccard_components(docs, texts, max_pairs):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
 
 
+def test_signatures_lose_no_link():
+    """Pairs exactly at the bound, of all sizes, share the signature of some subset of parts."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for n in (1, 4, 5, 6, 9, 12, 20, 33, 100, 400, 1500):
+        for _ in range(40):
+            a = np.unique(rng.integers(1, 1 << 62, n).astype(np.uint64))
+            gone, more = next((r, q) for q in (int(rng.integers(0, n // 4 + 1)),) for r in range(n, -1, -1) if 100 * (n - r) >= 80 * (n + q))
+            b = np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(1, 1 << 62, more).astype(np.uint64)]))
+            who, sig = partenum.signatures(np.concatenate([a, b]), np.cumsum([0, len(a), len(b)]))
+            if gone or more:
+                assert set(sig[who == 0].tolist()) & set(sig[who == 1].tolist())
+
+
+def test_jaccard_many_sharing_a_passage(spark):
+    """Texts with one passage in common and chains of near copies, settled with and without pairs."""
+    rng = random.Random(4)
+    passage = [f"p{k}" for k in range(40)]
+    texts = [" ".join(passage + [f"q{rng.randrange(10**6)}" for _ in range(12)]) for _ in range(60)]
+    now = [f"c{k}" for k in range(50)]
+    for _ in range(25):
+        now = list(now)
+        now[rng.randrange(50)] = f"d{rng.randrange(10**6)}"
+        texts.append(" ".join(now))
+    rows = spark.createDataFrame(list(enumerate(texts)), "gone_id long, text string")
+    every = [sets(t) for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(every):
+        for j, b in enumerate(every[:i]):
+            if 100 * len(a & b) >= 80 * len(a | b):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    assert 60 < len(set(label)) < 85
+    for max_pairs in (250_000, 10):
+        got = partenum.near_duplicates(rows, id_col="gone_id", max_pairs=max_pairs).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(label))
+    kept = partenum.keep_one_of_each(rows, id_col="gone_id")
+    assert kept.columns == rows.columns and sorted(r[0] for r in kept.collect()) == sorted(set(label))
+
+
 def test_wide_sketches_never_rule_out_a_link():
     import numpy as np
 
