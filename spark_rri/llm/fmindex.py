@@ -1,9 +1,16 @@
-"""A compressed full-text index: the transformed text in a wavelet matrix of packed bits."""
+"""A compressed full-text index: the transformed text in a wavelet tree in the shape of a Huffman code.
+
+The tree's bits are as many as the Huffman code of the text has, so frequent symbols cost few
+of them and few steps. Nodes of a level lie side by side in the order of their code prefixes;
+codes are canonical (shorter ones first), so the inner nodes of a level are consecutive numbers.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
+from .arrays import owners
+from .huffman import canonical
 from .repeats import suffix_ranks
 
 
@@ -15,7 +22,7 @@ class Bits:
         padded = np.zeros((n // 64 + 1) * 64, np.uint8)
         padded[:n] = bits
         self.words = np.packbits(padded, bitorder="little").view(np.uint64)
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words))]).astype(np.int64)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words))]).astype(np.int32)
 
     def ones(self, i: np.ndarray) -> np.ndarray:
         """Set bits before each place."""
@@ -24,45 +31,76 @@ class Bits:
         return self.before[w] + np.bitwise_count(self.words[w] & low)
 
 
+class Wavelet:
+    """Ranks of symbols in a sequence over 0 .. size - 1, every symbol of which occurs."""
+
+    def __init__(self, sequence: np.ndarray, count: np.ndarray):
+        self.code, self.size = canonical(count)
+        leaf = np.argsort(self.size, kind="stable")  # in the order of codes
+        total = np.concatenate([[0], np.cumsum(count[leaf])])
+        self.levels: list[tuple[int, np.ndarray, np.ndarray, Bits]] = []
+        for depth in range(int(self.size.max(initial=0))):
+            low = int(np.searchsorted(self.size[leaf], depth, "right"))  # leaves above have ended
+            prefix = self.code[leaf[low:]] >> (self.size[leaf[low:]] - depth)
+            first = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1]))
+            start = np.append(total[low + first] - total[low], total[-1] - total[low])
+            bit = (self.code[sequence] >> (self.size[sequence] - 1 - depth)) & 1
+            bits = Bits(bit)
+            ones = bits.ones(start)
+            self.levels.append((int(prefix[0]), start[:-1].astype(np.int32), ones[:-1].astype(np.int32), bits))
+            # within each node zeros come first, and either in their order
+            node = owners(start)
+            up = np.cumsum(bit) - bit - ones[node]
+            place = np.arange(len(bit)) - start[node]
+            zeros = (np.diff(start) - np.diff(ones))[node]
+            new = np.empty_like(sequence)
+            new[start[node] + np.where(bit == 1, zeros + up, place - up)] = sequence
+            sequence = new[self.size[new] > depth + 1]
+
+    def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """How often each symbol stands before the place."""
+        order = np.argsort(-self.size[symbol], kind="stable")
+        size, code, r = self.size[symbol][order], self.code[symbol][order], place[order]
+        for depth, (lead, start, ones, bits) in enumerate(self.levels):
+            n = int(np.searchsorted(-size, -depth, "left"))
+            if not n:
+                break
+            left = size[:n] - depth
+            node = (code[:n] >> left) - lead
+            up = bits.ones(start[node] + r[:n]) - ones[node]
+            r[:n] = np.where((code[:n] >> (left - 1)) & 1, up, r[:n] - up)
+        out = np.empty_like(r)
+        out[order] = r
+        return out
+
+
 class FMIndex:
-    """Counts patterns in a text of numbers by backward search, for many patterns at once."""
+    """Weighs patterns in a text of numbers by backward search, for many patterns at once.
+
+    weight says how much an occurrence that starts at a place of the text counts.
+    """
 
-    def __init__(self, symbols: np.ndarray):
+    def __init__(self, symbols: np.ndarray, weight: np.ndarray):
         n = len(symbols)
         order, _ = suffix_ranks(symbols, np.array([0, n]))
-        last = symbols[order - 1]  # order 0 wraps to the text's last symbol
-        size = int(symbols.max()) + 1 if n else 1
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=size))])
-        self.levels, self.zeros = [], []
-        self.depth = max(1, int(size - 1).bit_length())
-        for b in range(self.depth - 1, -1, -1):
-            bit = (last >> b) & 1
-            self.levels.append(Bits(bit))
-            self.zeros.append(int(n - bit.sum()))
-            last = np.concatenate([last[bit == 0], last[bit == 1]])
-        every = np.arange(size)
-        self.base = self._down(every, np.zeros(size, np.int64))
-
-    def _down(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
-        for k, (bits, zeros) in enumerate(zip(self.levels, self.zeros, strict=True)):
-            ones = bits.ones(place)
-            place = np.where((symbol >> (self.depth - 1 - k)) & 1, zeros + ones, place - ones)
-        return place
+        count = np.bincount(symbols)
+        self.first = np.concatenate([[0], np.cumsum(count)])
+        self.heft = np.concatenate([[0], np.cumsum(weight[order])])
+        self.bwt = Wavelet(symbols[order - 1], count)  # order 0 wraps to the text's last symbol
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals after putting a symbol before each pattern."""
-        shift = self.first[symbol] - self.base[symbol]
-        both = self._down(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
-        return both[: len(low)] + shift, both[len(low) :] + shift
+        both = self.bwt.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
+        return both[: len(low)] + self.first[symbol], both[len(low) :] + self.first[symbol]
 
     def matching(self, text: np.ndarray, end: np.ndarray, most: int) -> np.ndarray:
-        """For each end: how far the text before it, up to ``most`` symbols, occurs at least twice in the index."""
+        """For each end: how far the text before it, up to ``most`` symbols, has a weight of 2 at least in the index."""
         got = np.zeros(len(end), np.int64)
         alive = np.arange(len(end))
         low, high = np.zeros(len(end), np.int64), np.full(len(end), int(self.first[-1]), np.int64)
         for t in range(1, most + 1):
             low, high = self.step(text[end[alive] - t], low, high)
-            ok = high - low >= 2
+            ok = self.heft[high] - self.heft[low] >= 2
             alive, low, high = alive[ok], low[ok], high[ok]
             if not len(alive):
                 break
@@ -71,7 +109,7 @@ class FMIndex:
 
 
 def repeated_windows(index: FMIndex, text: np.ndarray, begin: np.ndarray, count: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(run, window): windows of ``width`` that occur at least twice, of runs given by first place and number.
+    """(run, window): windows of ``width`` that weigh at least 2 in the index, of runs given by first place and number.
 
     A window's statistic says where it stops matching; no window over that place can match, so the run goes on behind it.
     """
@@ -86,8 +124,9 @@ def repeated_windows(index: FMIndex, text: np.ndarray, begin: np.ndarray, count:
         own, s = live[hit], s[hit]
         # where a window repeats, the whole stretch behind it often does
         many = np.minimum(count[own] - s, width)
-        reach = index.matching(text, begin[own] + s + many - 1 + width, 2 * width - 1)
-        many = np.where(reach >= many - 1 + width, many, 1)
+        more = np.flatnonzero(many > 1)
+        reach = index.matching(text, begin[own[more]] + s[more] + many[more] - 1 + width, 2 * width - 1)
+        many[more] = np.where(reach >= many[more] - 1 + width, many[more], 1)
         runs.append(np.repeat(own, many))
         found.append(np.repeat(s, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
         at[own] = s + many

@@ -51,6 +51,10 @@ SCRIPTS = (
 )
 
 
+#: The table of letters, made once in a worker.
+_letter: list[np.ndarray] = []
+
+
 def code_points(raw: np.ndarray) -> np.ndarray:
     """Code point at each UTF-8 lead byte, 0 at continuation bytes."""
     b = np.concatenate([raw, np.zeros(3, np.uint8)]).astype(np.int32)
@@ -62,15 +66,19 @@ def code_points(raw: np.ndarray) -> np.ndarray:
     )
 
 
+def letters_of(points: np.ndarray) -> np.ndarray:
+    """Whether each code point is a letter by its Unicode category, which digits, marks and signs of a script's block are not."""
+    if not _letter:
+        _letter.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
+    return _letter[0][np.minimum(points, 0x10FFFF)]
+
+
 def scripts_of(points: np.ndarray) -> np.ndarray:
     """Script index + 1 of letters of a known script, else 0."""
     low = np.array([s[1] for s in SCRIPTS])
     high = np.array([s[2] for s in SCRIPTS])
     at = np.searchsorted(low, points, "right") - 1
-    known = (at >= 0) & (points <= high[at])
-    latin = known & (at == 0)
-    odd = latin & (((points > 0x5A) & (points < 0x61)) | ((points > 0x7A) & (points < 0xC0)) | (points == 0xD7) | (points == 0xF7))
-    return np.where(known & ~odd, at + 1, 0)
+    return np.where((at >= 0) & (points <= high[at]) & letters_of(points), at + 1, 0)
 
 
 def word_scripts(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,8 +224,11 @@ def detect(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id",
     return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, SCHEMA)
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that have a language."""
+def keep_identified(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.25) -> DataFrame:
+    """The rows of docs, all columns, that are in one learned language: it labels at least ``least`` of the text's letters.
+
+    Null texts, texts without a letter and texts in scripts that no learned language uses go, and so do all without a model.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at_text = docs.columns.index(text_col)
 
@@ -226,8 +237,9 @@ def keep_identified(docs: DataFrame, model: LanguageModel | None, id_col: str =
             own = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at_text).cast(pa.binary())], ["doc_id", "text"])
             low = 0
             for part, raw, at in chunks(own):
-                found = label(part, raw, at, shared.value, False).column(1)
-                yield batch.slice(low, part.num_rows).filter(pc.not_equal(found, UNKNOWN))
+                found = label(part, raw, at, shared.value, False)
+                good = pc.and_(pc.not_equal(found.column(1), UNKNOWN), pc.greater_equal(found.column(2), least))
+                yield batch.slice(low, part.num_rows).filter(good)
                 low += part.num_rows
 
     return bounded_batches(docs).mapInArrow(run, docs.schema)
@@ -246,10 +258,9 @@ def label(part: pa.RecordBatch, raw: np.ndarray, at: np.ndarray, m: LanguageMode
         share = np.bincount(owner * k + lang, counted, minlength=n * k).reshape(n, k)
     total = share.sum(axis=1)
     best = np.where(total > 0, share.argmax(axis=1), m.common if m else 0)
-    score = np.where(total > 0, share.max(axis=1) / np.maximum(total, 1), 0.0)
-    lettered = np.bincount(owner, letters[index], minlength=n) > 0
-    for i in np.flatnonzero(~lettered):  # letters outside the listed scripts
-        lettered[i] = any(c.isalpha() for c in (part.column(1)[i].as_py() or b"").decode("utf-8", "replace"))
+    every = np.bincount(owner, counts_of(letters_of(code_points(own)), s, e)[index], minlength=n)  # letters of any script
+    lettered = every > 0
+    score = np.where(total > 0, share.max(axis=1) / np.maximum(every, 1), 0.0)
     pred = [m.languages[b] if ok and m else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
     score = np.where(lettered, score, 0.0)
     cut = np.zeros(len(starts), bool)

@@ -92,26 +92,3 @@ def _emit(group: list[int], members: list[list[int]], after: list[int], smaller:
             placed[j] = True
             j = smaller[j]
     return out
-
-
-def longest_elsewhere(symbols: Sequence[int], order: Sequence[int]) -> np.ndarray:
-    """For each place, how many symbols from there also start at another place (larger neighbour prefix)."""
-    n = len(symbols)
-    rank = [0] * n
-    for k, i in enumerate(order):
-        rank[i] = k
-    prefix, h = [0] * (n + 1), 0
-    for i in range(n):
-        k = rank[i]
-        if k == 0:
-            h = 0
-            continue
-        j = order[k - 1]
-        while i + h < n and j + h < n and symbols[i + h] == symbols[j + h]:
-            h += 1
-        prefix[k] = h
-        h -= h > 0
-    prefix = np.array(prefix)
-    out = np.empty(n, np.int64)
-    out[np.asarray(order)] = np.maximum(prefix[:-1], prefix[1:])
-    return out

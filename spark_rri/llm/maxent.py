@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, chunks, mix, signed, word_hashes, words
+from .huffman import canonical
 from .storage import Scratch, bounded_batches
 
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
@@ -131,48 +132,18 @@ class Paths:
             weight[own] -= np.float32(rate) * total / np.sqrt(heat[own] + 1)
 
 
-def huffman_sizes(weight: np.ndarray) -> np.ndarray:
-    """Code lengths of ascending weights, by the two queues of leaves and joins."""
-    n, w = len(weight), weight.tolist()
-    joined: list[float] = []
-    parent = [0] * (2 * n - 1)
-    leaf = join = 0
-    for k in range(n - 1):
-        total = 0.0
-        for _ in range(2):
-            if leaf < n and (join >= len(joined) or w[leaf] <= joined[join]):
-                total += w[leaf]
-                parent[leaf] = n + k
-                leaf += 1
-            else:
-                total += joined[join]
-                parent[n + join] = n + k
-                join += 1
-        joined.append(total)
-    depth = [0] * (2 * n - 1)
-    for k in range(2 * n - 3, -1, -1):
-        depth[k] = depth[parent[k]] + 1
-    return np.array(depth[:n], np.int64)
-
-
 class Tree:
     """Canonical Huffman tree: at each depth leaves come before inner nodes, so nodes need no table of paths."""
 
     def __init__(self, weight: np.ndarray):
-        order = np.argsort(weight, kind="stable")
-        self.size = np.empty(len(weight), np.int64)
-        self.size[order] = huffman_sizes(weight[order])
+        self.code, self.size = canonical(weight)
         deepest = int(self.size.max())
         count = np.bincount(self.size, minlength=deepest + 1)
-        start = [0]
-        for d in range(deepest):
-            start.append(start[-1] + int(count[d]) << 1)
-        self.lead = [a + int(c) for a, c in zip(start, count, strict=True)]
+        self.lead, start = [], 0
+        for c in count.tolist():
+            self.lead.append(start + c)
+            start = self.lead[-1] << 1
         self.first = np.concatenate([[0], np.cumsum([(1 << d) - x for d, x in enumerate(self.lead)])])
-        by = np.argsort(self.size, kind="stable")
-        rank = np.arange(len(by)) - np.concatenate([[0], np.cumsum(count)])[self.size[by]]
-        self.code = np.empty(len(by), np.int64)
-        self.code[by] = np.array(start, np.int64)[self.size[by]] + rank
         mass = np.zeros((2, int(self.first[-1])))
         for d in range(deepest):
             below = np.flatnonzero(self.size > d)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .arrays import LOWER, Rolling, chunks, mix, owners, signed, word_hashes, words
 from .components import components
-from .storage import Scratch, beside, bounded_batches
+from .storage import Scratch, bounded_batches
 
 SHINGLE = 5
 LEVELS = 3
@@ -248,7 +248,7 @@ def _sets_of(plain: DataFrame, wanted: DataFrame, scratch: Scratch, form: Callab
                 same = pc.equal(found, part.column(2))  # another text of the same id is not the holder
                 yield pa.RecordBatch.from_arrays([found, pa.array(np.diff(sa).astype(np.int64)), pa.array(form(value, sa), pa.binary())], ["digest", "n_shingles", "shingles"]).filter(same)
 
-    side = beside(scratch.save(wanted.select(F.col("doc_id").alias("wanted_id"), "digest")))
+    side = scratch.beside(wanted.select(F.col("doc_id").alias("wanted_id"), "digest"))
     rows = plain.join(side, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("doc_id", "text", "digest")
     return rows.mapInArrow(sets, "digest long, n_shingles long, shingles binary")
 
@@ -284,10 +284,23 @@ def _may_link(x: str, y: str) -> Column:
 
 
 def _members(rows: DataFrame) -> DataFrame:
-    """(sig, digest), each once, of signatures that at least two sets share."""
-    dealt = rows.repartition("sig")
-    live = dealt.groupBy("sig").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low < high").select("sig")
-    return dealt.join(live.hint("shuffle_hash"), "sig").distinct()
+    """(sig, digest), each once, of signatures that at least two sets share; rows pass in order, so a hot signature needs no room."""
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, digest, told = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)  # the last row so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig, digest = np.append(sig, batch.column(0).to_numpy()), np.append(digest, batch.column(1).to_numpy())
+            told = np.append(told, np.zeros(batch.num_rows, bool))
+            new = np.flatnonzero(np.append(True, (sig[1:] != sig[:-1]) | (digest[1:] != digest[:-1])))
+            sig, digest, told = sig[new], digest[new], told[new]
+            same = sig[1:] == sig[:-1]
+            out = (np.append(same, False) | np.append(False, same)) & ~told
+            yield pa.RecordBatch.from_arrays([pa.array(sig[out]), pa.array(digest[out])], ["sig", "digest"])
+            sig, digest, told = sig[-1:], digest[-1:], (told | out)[-1:]
+
+    return rows.repartition("sig").sortWithinPartitions("sig", "digest").mapInArrow(shared, "sig long, digest long")
 
 
 def _central(members: DataFrame) -> DataFrame:
@@ -419,8 +432,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     scratch = Scratch(docs.sparkSession)
     found = scratch.save(near_duplicates(docs, id_col, text_col))
-    gone = scratch.save(found.filter("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct())
-    left = docs.alias("d").join(beside(gone).alias("g"), F.col(f"d.`{id_col}`").cast("long") == F.col("g.gone_id"), "left_anti")
+    gone = scratch.beside(found.filter("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct())
+    left = docs.alias("d").join(gone.alias("g"), F.col(f"d.`{id_col}`").cast("long") == F.col("g.gone_id"), "left_anti")
     if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").take(1):
         named, bare = left.filter(F.col(id_col).isNotNull()), left.filter(F.col(id_col).isNull())
         left = named.dropDuplicates([id_col]).union(bare)

@@ -64,6 +64,59 @@ def test_suffix_array():
         assert suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_indexes_decide():
+    """Both indexes find the windows that repeat, runs standing for copies, whatever the symbols; Huffman-shaped ranks are right."""
+    import numpy as np
+
+    from spark_rri.llm import fmindex
+
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        seq = np.unique(rng.integers(0, rng.integers(1, 9), rng.integers(1, 80)), return_inverse=True)[1]
+        s, p = rng.integers(0, seq.max() + 1, 20), rng.integers(0, len(seq) + 1, 20)
+        assert fmindex.Wavelet(seq, np.bincount(seq)).rank(s, p).tolist() == [(seq[:b] == a).sum() for a, b in zip(s, p, strict=True)]
+    for _ in range(80):
+        width = int(rng.integers(9, 40))
+        base = rng.integers(97, 98 + int(rng.integers(0, 6)), 400).astype(np.uint8)
+        runs = [base[a : a + int(rng.integers(1, 60))].copy() for a in rng.integers(0, 340, rng.integers(1, 12))]
+        for r in runs[::2]:
+            r[rng.integers(0, len(r))] = 122
+        copies = rng.integers(1, 3, len(runs))
+        seen = Counter()
+        for r, c in zip(runs, copies, strict=True):
+            for i in range(len(r) - width + 1):
+                seen[r[i : i + width].tobytes()] += int(c)
+        want = {(j, i) for j, r in enumerate(runs) for i in range(len(r) - width + 1) if seen[r[i : i + width].tobytes()] > 1}
+        sym, at = np.concatenate(runs), np.cumsum([0, *map(len, runs)])
+        for find, x in ((substrings.by_suffix_array, sym), (substrings.by_fm_index, sym.astype(np.uint64))):
+            run, window = find(x, at, copies, width)
+            assert sorted(zip(run.tolist(), window.tolist(), strict=True)) == sorted(want)
+
+
+@pytest.mark.parametrize("by_words", [False, True])
+def test_nothing_is_removed_without_the_index(docs, monkeypatch, by_words):
+    import numpy as np
+
+    none = lambda *_: (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    monkeypatch.setattr(substrings, "by_fm_index" if by_words else "by_suffix_array", none)
+    op = substrings.remove_repeated_words if by_words else substrings.remove_repeated_bytes
+    assert {r["n_removed"] for r in op(docs).collect()} == {0}
+
+
+def test_without_repeated_bytes(docs, texts):
+    clash = docs.withColumns({"row": F.lit("r"), "n_chars": F.length("text").cast("int"), "span_id": F.lit(1)})
+    got = substrings.without_repeated_bytes(clash, length_col="n_chars")
+    assert got.schema == clash.schema
+    rows = got.collect()
+    gone = {i: g for i, (_, g, _) in enumerate(removed([*texts, texts[5]], 200, False))}
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        text = texts[r["doc_id"]]
+        assert (r["text"] is None) == (text is None) and (text is None or len(r["text"].encode()) == len(text.encode()) - gone[r["doc_id"]])
+        assert text is None or r["n_chars"] == len(r["text"])
+    assert substrings.without_repeated_bytes(clash.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("max_runs", [20_000, 1])
 @pytest.mark.parametrize("by_words", [False, True])
 def test_repeated_windows(docs, texts, by_words, max_runs):
@@ -73,6 +126,7 @@ def test_repeated_windows(docs, texts, by_words, max_runs):
     assert len(got) == len(texts) + 1
     for r in got:
         assert (r[1], r["n_removed"], r["kept_sha256"]) == want[r["doc_id"]]
+        assert by_words or (r["n_spans"] > 0) == (r["n_removed"] > 0) and 200 * r["n_spans"] <= r["n_removed"]
 
 
 def sets(text):
@@ -258,7 +312,16 @@ def test_language(spark):
     truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
     good = [rows[d]["lang_pred"] == truth[d] for d in rows if d >= 0]
     assert sum(good) / len(good) > 0.97
-    assert langid.keep_identified(docs, model).columns == docs.columns
+    odd = ["١٢٣", "१२", "҂", "・", "", None, "ελληνικά μόνο εδώ", "ሀለሐ"]
+    more = spark.createDataFrame([(-9 - k, t, None, None, None) for k, t in enumerate(odd)], docs.schema)
+    said = {r["doc_id"]: r for r in langid.detect(more, model).collect()}
+    assert [said[-9 - k]["lang_pred"] == "und" for k in range(8)] == [True] * 6 + [False] * 2 and all(r["score"] == 0 for r in said.values())
+    clash = docs.unionByName(more).withColumns({"score": F.lit("s"), "lang_pred": F.lit(1)})
+    kept = langid.keep_identified(clash, model)
+    ids = sorted(r["doc_id"] for r in kept.collect())
+    every = langid.detect(docs, model, with_spans=False).collect()
+    assert kept.columns == clash.columns and ids == sorted(r["doc_id"] for r in every if r["score"] >= 0.25)
+    assert len(ids) > 0.99 * len(every) and langid.keep_identified(clash.limit(0), model).count() == 0 == langid.keep_identified(docs, None).count()
 
 
 def test_toxicity(spark):
