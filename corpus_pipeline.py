@@ -16,28 +16,43 @@ from spark_rri.llm.storage import Scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language: null texts and texts without a letter."""
+    """Keeps documents in one of the languages learned from ``lang``: it labels at least a quarter of the letters.
+
+    Null, empty and letterless texts go, and texts in scripts of no learned language; without any
+    ``lang`` all go. Repeated rows are judged alike; ids and other columns play no part.
+    """
     model = langid.fit(docs)
     return langid.keep_identified(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
+    """Keeps the document with the smallest id of each group of near copies (five words, similarity of 0.8).
+
+    Null, empty and blank texts are near to nothing and stay; of rows that repeat an id one stays;
+    rows without an id stay. Columns may have any names.
+    """
     return partenum.keep_one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every byte in a 200-byte string that also starts elsewhere; documents stay."""
+    """Cuts every byte in a 200-byte string that also starts elsewhere; documents stay, ``n_chars`` follows.
+
+    Null and short texts stay as they are; rows that repeat are two texts, so both lose what they
+    share; a character that a cut breaks goes whole.
+    """
     return substrings.without_repeated_bytes(docs, length_col="n_chars")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item, in whatever order of its parts."""
+    """Drops documents that hold a benchmark item, in whatever order of its parts.
+
+    Null and empty texts and items match nothing; rows are judged each by its own text, whatever its id.
+    """
     return tiling.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document in the packed sequences."""
+    """One row per piece of a document in the packed sequences; null and empty texts are one end id, repeated rows are packed each."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
