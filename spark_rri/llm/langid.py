@@ -30,6 +30,8 @@ from .sampling import balanced_sample
 from .storage import bounded_batches
 
 UNKNOWN = "und"
+#: Texts of the sample that are counted at a time.
+FEW = 32
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
 #: First and last code point of the letters of some scripts (Unicode blocks).
@@ -188,14 +190,15 @@ def fit(labelled: DataFrame, per_language: int = 500, penalty: float = 8.0, smoo
     for k, lang in enumerate(languages):
         mine = [bytes(r["text"]) for r in sample if r["lang"] == lang]
         texts[k] = len(mine)
-        raw = np.frombuffer(b" ".join(mine), np.uint8)
-        starts, ends, _ = words(raw, np.array([0, len(raw)]))
-        script, n = word_scripts(raw, starts, ends)
-        np.add.at(letters[:, k], script, n)
-        padded = np.concatenate([[32], LOWER[raw], [32] * (max(ORDERS) + 1)]).astype(np.uint8)
-        for i, order in enumerate(ORDERS):
-            bucket = (Rolling(padded).grams(order) >> np.uint64(48)).astype(np.int64)[: len(raw) + 1] + (i << 16)
-            counts[:, k] += np.bincount(bucket, minlength=len(counts))
+        for low in range(0, len(mine), FEW):
+            raw = np.frombuffer(b" ".join(mine[low : low + FEW]), np.uint8)
+            starts, ends, _ = words(raw, np.array([0, len(raw)]))
+            script, n = word_scripts(raw, starts, ends)
+            np.add.at(letters[:, k], script, n)
+            padded = np.concatenate([[32], LOWER[raw], [32] * (max(ORDERS) + 1)]).astype(np.uint8)
+            for i, order in enumerate(ORDERS):
+                bucket = (Rolling(padded).grams(order) >> np.uint64(48)).astype(np.int64)[: len(raw) + 1] + (i << 16)
+                counts[:, k] += np.bincount(bucket, minlength=len(counts))
     log = np.empty_like(counts)
     for i in range(len(ORDERS)):
         part = slice(i * BUCKETS, (i + 1) * BUCKETS)

@@ -52,9 +52,9 @@ SKETCH = 16
 WIDE = 4
 SKETCHES = [f"p{k}" for k in range(SKETCH)]
 #: Turns in which every set is compared with one member of its groups at most.
-TURNS = 3
-#: Rounds in which every set is compared with its nearest candidate only, before all that are left.
-NEAREST_FIRST = 2
+TURNS = 2
+#: Rounds in which every set is compared with its nearest candidate only, before all that are left are.
+NEAREST_FIRST = 1
 
 
 def bands(limit: int = 1 << 31) -> np.ndarray:
@@ -332,13 +332,21 @@ def _nearest(met: DataFrame, sketches: DataFrame) -> DataFrame:
     return best.select(F.least("own", "met").alias("a"), F.greatest("own", "met").alias("b")).distinct()
 
 
+def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs of sets in different components, with these, la and lb."""
+    of = lambda c: label.select(F.col("digest").alias(c), F.col("label").alias(f"l{c}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).filter("la != lb")
+
+
 def _merged(label: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """(digest, label) after more links; only the components they touch are walked."""
-    ends = links.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    known = scratch.save(label.union(ends.join(label, "digest", "left_anti").select("digest", F.col("digest").alias("label"))))
-    of = lambda c: known.select(F.col("digest").alias(c), F.col("label").alias(f"l{c}"))
-    found = components(links.join(of("a"), "a").join(of("b"), "b").filter("la != lb"), scratch, "la", "lb")
-    found = found.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    across = scratch.save(_across(links, label).select("la", "lb").distinct())
+    if not across.take(1):
+        return label
+    found = components(across, scratch, "la", "lb").select(F.col("node").alias("label"), F.col("label").alias("new"))
+    ends = across.select(F.explode(F.array("la", "lb")).alias("digest")).distinct()
+    known = label.union(ends.join(label, "digest", "left_anti").select("digest", F.col("digest").alias("label")))
     return scratch.save(known.join(found, "label", "left").select("digest", F.coalesce("new", "label").alias("label")))
 
 
@@ -370,14 +378,15 @@ def _apart(x: str, y: str) -> Column:
 
 def _settled(members: DataFrame, label: DataFrame, plain: DataFrame, holders: DataFrame, sketches: DataFrame, max_pairs: int, scratch: Scratch, again: bool = True) -> DataFrame:
     """(digest, label) after all links between sets that share a signature of members."""
-    met = _central(members)
-    for turn in range(1, TURNS + 1):
-        now = scratch.save(_nearest(met, sketches))
+    for turn in range(TURNS):
+        first = again and not turn
+        if not first:
+            members = scratch.save(_named(members, label, turn))
+        now = scratch.save(_nearest(_central(members) if first else members.filter("label != top"), sketches))
         if now.take(1):
             label = _merged(label, scratch.save(_linked(plain, now, holders, scratch)), scratch)
-        members = scratch.save(_named(members, label, turn))
-        met = members.filter("label != top")
         scratch.release()
+    members = scratch.save(_named(members, label, TURNS))
     small = F.col("rows") * F.col("rows") - F.col("same") <= (max_pairs if again else 1 << 62)
     near = members.filter(small).select("sig", "digest", "label", "top").join(sketches, "digest")
     # of two sets in different components at least one is outside the group's largest
@@ -385,8 +394,7 @@ def _settled(members: DataFrame, label: DataFrame, plain: DataFrame, holders: Da
     pairs = near.filter("label != top").alias("x").join(near.alias("y"), (F.col("x.sig") == F.col("y.sig")) & across & _may_link("x", "y"))
     pairs = scratch.save(pairs.select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b"), _apart("x", "y").alias("apart")).distinct())
     for turn in range(NEAREST_FIRST + 1):
-        of = lambda c: label.select(F.col("digest").alias(c), F.col("label").alias(f"l{c}"))  # noqa: E731, B023
-        pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "apart")
+        pairs = _across(pairs, label).select("a", "b", "apart")
         now = pairs.select("a", "b")
         if turn < NEAREST_FIRST:  # a set's nearest set elsewhere; most components merge by these pairs
             ends = pairs.withColumn("end", F.explode(F.array("a", "b")))
