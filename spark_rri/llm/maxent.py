@@ -8,10 +8,12 @@ the previous word, the one before it (a skip feature) and both as a bigram. Bias
 the counts, so the untrained model equals the smoothed unigram model, and every text has a
 proper probability.
 
-Training goes in rounds. Every task makes gradient steps over its documents from the shared
-weights; they are averaged by tokens in a tree of bounded groups and shared again. All
-training documents are used once over the rounds. Weight rows grow with the tokens, up to
-2**MOST_ROWS; beyond that more decisions share a row.
+Training goes in rounds. Documents are dealt to shards of about ``TOKENS_PER_SHARD`` tokens by
+their id and text; in every round gradient steps over a shard's documents start from the shared
+weights, and the shards' weights are averaged by tokens in a tree of bounded groups and shared
+again. All training documents are used once over the rounds. What a shard holds and in which
+order does not hang on Spark's partitions, so scores do not either. Weight rows grow with the
+tokens, up to 2**MOST_ROWS; beyond that more decisions share a row.
 
 Counts are over all training documents and never leave Spark: the head words go to all tasks;
 other words' tokens are joined, with their features, with counts and paths within classes, on
@@ -45,10 +47,12 @@ FEATURES = 3
 NODE_FACTOR, ROW_FACTOR = np.uint32(0x85EBCA6B), np.uint32(0x9E3779B1)
 LEAST_ROWS, MOST_ROWS, TOKENS_PER_ROW = 16, 22, 64
 MOST_CLASS_BITS, GROUP_WORDS = 16, 100_000
-BATCH = 32_768
+BATCH = 131_072
 FLUSH = 1_000_000
 BLOCKS, FAN_IN = 32, 32
-TOKENS_PER_TASK = 4_000_000
+TOKENS_PER_SHARD = 8_000_000
+#: Weights that one step updates at a time.
+BLOCK = 1 << 15
 
 
 def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,12 +86,13 @@ def log_sigmoid(z: np.ndarray) -> np.ndarray:
 class Paths:
     """Binary decisions that lead to each token's leaf: ``size`` bits of ``code``, the highest first.
 
-    at(order, depth, prefix) gives the hash key and the bias of the nodes at a depth.
+    key(order, depth, prefix) hashes the nodes at a depth, bias(order, depth, prefix) is their logit without features.
     """
 
     code: np.ndarray
     size: np.ndarray
-    at: Callable[[np.ndarray, int, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    key: Callable[[np.ndarray, int, np.ndarray], np.ndarray]
+    bias: Callable[[np.ndarray, int, np.ndarray], np.ndarray]
 
     def levels(self, f: np.ndarray, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """By depth, for the tokens that have a node there: their bits, weight rows and logits of bit 1; and all tokens' order."""
@@ -99,13 +104,13 @@ class Paths:
         for depth in range(int(size[0]) if len(size) else 0):
             n = int(np.searchsorted(-size, -depth, "left"))
             left = size[:n] - size.dtype.type(depth)
-            key, bias = self.at(order[:n], depth, code[:n] >> left)
-            rows = own[:, :n] ^ key
+            prefix = code[:n] >> left
+            rows = own[:, :n] ^ self.key(order[:n], depth, prefix)
             rows *= ROW_FACTOR
             rows >>= shift
             rows = rows.astype(np.intp)
             z = weight.take(rows).sum(axis=0)
-            z += bias
+            z += self.bias(order[:n], depth, prefix)
             yield order, (code[:n] >> (left - left.dtype.type(1))) & left.dtype.type(1), rows, z
 
     def log_probability(self, f: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -118,18 +123,18 @@ class Paths:
             out[order] = total
         return out
 
-    def learn(self, f: np.ndarray, weight: np.ndarray, heat: np.ndarray, rate: float) -> None:
-        """One Adagrad step on all decisions of the tokens, in place."""
-        rows, grads = [], []
-        for _, bit, row, z in self.levels(f, weight):
-            rows.append(row.ravel())
-            grads += [np.float32(1) / (np.float32(1) + np.exp(-z)) - bit.astype(np.float32)] * FEATURES
-        if rows:
-            total = np.bincount(np.concatenate(rows), np.concatenate(grads), minlength=len(weight))
-            own = np.flatnonzero(total)
-            total = total[own].astype(np.float32)
-            heat[own] += total * total
-            weight[own] -= np.float32(rate) * total / np.sqrt(heat[own] + 1)
+    def learn(self, f: np.ndarray, weight: np.ndarray, heat: np.ndarray, slope: np.ndarray, rate: float) -> None:
+        """One Adagrad step on all decisions of the tokens, in place; slope is room for the gradient, zero before and after."""
+        for _, bit, rows, z in self.levels(f, weight):
+            error = np.float32(1) / (np.float32(1) + np.exp(-z)) - bit
+            error = error.astype(np.float32)
+            for row in rows:
+                np.add.at(slope, row, error)
+        for low in range(0, len(weight), BLOCK):
+            g, h, w = (x[low : low + BLOCK] for x in (slope, heat, weight))
+            h += g * g
+            w -= np.float32(rate) * g / np.sqrt(h + np.float32(1))
+            g[:] = 0
 
 
 class Tree:
@@ -155,11 +160,9 @@ class Tree:
         self.bias = (np.log(mass[1]) - np.log(mass[0])).astype(np.float32)
 
     def paths(self, leaf: np.ndarray) -> Paths:
-        def at(_: np.ndarray, depth: int, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            node = prefix + prefix.dtype.type(int(self.first[depth]) - self.lead[depth])
-            return node.astype(np.uint32) * NODE_FACTOR, self.bias.take(node)
-
-        return Paths(self.code[leaf], self.size[leaf], at)
+        node = lambda depth, prefix: prefix + prefix.dtype.type(int(self.first[depth]) - self.lead[depth])
+        key = lambda _, depth, prefix: node(depth, prefix).astype(np.uint32) * NODE_FACTOR
+        return Paths(self.code[leaf], self.size[leaf], key, lambda _, depth, prefix: self.bias.take(node(depth, prefix)))
 
 
 @dataclass
@@ -232,37 +235,77 @@ def lower_paths(table: pa.RecordBatch) -> tuple[Paths, np.ndarray]:
     flat = np.frombuffer(b"".join(table.column("bias").to_pylist()), np.float32)
     start = np.cumsum(size) - size
 
-    def at(who: np.ndarray, depth: int, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = mix(base[who].astype(np.uint64) * np.uint64(1 << 32) + (prefix + (1 << depth)).astype(np.uint64))
-        return (key >> np.uint64(32)).astype(np.uint32), flat[start[who] + depth]
+    def key(who: np.ndarray, depth: int, prefix: np.ndarray) -> np.ndarray:
+        return (mix(base[who].astype(np.uint64) * np.uint64(1 << 32) + (prefix + (1 << depth)).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
     f = np.stack([table.column(f"f{k}").to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32) for k in range(FEATURES)], axis=1)
-    return Paths(code, size, at), f
+    return Paths(code, size, key, lambda who, depth, _: flat[start[who] + depth]), f
+
+
+def pieces(parts: Iterator[tuple[np.ndarray, ...]], size: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The rows of all parts in order, ``size`` at a time, whatever the parts' own sizes; the last piece is shorter."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= size:
+            whole = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            for low in range(0, n - size + 1, size):
+                yield tuple(x[low : low + size] for x in whole)
+            held, n = [tuple(x[n - n % size :] for x in whole)], n % size
+    if n:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def _averaged(data: DataFrame, weight: np.ndarray, tasks: int, learn: Callable[[np.ndarray, Iterator[pa.RecordBatch]], int]) -> np.ndarray:
-    """Every task learns from its rows, starting from the same weights; the weights' average by tokens."""
+def _averaged(data: DataFrame, weight: np.ndarray, shards: int, deal: Column, steps: Callable[[np.ndarray, Iterator[pa.RecordBatch]], int]) -> np.ndarray:
+    """Weights learnt from the shards, each from the same start; their average by tokens.
+
+    deal is a number of each row, the same for rows that are equal: it gives shard and order.
+    """
     shared = data.sparkSession.sparkContext.broadcast(weight)
+    names = data.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = shared.value
-        own = base.copy()
-        n = learn(own, batches)
-        if n:
+        left: list[pa.RecordBatch] = []  # the start of the next shard
+
+        def of_shard(batches: Iterator[pa.RecordBatch], shard: int) -> Iterator[pa.RecordBatch]:
+            while True:
+                batch = left.pop() if left else next(batches, None)
+                if batch is None:
+                    return
+                n = int(np.searchsorted(batch.column(0).to_numpy(), shard, "right"))
+                if n:
+                    yield batch.slice(0, n).select(names)
+                if n < batch.num_rows:
+                    left.append(batch.slice(n))
+                    return
+
+        while True:
+            if not left and (first := next((b for b in batches if b.num_rows), None)) is not None:
+                left.append(first)
+            if not left:
+                return
+            shard, own = left[0].column(0)[0].as_py(), base.copy()
+            n = steps(own, of_shard(batches, shard))
             parts = [x.tobytes() for x in np.array_split((own - base) * np.float32(n), BLOCKS)]
-            task = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([task] * BLOCKS, pa.int64()), pa.array([n] * BLOCKS, pa.int64()), pa.array(parts, pa.binary())], ["block", "task", "tokens", "delta"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([shard] * BLOCKS, pa.int64()), pa.array([n] * BLOCKS, pa.int64()), pa.array(parts, pa.binary())], ["block", "shard", "tokens", "delta"])
 
-    schema = "block int, task long, tokens long, delta binary"
+    schema = "block int, shard long, tokens long, delta binary"
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x, np.float32) for x in table.column("delta").to_pylist()], axis=0, dtype=np.float32)
-        return pa.table({"block": table.column("block")[:1], "task": pa.array([table.column("task")[0].as_py() // FAN_IN], pa.int64()), "tokens": pa.array([sum(table.column("tokens").to_pylist())], pa.int64()), "delta": pa.array([total.tobytes()], pa.binary())})
-
-    deltas = data.coalesce(tasks).mapInArrow(run, schema)
-    while tasks > 1:
-        deltas = deltas.groupBy("block", F.expr(f"task div {FAN_IN}")).applyInArrow(add, schema)
-        tasks = -(-tasks // FAN_IN)
+        table = table.sort_by("shard")
+        total = np.zeros(len(table.column("delta")[0].as_py()) // 4, np.float32)
+        for x in table.column("delta"):
+            total += np.frombuffer(x.as_buffer(), np.float32)
+        return pa.table({"block": table.column("block")[:1], "shard": pa.array([table.column("shard")[0].as_py() // FAN_IN], pa.int64()), "tokens": pa.array([sum(table.column("tokens").to_pylist())], pa.int64()), "delta": pa.array([total.tobytes()], pa.binary())})
+
+    dealt = data.withColumn("__deal", deal).select(F.pmod("__deal", F.lit(shards)).alias("__shard"), "__deal", *names).repartition(shards, "__shard").sortWithinPartitions("__shard", "__deal")
+    deltas = dealt.drop("__deal").mapInArrow(run, schema)
+    while shards > 1:
+        deltas = deltas.groupBy("block", F.expr(f"shard div {FAN_IN}")).applyInArrow(add, schema)
+        shards = -(-shards // FAN_IN)
     rows = sorted(deltas.collect(), key=lambda r: r["block"])
     if not rows:
         return weight
@@ -356,24 +399,27 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     model = Model(known, times, bits, class_leaf, tree, np.zeros(rows_for(n), np.float32))
     shape = spark.sparkContext.broadcast(Model(known, times, bits, class_leaf, tree, np.zeros(0, np.float32)))  # at most ``head`` words and 2**MOST_CLASS_BITS classes
 
-    def task_count(size: int, data: DataFrame) -> int:
-        return int(max(1, min(max(spark.sparkContext.defaultParallelism, size // TOKENS_PER_TASK), data.rdd.getNumPartitions())))
+    shards = lambda size: max(1, -(-size // (TOKENS_PER_SHARD * rounds)))
+    in_round = lambda deal, r: F.pmod(F.xxhash64(deal, F.lit("round")), F.lit(rounds)) == r
+    by_text = F.xxhash64("doc_id", "text")
 
     for r in range(rounds if n else 0):
 
         def upper(weight: np.ndarray, batches: Iterator[pa.RecordBatch], step: float = rate / (r + 1)) -> int:
-            m, heat, seen = shape.value, np.zeros_like(weight), 0
-            for b in batches:
-                for _, raw, at in chunks(b):
-                    h, ta = tokens(raw, at)
-                    f, (leaf, _) = features(h, ta), m.leaves(h)
-                    for low in range(0, len(h), BATCH):
-                        m.tree.paths(leaf[low : low + BATCH]).learn(f[low : low + BATCH], weight, heat, step)
-                    seen += len(h)
+            m, heat, slope, seen = shape.value, np.zeros_like(weight), np.zeros_like(weight), 0
+
+            def each() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for b in batches:
+                    for _, raw, at in chunks(b):
+                        h, ta = tokens(raw, at)
+                        yield m.leaves(h)[0], features(h, ta)
+
+            for leaf, f in pieces(each(), BATCH):
+                m.tree.paths(leaf).learn(f, weight, heat, slope, step)
+                seen += len(leaf)
             return seen
 
-        part = learned.filter(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == r)
-        model.weight = _averaged(part, model.weight, task_count(n, learned), upper)
+        model.weight = _averaged(learned.filter(in_round(by_text, r)), model.weight, shards(n), by_text, upper)
     shared = spark.sparkContext.broadcast(model.weight)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,20 +452,34 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     scratch.release()
     joined = scratch.save(scored.select("row", "train", F.explode("rare").alias("x")).select("row", "train", "x.*").join(codes, "h", "left").drop("h"))
     lower_weight = np.zeros(rows_for(n_rare), np.float32)
-    inner = joined.filter("train and size > 0").select("code", "size", "class", "bias", "f0", "f1", "f2", "row")
+    inner = joined.filter("train and size > 0").select("code", "size", "class", "bias", "f0", "f1", "f2")
+    by_token = F.xxhash64("class", "code", "f0", "f1", "f2")
     for r in range(rounds if n_rare else 0):
 
         def lower(weight: np.ndarray, batches: Iterator[pa.RecordBatch], step: float = rate / (r + 1)) -> int:
-            heat, seen = np.zeros_like(weight), 0
+            heat, slope, seen = np.zeros_like(weight), np.zeros_like(weight), 0
+            held: list[pa.RecordBatch] = []
+
+            def learn() -> None:
+                paths, f = lower_paths(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                paths.learn(f, weight, heat, slope, step)
+                held.clear()
+
+            room = BATCH
             for b in batches:
-                if b.num_rows:
-                    paths, f = lower_paths(b)
-                    paths.learn(f, weight, heat, step)
-                    seen += b.num_rows
+                while b.num_rows:
+                    held.append(b.slice(0, room))
+                    seen += held[-1].num_rows
+                    room -= held[-1].num_rows
+                    b = b.slice(held[-1].num_rows)
+                    if not room:
+                        learn()
+                        room = BATCH
+            if held:
+                learn()
             return seen
 
-        part = inner.filter(F.pmod(F.xxhash64("row", F.lit("round")), F.lit(rounds)) == r).drop("row")
-        lower_weight = _averaged(part, lower_weight, task_count(n_rare, inner), lower)
+        lower_weight = _averaged(inner.filter(in_round(by_token, r)), lower_weight, shards(n_rare), by_token, lower)
     lower_shared = spark.sparkContext.broadcast(lower_weight)
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

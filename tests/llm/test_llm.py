@@ -365,6 +365,48 @@ def test_language_model_whole_vocabulary(spark):
             assert abs(r["score"] - r["base_score"]) < 1e-4 * abs(r["base_score"])
 
 
+def test_language_model_ignores_partitions(docs, monkeypatch):
+    monkeypatch.setattr(maxent, "TOKENS_PER_SHARD", 1500)
+    monkeypatch.setattr(maxent, "BATCH", 256)
+    few, many = (maxent.score(docs.repartition(k), F.col("doc_id") % 3 != 0, head=32, per_class=8, frequent=50).groupBy("doc_id").agg(F.max("score").alias("s")).collect() for k in (2, 9))
+    few, many = dict(map(tuple, few)), dict(map(tuple, many))
+    assert few.keys() == many.keys() and all(abs(few[k] - many[k]) < 1e-6 * abs(few[k]) for k in few)
+
+
+def test_pieces():
+    import numpy as np
+
+    for sizes in ([], [3], [10, 0, 7], [1] * 9, [25]):
+        parts, at = [], 0
+        for k in sizes:
+            parts.append((np.arange(at, at + k), np.arange(at, at + k) * 2))
+            at += k
+        got = list(maxent.pieces(iter(parts), 5))
+        assert [len(x[0]) for x in got] == [5] * (at // 5) + [at % 5] * (at % 5 > 0)
+        assert not at or (np.concatenate([x[1] for x in got]) == np.arange(at) * 2).all()
+
+
+def brute_tree(counts):
+    """A model without features, by hand: every leaf's share of all counts."""
+    total = sum(counts.values()) + 0.1 * (len(counts) + 1)
+    return {w: (c + 0.1) / total for w, c in counts.items()}, 0.1 / total
+
+
+def test_language_model_by_hand(spark):
+    """One word after another: without features the unigram model, with them the bigram is likelier than any other."""
+    import math
+
+    text = "b a " * 30
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "b a"), (4, "a a"), (5, "zzz")], "doc_id long, text string")
+    train = F.col("doc_id") < 3
+    p, unseen = brute_tree(Counter({"a": 60, "b": 60, "END": 2}))
+    plain = {r["doc_id"]: r["score"] for r in maxent.score(docs, train, rounds=0).collect()}
+    for d, w in ((1, [*text.split(), "END"]), (3, ["b", "a", "END"]), (4, ["a", "a", "END"]), (5, ["zzz", "END"])):
+        assert abs(plain[d] - sum(math.log10(p.get(x, unseen)) for x in w)) < 1e-4 * abs(plain[d])
+    fitted = {r["doc_id"]: r["score"] for r in maxent.score(docs, train, rounds=2, rate=1.0).collect()}
+    assert fitted[1] > plain[1] and fitted[3] - fitted[4] > plain[3] - plain[4]
+
+
 def test_language_model_is_proper():
     import numpy as np
 
