@@ -50,7 +50,7 @@ MOST_CLASS_BITS, GROUP_WORDS = 16, 100_000
 BATCH = 131_072
 FLUSH = 1_000_000
 BLOCKS, FAN_IN = 32, 32
-TOKENS_PER_SHARD = 8_000_000
+TOKENS_PER_SHARD = 4_000_000
 #: Weights that one step updates at a time.
 BLOCK = 1 << 15
 
@@ -78,6 +78,11 @@ def contexts(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([mix(one + np.uint64(1)), mix(two + np.uint64(2)), mix(one * np.uint64(3) ^ mix(two + np.uint64(3)))], axis=1)
 
 
+def zeros(n: int) -> np.ndarray:
+    """A fresh array: one like an array that came by pickle has a type object of its own, with which ``np.add.at`` is slow."""
+    return np.zeros(n, np.float32)
+
+
 def log_sigmoid(z: np.ndarray) -> np.ndarray:
     return -np.log1p(np.exp(-z))
 
@@ -287,7 +292,8 @@ def _averaged(data: DataFrame, weight: np.ndarray, shards: int, deal: Column, st
                 left.append(first)
             if not left:
                 return
-            shard, own = left[0].column(0)[0].as_py(), base.copy()
+            shard, own = left[0].column(0)[0].as_py(), zeros(len(base))
+            own += base
             n = steps(own, of_shard(batches, shard))
             parts = [x.tobytes() for x in np.array_split((own - base) * np.float32(n), BLOCKS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([shard] * BLOCKS, pa.int64()), pa.array([n] * BLOCKS, pa.int64()), pa.array(parts, pa.binary())], ["block", "shard", "tokens", "delta"])
@@ -301,7 +307,7 @@ def _averaged(data: DataFrame, weight: np.ndarray, shards: int, deal: Column, st
             total += np.frombuffer(x.as_buffer(), np.float32)
         return pa.table({"block": table.column("block")[:1], "shard": pa.array([table.column("shard")[0].as_py() // FAN_IN], pa.int64()), "tokens": pa.array([sum(table.column("tokens").to_pylist())], pa.int64()), "delta": pa.array([total.tobytes()], pa.binary())})
 
-    dealt = data.withColumn("__deal", deal).select(F.pmod("__deal", F.lit(shards)).alias("__shard"), "__deal", *names).repartition(shards, "__shard").sortWithinPartitions("__shard", "__deal")
+    dealt = data.withColumn("__deal", deal).select(F.pmod("__deal", F.lit(shards)).alias("__shard"), "__deal", *names).repartitionById(shards, F.col("__shard").cast("int")).sortWithinPartitions("__shard", "__deal")
     deltas = dealt.drop("__deal").mapInArrow(run, schema)
     while shards > 1:
         deltas = deltas.groupBy("block", F.expr(f"shard div {FAN_IN}")).applyInArrow(add, schema)
@@ -406,7 +412,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     for r in range(rounds if n else 0):
 
         def upper(weight: np.ndarray, batches: Iterator[pa.RecordBatch], step: float = rate / (r + 1)) -> int:
-            m, heat, slope, seen = shape.value, np.zeros_like(weight), np.zeros_like(weight), 0
+            m, heat, slope, seen = shape.value, zeros(len(weight)), zeros(len(weight)), 0
 
             def each() -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 for b in batches:
@@ -457,7 +463,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     for r in range(rounds if n_rare else 0):
 
         def lower(weight: np.ndarray, batches: Iterator[pa.RecordBatch], step: float = rate / (r + 1)) -> int:
-            heat, slope, seen = np.zeros_like(weight), np.zeros_like(weight), 0
+            heat, slope, seen = zeros(len(weight)), zeros(len(weight)), 0
             held: list[pa.RecordBatch] = []
 
             def learn() -> None:
