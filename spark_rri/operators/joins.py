@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,11 +56,23 @@ def compute_once(rows: DataFrame, key: str, work: Column, out: str) -> DataFrame
 
 
 def overlap_anti_join(spans: DataFrame, part: str, start: str, end: str, order: str, share: float = 0.5) -> DataFrame:
-    """Drops a span of which a later one of the same part covers more than the share."""
-    a, b = spans.alias("a"), spans.alias("b")
-    cover = F.least(f"a.{end}", f"b.{end}") - F.greatest(f"a.{start}", f"b.{start}")
-    on = (F.col(f"a.{part}") == F.col(f"b.{part}")) & (F.col(f"b.{order}") > F.col(f"a.{order}")) & (cover > share * (F.col(f"a.{end}") - F.col(f"a.{start}")))
-    return a.join(b, on, "left_anti")
+    """Drops a span of which a later one of the same part covers more than the share; order is a key of the part's spans.
+
+    What covers more than the share holds one of the span's points at multiples of the share. Spans
+    lie in bins as wide as the next power of two of their length (one or two of them), and a
+    point looks into one bin of every width that occurs, so only spans around it are met.
+    """
+    length = F.col(end) - F.col(start)
+    b = spans.filter(length > 0).select(part, F.col(order).alias("__o"), F.col(start).alias("__s"), F.col(end).alias("__e"), F.ceil(F.log2(length)).cast("int").alias("__w"))
+    widths = sorted(r[0] for r in b.select("__w").distinct().collect())  # powers of two: some sixty at most
+    in_bins = F.sequence(F.floor(F.col("__s") / F.pow(F.lit(2.0), "__w")), F.floor(F.col("__e") / F.pow(F.lit(2.0), "__w")))
+    b = b.withColumn("__bin", F.explode(in_bins))
+    marks = F.array(*[F.col(start) + k * share * length for k in range(1, max(2, math.ceil(1 / share)))])
+    a = spans.filter(length > 0).select(part, order, start, end, F.explode(marks).alias("__p")).withColumn("__w", F.explode(F.lit(widths).cast("array<int>")))
+    a = a.withColumn("__bin", F.floor(F.col("__p") / F.pow(F.lit(2.0), "__w")))
+    cover = F.least(end, "__e") - F.greatest(start, "__s")
+    met = a.join(b, [part, "__w", "__bin"]).filter((F.col("__o") > F.col(order)) & (cover > share * length))
+    return spans.join(met.select(part, order).distinct(), [part, order], "left_anti")
 
 
 def equivalent_contacts(contacts: DataFrame, same: DataFrame, key: str, left: str, right: str) -> DataFrame:

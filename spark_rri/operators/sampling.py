@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import with_checkpoints
+
 
 def draw(*keys: str, salt: str = "") -> Column:
     """A repeatable order of rows, the same in any engine."""
@@ -42,26 +41,23 @@ def one_per_group(rows: DataFrame, part: str, key: str, salt: str = "") -> DataF
     return rows.groupBy(part).agg(F.min_by(key, F.struct(draw(key, salt=salt), key)).alias(key))
 
 
-def group_folds(groups: DataFrame, group: str, size: str, folds: int) -> DataFrame:
-    """Every group on the fold least loaded so far, largest groups first.
-
-    The rule is sequential, but over the table of groups alone; -1 leaves one group out per fold.
-    """
-    if folds == -1:
-        return groups.withColumn("fold", F.dense_rank().over(Window.orderBy(group)) - 1)
+def numbered(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Rows numbered from 0 in a global order: sorted by ranges, numbered within each, and shifted by the sizes of those before."""
+    with_checkpoints(rows.sparkSession)
+    dealt = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # one row per range
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return dealt.withColumn("__place", place).join(F.broadcast(before), "__part").withColumn(out, F.col("__place") + F.col("__before")).drop("__part", "__place", "__before")
 
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([size, group], ascending=[False, True])
-        heap = [(0, k) for k in range(folds)]
-        out = []
-        for n in rows[size]:
-            load, k = heapq.heappop(heap)
-            out.append(k)
-            heapq.heappush(heap, (load + int(n), k))
-        return rows.assign(fold=out)[[group, size, "fold"]]
 
-    schema = groups.select(group, size).withColumn("fold", F.lit(0)).schema
-    return groups.select(group, size, F.lit(0).alias("__all")).groupBy("__all").applyInPandas(assign, schema)
+def group_folds(groups: DataFrame, group: str, size: str, folds: int) -> DataFrame:
+    """Groups dealt to folds by falling size, to and fro, so folds differ by one group's size at most; -1 leaves one group out per fold."""
+    if folds == -1:
+        return numbered(groups, [F.col(group)], "fold")
+    ranked = numbered(groups.select(group, size), [F.desc(size), F.col(group)], "__rank")
+    turn, place = F.expr(f"__rank div {folds}"), F.col("__rank") % folds
+    return ranked.select(group, size, F.when(turn % 2 == 0, place).otherwise(folds - 1 - place).cast("int").alias("fold"))
 
 
 def sub_folds(folds: DataFrame, group: str, size: str, n_folds: int, parts: int) -> DataFrame:
@@ -72,9 +68,15 @@ def sub_folds(folds: DataFrame, group: str, size: str, n_folds: int, parts: int)
     return train.select("test_fold", group, ((F.row_number().over(w) - 1) % parts).alias("sub_fold"))
 
 
-def leakage_free(rows: DataFrame, lineage: str, test_ids: DataFrame) -> DataFrame:
-    """For every test fold (column test_ids), the rows whose lineage holds none of its ids."""
-    return rows.join(F.broadcast(test_ids), ~F.arrays_overlap(lineage, "test_ids"))
+def leakage_free(rows: DataFrame, key: str, lineage: str, tests: DataFrame) -> DataFrame:
+    """(row, fold) for every test fold and the rows whose lineage holds none of its ids (columns fold, test_ids).
+
+    Leaks are found by a join on ids and taken out by (key, fold); folds are few.
+    """
+    folds = [r[0] for r in tests.select("fold").distinct().orderBy("fold").collect()]
+    every = rows.withColumn("fold", F.explode(F.lit(folds).cast(f"array<{tests.schema['fold'].dataType.simpleString()}>")))
+    leaks = rows.select(key, F.explode(lineage).alias("__id")).join(tests.select("fold", F.explode("test_ids").alias("__id")), "__id")
+    return every.join(leaks.select(key, "fold").distinct(), [key, "fold"], "left_anti")
 
 
 def independent_split(rows: DataFrame, group: str, test_groups: DataFrame, key: str, salt: str = "") -> tuple[DataFrame, DataFrame]:

@@ -78,16 +78,16 @@ def representative(atoms: DataFrame, keys: list[str], priority: Column) -> DataF
     return atoms.groupBy(*keys).agg(F.min_by(F.struct(*AXES), priority).alias("p")).select(*keys, "p.*")
 
 
-def interface_nodes(points: DataFrame, cutoff: float, chain: str = "chain", node: str = "node") -> DataFrame:
-    """Nodes with a node of another chain within the cut-off."""
-    pairs = range_join(points, points, cutoff, [], F.col(f"l.{chain}") != F.col(f"r.{chain}"))
-    return pairs.select(F.col(f"l.{chain}").alias(chain), F.col(f"l.{node}").alias(node)).distinct()
+def interface_nodes(points: DataFrame, cutoff: float, keys: list[str], chain: str = "chain", node: str = "node") -> DataFrame:
+    """Nodes with a node of another chain of the same complex within the cut-off."""
+    pairs = range_join(points, points, cutoff, keys, F.col(f"l.{chain}") != F.col(f"r.{chain}"))
+    return pairs.select(*[F.col(f"l.{k}").alias(k) for k in keys], F.col(f"l.{chain}").alias(chain), F.col(f"l.{node}").alias(node)).distinct()
 
 
-def chain_contact_graph(points: DataFrame, cutoff: float, least: int, chain: str = "chain", node: str = "node") -> DataFrame:
-    """Chain pairs with at least so many contacts."""
-    pairs = range_join(points, points, cutoff, [], F.col(f"l.{chain}") < F.col(f"r.{chain}"))
-    return pairs.groupBy(F.col(f"l.{chain}").alias("chain_a"), F.col(f"r.{chain}").alias("chain_b")).agg(F.count("*").alias("contacts")).filter(F.col("contacts") >= least)
+def chain_contact_graph(points: DataFrame, cutoff: float, least: int, keys: list[str], chain: str = "chain", node: str = "node") -> DataFrame:
+    """Chain pairs of a complex with at least so many contacts."""
+    pairs = range_join(points, points, cutoff, keys, F.col(f"l.{chain}") < F.col(f"r.{chain}"))
+    return pairs.groupBy(*[F.col(f"l.{k}").alias(k) for k in keys], F.col(f"l.{chain}").alias("chain_a"), F.col(f"r.{chain}").alias("chain_b")).agg(F.count("*").alias("contacts")).filter(F.col("contacts") >= least)
 
 
 def one_vs_rest(chains: DataFrame, key: str, chain: str) -> DataFrame:

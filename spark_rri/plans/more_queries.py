@@ -68,11 +68,11 @@ def overlap_anti_join(spark, sf):
     return joins.overlap_anti_join(spans, "user_id", "a", "b", "event_id").select("event_id", "user_id")
 
 
-@query("WITH c AS (SELECT n_regionkey AS k, a.n_nationkey AS l, b.n_nationkey AS r FROM nation a JOIN nation b USING (n_regionkey) WHERE (a.n_nationkey * 7 + b.n_nationkey) % 5 = 0), s AS (SELECT n_regionkey AS k, n_nationkey AS node, (n_nationkey * 3) % 25 AS twin FROM nation) SELECT k, l, r FROM c UNION SELECT c.k, y.twin, x.twin FROM c JOIN s x ON c.k = x.k AND c.l = x.node JOIN s y ON c.k = y.k AND c.r = y.node")
+@query("WITH n AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem), c AS (SELECT a.k, a.n AS l, b.n AS r FROM n a JOIN n b ON a.k = b.k WHERE (a.n * 7 + b.n) % 5 = 0), s AS (SELECT k, n AS node, (n * 3) % 8 AS twin FROM n) SELECT k, l, r FROM c UNION SELECT c.k, y.twin, x.twin FROM c JOIN s x ON c.k = x.k AND c.l = x.node JOIN s y ON c.k = y.k AND c.r = y.node")
 def contact_equivalence(spark, sf):
-    n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("k"), F.col("n_nationkey").alias("n"))
+    n = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).distinct()
     c = n.withColumnRenamed("n", "l").join(n.withColumnRenamed("n", "r"), "k").filter("(l * 7 + r) % 5 = 0")
-    return joins.equivalent_contacts(c, n.select("k", F.col("n").alias("node"), ((F.col("n") * 3) % 25).alias("twin")), "k", "l", "r")
+    return joins.equivalent_contacts(c, n.select("k", F.col("n").alias("node"), ((F.col("n") * 3) % 8).alias("twin")), "k", "l", "r")
 
 
 @query("WITH m AS (SELECT s_suppkey AS node, s_suppkey * 2 + 1 AS renamed FROM supplier WHERE s_suppkey % 3 <> 0) SELECT DISTINCT a.renamed AS l, b.renamed AS r FROM (SELECT DISTINCT l_suppkey AS l, l_partkey AS r FROM lineitem) c JOIN m a ON c.l = a.node JOIN m b ON c.r = b.node")
@@ -154,7 +154,7 @@ def capped_negatives(spark, sf):
     return sampling.capped(scores(spark, sf).select("doc_id", "toxic", "lang"), "lang", F.col("toxic") == 1, ["doc_id"], 20, "c")
 
 
-@query()
+@query("WITH g AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, c_nationkey) - 1 AS k FROM g) SELECT c_nationkey, n, (CASE WHEN k // 5 % 2 = 0 THEN k % 5 ELSE 4 - k % 5 END)::INT AS fold FROM r")
 def group_kfold(spark, sf):
     g = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
     return sampling.group_folds(g, "c_nationkey", "n", 5)
@@ -170,7 +170,7 @@ def sub_folds(spark, sf):
 def leakage_free_merge(spark, sf):
     tests = spark.range(4).select(F.col("id").alias("fold"), F.array(*[F.col("id") + k for k in (0, 4, 8)]).alias("test_ids"))
     o = table(spark, sf, "orders").select("o_orderkey", F.array(F.col("o_custkey") % 25, (F.col("o_custkey") * 7) % 25).alias("lineage"))
-    return sampling.leakage_free(o, "lineage", tests).select("o_orderkey", "fold")
+    return sampling.leakage_free(o, "o_orderkey", "lineage", tests).select("o_orderkey", "fold")
 
 
 @query("WITH t AS (SELECT * FROM customer WHERE c_nationkey % 5 <> 0), r AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5(c_custkey::VARCHAR || '#i'), c_custkey) AS k FROM t) SELECT c_nationkey, c_custkey FROM r WHERE k = 1")

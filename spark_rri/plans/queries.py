@@ -47,14 +47,14 @@ def contact_number(spark, sf):
     return spatial.contact_number(points(spark, sf), CUT, ["complex_id"])
 
 
-@query(f"WITH {POINTS} SELECT DISTINCT l.chain, l.node FROM points l JOIN points r ON l.chain <> r.chain AND {NEAR}")
+@query(f"WITH {POINTS} SELECT DISTINCT l.complex_id, l.chain, l.node FROM points l JOIN points r ON l.complex_id = r.complex_id AND l.chain <> r.chain AND {NEAR}")
 def interface_residues(spark, sf):
-    return spatial.interface_nodes(points(spark, sf), CUT)
+    return spatial.interface_nodes(points(spark, sf), CUT, ["complex_id"])
 
 
-@query(f"WITH {POINTS} SELECT l.chain AS chain_a, r.chain AS chain_b, count(*) AS contacts FROM points l JOIN points r ON l.chain < r.chain AND {NEAR} GROUP BY ALL HAVING count(*) >= 20")
+@query(f"WITH {POINTS} SELECT l.complex_id, l.chain AS chain_a, r.chain AS chain_b, count(*) AS contacts FROM points l JOIN points r ON l.complex_id = r.complex_id AND l.chain < r.chain AND {NEAR} GROUP BY ALL HAVING count(*) >= 20")
 def chain_contact_graph(spark, sf):
-    return spatial.chain_contact_graph(points(spark, sf), CUT, 20)
+    return spatial.chain_contact_graph(points(spark, sf), CUT, 20, ["complex_id"])
 
 
 @query(f"WITH {POINTS}, e AS (SELECT l.complex_id, l.node, (r.x-l.x)*l.ax+(r.y-l.y)*l.ay+(r.z-l.z)*l.az AS dot FROM points l JOIN points r ON l.complex_id = r.complex_id AND l.node <> r.node AND {NEAR}) SELECT p.complex_id, p.node, count(*) FILTER (dot > 0) AS n_up, count(*) FILTER (dot <= 0) AS n_down FROM points p LEFT JOIN e USING (complex_id, node) GROUP BY ALL")
@@ -67,10 +67,10 @@ def gabriel_graph(spark, sf):
     return spatial.gabriel_graph(points(spark, sf), CUT, ["complex_id"])
 
 
-@query("SELECT l.n_regionkey, l.n_nationkey AS ligand, string_agg(r.n_nationkey::VARCHAR, ',' ORDER BY r.n_nationkey) AS receptor FROM nation l JOIN nation r ON l.n_regionkey = r.n_regionkey AND l.n_nationkey <> r.n_nationkey GROUP BY ALL HAVING count(*) > 1 OR l.n_nationkey < min(r.n_nationkey)")
+@query("WITH n AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) SELECT l.l_orderkey, l.l_linenumber AS ligand, string_agg(r.l_linenumber::VARCHAR, ',' ORDER BY r.l_linenumber) AS receptor FROM n l JOIN n r ON l.l_orderkey = r.l_orderkey AND l.l_linenumber <> r.l_linenumber GROUP BY ALL HAVING count(*) > 1 OR l.l_linenumber < min(r.l_linenumber)")
 def one_vs_rest_chains(spark, sf):
-    out = spatial.one_vs_rest(table(spark, sf, "nation"), "n_regionkey", "n_nationkey")
-    return out.select("n_regionkey", "ligand", F.concat_ws(",", F.col("receptor").cast("array<string>")).alias("receptor"))
+    out = spatial.one_vs_rest(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct(), "l_orderkey", "l_linenumber")
+    return out.select("l_orderkey", "ligand", F.concat_ws(",", F.col("receptor").cast("array<string>")).alias("receptor"))
 
 
 POSES = [(0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0), (1, 0.5, -0.25, 0.125, 0.0, 2.0, 0.0), (2, -1.0, 0.75, 0.3, 0.5, 0.5, -1.0)]
@@ -165,9 +165,9 @@ def forward_fill(spark, sf):
     return ordered.fill_forward(rows, "user_id", ["ts", "event_id"], "mark", "filled").select("user_id", "event_id", "filled")
 
 
-@query("SELECT n_regionkey, n_name, n_nationkey, chr((64 + dense_rank() OVER (PARTITION BY n_regionkey ORDER BY n_name))::INT) AS new_chain, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name, n_nationkey) - 1 AS new_node FROM nation")
+@query("WITH n AS (SELECT DISTINCT l_orderkey, l_suppkey, l_linenumber FROM lineitem) SELECT l_orderkey, l_suppkey, l_linenumber, chr((64 + dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey))::INT) AS new_chain, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey, l_linenumber) - 1 AS new_node FROM n")
 def renumber_entities(spark, sf):
-    return ordered.renumber(table(spark, sf, "nation"), "n_regionkey", "n_name", "n_nationkey")
+    return ordered.renumber(table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber").distinct(), "l_orderkey", "l_suppkey", "l_linenumber")
 
 
 WEIGHT = " + ".join(f"CASE WHEN rank <= {1 << i} THEN {2.0**-i!r}::DOUBLE ELSE 0 END" for i in range(3, 12))
@@ -183,24 +183,24 @@ def max_pool_site(spark, sf):
     return scoring.max_pool(pairs(spark, sf), "complex_id", "site_l", "score")
 
 
-NN = "nn AS (SELECT a.n_regionkey AS complex_id, a.n_nationkey AS a, b.n_nationkey AS b, (a.n_nationkey * 37 + b.n_nationkey * 11) % 101 / 128.0::DOUBLE AS score FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey)"
+NN = "n AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), nn AS (SELECT a.l_orderkey AS complex_id, a.l_linenumber AS a, b.l_linenumber AS b, (a.l_orderkey + a.l_linenumber * 37 + b.l_linenumber * 11) % 101 / 128.0::DOUBLE AS score FROM n a JOIN n b ON a.l_orderkey = b.l_orderkey)"
 
 
-def nation_pairs(spark, sf):
-    n = table(spark, sf, "nation")
-    a, b = n.alias("a"), n.alias("b")
-    pairs_ = a.join(b, F.col("a.n_regionkey") == F.col("b.n_regionkey"))
-    return pairs_.select(F.col("a.n_regionkey").alias("complex_id"), F.col("a.n_nationkey").alias("a"), F.col("b.n_nationkey").alias("b"), ((F.col("a.n_nationkey") * 37 + F.col("b.n_nationkey") * 11) % 101 / F.lit(128.0)).alias("score"))
+def line_pairs(spark, sf):
+    """Ordered pairs of an order's lines, at most seven by seven."""
+    n = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    both = n.withColumnRenamed("l_linenumber", "a").join(n.withColumnRenamed("l_linenumber", "b"), "l_orderkey")
+    return both.select(F.col("l_orderkey").alias("complex_id"), "a", "b", ((F.col("l_orderkey") + F.col("a") * 37 + F.col("b") * 11) % 101 / F.lit(128.0)).alias("score"))
 
 
 @query(f"WITH {NN} SELECT x.complex_id, x.a, x.b, x.score, (x.score + y.score) / 2 AS symmetric FROM nn x JOIN nn y ON x.complex_id = y.complex_id AND x.a = y.b AND x.b = y.a")
 def symmetric_mean(spark, sf):
-    return scoring.symmetric_mean(nation_pairs(spark, sf), "complex_id", "a", "b", "score").select("complex_id", "a", "b", "score", "symmetric")
+    return scoring.symmetric_mean(line_pairs(spark, sf), "complex_id", "a", "b", "score").select("complex_id", "a", "b", "score", "symmetric")
 
 
 @query(f"WITH {NN}, o AS (SELECT complex_id, a, b, score FROM nn UNION ALL SELECT complex_id, b, a, score FROM nn) SELECT complex_id, a, b, avg(score) AS mean_score, count(*) AS n_scores FROM o GROUP BY ALL")
 def orientation_mean(spark, sf):
-    both = scoring.transposed(nation_pairs(spark, sf), ["complex_id"], ["a"], ["b"], ["score"])
+    both = scoring.transposed(line_pairs(spark, sf), ["complex_id"], ["a"], ["b"], ["score"])
     return scoring.orientation_mean(both, ["complex_id", "a", "b"], "score")
 
 

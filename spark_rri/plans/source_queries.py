@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..sources import sinks, tables
 from .queries import query
 from .standins import table
 
 
 def fresh_path(spark: SparkSession) -> str:
-    """A new path in the shared folder that the session names; one of this machine only where it names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='spark-written-')}"
-    return f"{root.rstrip('/')}/written-{uuid.uuid4().hex}"
+    """A new path in the shared folder that the session names."""
+    return shared.fresh_path(spark, "written")
 
 
 @query("SELECT c_nationkey, c_custkey, c_mktsegment, c_acctbal::DOUBLE AS c_acctbal FROM customer WHERE c_nationkey IN (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) > 5)")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import fresh_path
+
 
 def pending(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Batch form: rows whose keys are not in the output."""
@@ -21,9 +21,8 @@ def available_now(spark: SparkSession, path: str, work: Callable[[DataFrame], Da
     Called again with the same target and checkpoint it takes new files only. Both folders are
     by default fresh ones under spark.checkpoint.dir.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-intake-')}"
-    target = target or f"{root}/intake-{uuid.uuid4().hex}/out"
-    checkpoint = checkpoint or f"{root}/intake-{uuid.uuid4().hex}/seen"
+    target = target or fresh_path(spark, "intake")
+    checkpoint = checkpoint or fresh_path(spark, "seen")
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from spark_rri.plans import curve_queries, more_queries, source_queries  # noqa: F401
+from spark_rri.plans import check_queries, curve_queries, more_queries, source_queries  # noqa: F401
 from spark_rri.plans import queries as q
 
 SF = "/root/testdata/sf0.001"
@@ -42,7 +42,7 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_no_nested_loop(spark):
-    for name in ("contact_range_join", "contact_number", "overlap_anti_join", "family_groups", "pair_neighbour_agg"):
+    for name in ("contact_range_join", "contact_number", "overlap_anti_join", "family_groups", "pair_neighbour_agg", "leakage_free_merge", "interface_residues", "chain_contact_graph"):
         plan = q.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
         assert "NestedLoop" not in plan and "CartesianProduct" not in plan, name
 
