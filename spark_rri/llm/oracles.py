@@ -1,0 +1,74 @@
+"""SQL that gives the rows of the text queries that SQL can express.
+
+Runs of words are named by hashes of hashes: a run of 2n words by those of its halves.
+"""
+
+from __future__ import annotations
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SPLIT = "regexp_extract_all(coalesce({}, ''), '[^\\x20\\x09-\\x0D]+')"
+BY = "OVER (PARTITION BY doc_id ORDER BY i)"
+
+
+def _words(text: str = "text") -> str:
+    """d: doc_id, text, list of words; w: a row per word."""
+    return f"d AS (SELECT doc_id, text, {SPLIT.format(text)} AS ws FROM documents), w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i, len(ws) AS n FROM d)"
+
+
+def _doubled(name: str, most: int) -> str:
+    """Tables h1, h2, h4, ... most with the names of runs of 1, 2, 4, ... words."""
+    out, k = [f"{name}1 AS (SELECT doc_id, i, n, word, hash(word) AS h1 FROM w)"], 1
+    while k < most:
+        out.append(f"{name}{2 * k} AS (SELECT *, hash(h{k}, lead(h{k}, {k}) {BY}) AS h{2 * k} FROM {name}{k})")
+        k *= 2
+    return ", ".join(out)
+
+
+def _covered(flag: str, n: int) -> str:
+    return f"max({flag}::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+LOWERED = f"translate(text, '{UPPER}', '{UPPER.lower()}')"
+
+OP6 = f"""WITH RECURSIVE {_words(LOWERED)}, {_doubled("h", 4)},
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, i, n, hash(h4, lead(h1, 4) {BY}) AS g FROM h4) WHERE i + 4 <= n
+  UNION ALL SELECT doc_id, hash(array_to_string(ws, ' '), 'short') FROM d WHERE len(ws) BETWEEN 1 AND 4),
+z AS (SELECT doc_id, count(*) AS n, hash(list_sort(list(g))) AS whole FROM s GROUP BY 1),
+r AS (SELECT whole, any_value(n) AS n, min(doc_id) AS rep FROM z GROUP BY 1),
+t AS (SELECT s.doc_id AS rep, g FROM s WHERE doc_id IN (SELECT rep FROM r)),
+p AS (SELECT x.rep AS a, y.rep AS b, count(*) AS shared FROM t x JOIN t y ON x.g = y.g AND x.rep < y.rep GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN r x ON x.rep = a JOIN r y ON y.rep = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT rep AS v, rep AS label FROM r UNION SELECT u.b, reach.label FROM reach JOIN u ON u.a = reach.v),
+c AS (SELECT v AS rep, min(label) AS label FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, coalesce(c.label, d.doc_id) AS component_id FROM d LEFT JOIN z USING (doc_id) LEFT JOIN r ON r.whole = z.whole LEFT JOIN c ON c.rep = r.rep"""
+
+OP7 = f"""WITH {_words()}, {_doubled("h", 32)},
+g AS (SELECT doc_id, i, word, CASE WHEN i + 34 <= n THEN hash(h32, lead(h2, 32) {BY}, lead(h1, 34) {BY}) END AS g FROM h32),
+f AS (SELECT *, g IS NOT NULL AND count(*) OVER (PARTITION BY g) > 1 AS again FROM g),
+k AS (SELECT doc_id, i, word, {_covered("again", 35)} AS gone FROM f),
+o AS (SELECT doc_id, count(*) AS n_words, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM k GROUP BY 1)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)"""
+
+OP8 = f"""WITH {_words()}, {_doubled("h", 64)},
+g AS (SELECT doc_id, i, n, CASE WHEN i + 2 <= n THEN hash(h2, lead(h1, 2) {BY}) END AS g3, CASE WHEN i + 7 <= n THEN h8 END AS g8, CASE WHEN i + 100 <= n THEN hash(h64, lead(h32, 64) {BY}, lead(h4, 96) {BY}, lead(h1, 100) {BY}) END AS g101 FROM h64),
+f AS (SELECT doc_id, i, {", ".join(f"g{k} IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g{k}) > 1 AS a{k}" for k in (3, 8, 101))} FROM g),
+c AS (SELECT doc_id, {_covered("a3", 3)} AS c3, {_covered("a8", 8)} AS c8, a101 FROM f),
+o AS (SELECT doc_id, sum(c3)::BIGINT AS r3, sum(c8)::BIGINT AS r8, bool_or(a101) AS long FROM c GROUP BY 1),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+m AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
+x AS (SELECT d.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(m.n, 0) AS n_dup_lines, coalesce(r3, 0) AS n_repeat_words, coalesce(r8, 0) AS r8, coalesce(long, false) AS long FROM d LEFT JOIN o USING (doc_id) LEFT JOIN m ON m.doc_id = d.doc_id),
+y AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, r8 / greatest(n_words, 1) AS repeat_fraction FROM x)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND repeat_fraction <= 0.3 AND NOT long AS kept, repeat_fraction FROM y"""
+
+BYTES = "d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(hex(coalesce(text, '')), '..') AS ws FROM documents), w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i, len(ws) AS n FROM d)"
+
+OP2 = f"""WITH {BYTES}, {_doubled("h", 128)},
+g AS (SELECT doc_id, i, word, CASE WHEN i + 199 <= n THEN hash(h128, lead(h64, 128) {BY}, lead(h8, 192) {BY}) END AS g FROM h128),
+f AS (SELECT *, g IS NOT NULL AND count(*) OVER (PARTITION BY g) > 1 AS again FROM g),
+k AS (SELECT doc_id, i, word, {_covered("again", 200)} AS gone FROM f),
+s AS (SELECT *, gone = 1 AND coalesce(lag(gone) {BY}, 0) = 0 AS first FROM k),
+o AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, count(*) FILTER (first) AS n_spans, string_agg(word, '' ORDER BY i) FILTER (gone = 0) AS kept FROM s GROUP BY 1)
+SELECT d.doc_id, strlen(text) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)"""
+
+SQL = {"op2_suffix_array_dedup": OP2, "op6_jaccard_join": OP6, "op7_substring_dedup": OP7, "op8_repetition_rules": OP8}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, maxent, packing, partenum, repeats, substrings, tiling, toxicity, wordpiece
+from . import langid, maxent, oracles, packing, partenum, repeats, substrings, tiling, toxicity, wordpiece
 from .common import fold, table
 
 
@@ -52,7 +52,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repetition_rules(table(spark, sf_dir, "documents"))
+    return repeats.repetition_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

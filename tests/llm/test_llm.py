@@ -439,3 +439,20 @@ def test_pipeline(spark):
 
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "sequence_id", "offset"} <= set(got.columns) and got.count() > 0
+
+
+@pytest.mark.parametrize("name", ["op2_suffix_array_dedup", "op6_jaccard_join", "op7_substring_dedup", "op8_repetition_rules"])
+def test_matches_sql(spark, docs, tmp_path, name):
+    """The registered queries give SQL's rows, on the smallest table and on odd texts."""
+    import duckdb
+
+    from spark_rri.llm import queries
+
+    docs.filter("doc_id != 5 or th != 0").write.parquet(str(tmp_path / "documents.parquet"))
+    for folder, files in (("/root/testdata/sf0.001", "documents.parquet"), (str(tmp_path), "documents.parquet/*.parquet")):
+        con = duckdb.connect()
+        con.sql(f"create view documents as select * from '{folder}/{files}'")
+        want = con.sql(queries.oracle_sql()[name])
+        got = queries.queries()[name](spark, folder)
+        assert sorted(got.columns) == sorted(want.columns)
+        assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(want.fetchall())
