@@ -434,11 +434,54 @@ def test_empty_tables(spark, docs):
     assert packing.pack(none, path("word_bpe_49k.json")).count() == repeats.repetition_rules(none).count() == maxent.score(none, F.lit(True)).count() == 0
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, texts, tmp_path):
+    """All five stages against brute force, with nulls, repeats, ties and an item of the benchmark."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    item = " ".join(f"bench{k}" for k in range(40))
+    every = [*texts, "before " + item + " after", "١٢٣", item.upper()]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(every)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = [i for i, t in enumerate(every) if any(c.isalpha() for c in t or "")]
+    bags, label = {i: sets(every[i]) for i in left}, {i: i for i in left}
+    for i in left:
+        for j in left:
+            if j < i and bags[i] and bags[j] and 100 * len(bags[i] & bags[j]) >= 80 * len(bags[i] | bags[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = {k: new if v == old else v for k, v in label.items()}
+    left = [i for i in left if label[i] == i]
+    seen = Counter(raw[k : k + 200] for raw in (every[i].encode() for i in left) for k in range(len(raw) - 199))
+    cut = {}
+    for i in left:
+        raw, gone = every[i].encode(), set()
+        for k in range(len(raw) - 199):
+            if seen[raw[k : k + 200]] > 1:
+                gone |= set(range(k, k + 200))
+        cut[i] = bytes(x for k, x in enumerate(raw) if k not in gone).decode("utf-8", "ignore")
+    left = [i for i in left if item not in cut[i].lower()]
+    t = Tokenizer.from_file(path("word_bpe_49k.json"))
+    want = {i: len(t.encode(cut[i], add_special_tokens=False).ids) + 1 for i in left}
+    got, fill = Counter(), Counter()
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got[r["doc_id"]] += r["length"]
+        fill[r["sequence_id"]] += r["length"]
+        assert r["doc_tokens"] == want[r["doc_id"]]
+    assert dict(got) == want and max(fill.values()) <= 4096 and 10 < len(left) < len(every) - 5
+
+
+def test_stages_take_empty_tables_and_odd_columns(spark, docs):
     import corpus_pipeline
 
-    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert {"doc_id", "sequence_id", "offset"} <= set(got.columns) and got.count() > 0
+    odd = docs.withColumns({"gone_id": F.lit(1), "n_chars": F.length("text"), "lang": F.lit("en"), "row": F.lit(0), "doc_key": F.lit("k")})
+    for frame in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, frame, "/root/testdata/sf0.001")
+            assert out.columns == frame.columns, name
+            assert out.count() <= frame.count()
+        corpus_pipeline.STAGES[-1][1](spark, frame, "/root/testdata/sf0.001").count()
 
 
 @pytest.mark.parametrize("name", ["op2_suffix_array_dedup", "op6_jaccard_join", "op7_substring_dedup", "op8_repetition_rules"])
