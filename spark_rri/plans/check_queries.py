@@ -54,10 +54,10 @@ def listed_ids(spark, sf):
     return part(False).unionByName(part(True))
 
 
-@query("SELECT s_nationkey, s_suppkey FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_quantity >= 49 AND s.s_suppkey IN (l.l_suppkey, l.l_partkey))")
+@query("SELECT s_nationkey, s_suppkey FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_quantity >= 50 AND l.l_discount >= 0.1 AND s.s_suppkey IN (l.l_suppkey, l.l_partkey))")
 def chains_not_touching(spark, sf):
     s = table(spark, sf, "supplier").select("s_nationkey", "s_suppkey")
-    c = table(spark, sf, "lineitem").filter("l_quantity >= 49").select("l_suppkey", "l_partkey")
+    c = table(spark, sf, "lineitem").filter("l_quantity >= 50 and l_discount >= 0.1").select("l_suppkey", "l_partkey")
     return filters.not_touching(s, c, [], "s_suppkey", ("l_suppkey", "l_partkey"))
 
 
