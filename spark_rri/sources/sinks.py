@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Id columns of pair tables.
 PAIR_KEYS = ["chainIdL", "resIdL", "resNameL", "chainIdR", "resIdR", "resNameR"]
 
 
