@@ -58,3 +58,11 @@ def good_hits(hits: DataFrame, identity: tuple[float, float] = (30, 95), evalue:
     """Hits in the identity range, up to the e-value, over enough of the query."""
     span = F.col("query_end") - F.col("query_start") + 1
     return hits.filter(F.col("identity").between(*identity) & (F.col("evalue") <= evalue) & (span >= least) & (span >= share * F.col("query_length")))
+
+
+def read_score_matrix(spark: SparkSession, path: str) -> dict[tuple[str, str], float]:
+    """Letter-pair scores of a matrix file: comment lines (#), a line of letters, then a letter and its scores a line."""
+    rows = spark.read.text(path).filter("trim(value) != '' and value not like '#%'").select(F.split(F.trim("value"), r"\s+").alias("cells"))
+    table = [r[0] for r in rows.coalesce(1).collect()]  # one line per letter
+    letters = table[0]
+    return {(line[0], x): float(s) for line in table[1:] for x, s in zip(letters, line[1:], strict=True)}
