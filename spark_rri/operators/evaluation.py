@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scoring import ranked
+from .scoring import best_first, top_rows
 
 
 def roc_auc(scores: DataFrame, part: str, score: str, label: str, missing: float | None = 0.5) -> DataFrame:
@@ -24,12 +24,12 @@ def roc_auc(scores: DataFrame, part: str, score: str, label: str, missing: float
 
 def precision_recall_at(scores: DataFrame, part: str, score: str, ties: list[str], label: str, ks: list[int]) -> DataFrame:
     """Precision and recall of the k best of each group; k is at most the group's rows."""
-    r = ranked(scores, part, score, ties)
     hit = F.col(label) == 1
-    aggs: list[Column] = [F.count("*").alias("n"), F.count_if(hit).alias("n_pos")]
-    for k in ks:
-        aggs += [(F.count_if(hit & (F.col("rank") <= k)) / F.least(F.lit(k), F.count("*"))).alias(f"prec_{k}"), (F.count_if(hit & (F.col("rank") <= k)) / F.nullif(F.count_if(hit), F.lit(0))).alias(f"reca_{k}")]
-    return r.groupBy(part).agg(*aggs)
+    sizes = scores.groupBy(part).agg(F.count("*").alias("n"), F.count_if(hit).alias("n_pos"))
+    found = top_rows(scores, part, score, ties, max(ks)).groupBy(F.col(part).alias("__part")).agg(*[F.count_if(hit & (F.col("rank") <= k)).alias(f"__{k}") for k in ks])
+    out = sizes.join(found, F.col(part).eqNullSafe(F.col("__part")))
+    rates = [c for k in ks for c in ((F.col(f"__{k}") / F.least(F.lit(k), F.col("n"))).alias(f"prec_{k}"), (F.col(f"__{k}") / F.nullif(F.col("n_pos"), F.lit(0))).alias(f"reca_{k}"))]
+    return out.select(part, "n", "n_pos", *rates)
 
 
 def threshold_sweep(scores: DataFrame, part: str, score: str, label: str, digits: int = 4) -> DataFrame:
@@ -86,8 +86,11 @@ def roc_points(scores: DataFrame, part: str, score: str, label: str) -> DataFram
 
 
 def first_hits(pairs: DataFrame, part: str, score: str, ties: list[str], label: str) -> DataFrame:
-    """Rank of each group's first positive; NULL without one."""
-    return ranked(pairs, part, score, ties).groupBy(part).agg(F.min(F.when(F.col(label) == 1, F.col("rank"))).alias("first_rank"))
+    """Rank of each group's first positive, counted from the rows before it; NULL without one."""
+    place = best_first(score, ties)
+    best = pairs.groupBy(F.col(part).alias("__part")).agg(F.min(F.when(F.col(label) == 1, place)).alias("__best"))
+    ahead = pairs.join(best, F.col(part).eqNullSafe(F.col("__part"))).groupBy(part)
+    return ahead.agg(F.when(F.max("__best").isNotNull(), F.count_if(place <= F.col("__best"))).alias("first_rank"))
 
 
 def hit_rate_curve(first: DataFrame, top: int = 1024) -> DataFrame:

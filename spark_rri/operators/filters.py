@@ -61,7 +61,7 @@ def product_terms(rows: DataFrame, left: list[str], right: list[str]) -> DataFra
 def encoded_letters(rows: DataFrame, letter: str, factors: DataFrame) -> DataFrame:
     """Adds a letter's factors by a table (letter, f1, f2, ...) of one row per letter; unknown letters get NULL."""
     side = factors.withColumnRenamed("letter", "__letter")
-    return rows.join(F.broadcast(side.limit(64)), F.col(letter) == F.col("__letter"), "left").drop("__letter")
+    return rows.join(side, F.col(letter) == F.col("__letter"), "left").drop("__letter")
 
 
 def one_hot(rows: DataFrame, column: str, levels: list[str]) -> DataFrame:

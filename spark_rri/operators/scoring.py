@@ -2,17 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sampling import numbered
+
+
+#: Pieces into which a group is dealt before its best rows are sought.
+PIECES = 64
+
 
 def ranked(rows: DataFrame, part: str, score: str, ties: list[str], out: str = "rank") -> DataFrame:
-    """Rank by falling score within a group; ties go by the given unique keys."""
-    return rows.withColumn(out, F.row_number().over(Window.partitionBy(part).orderBy(F.desc(score), *ties)))
+    """Rank by falling score within a group; ties go by the given unique keys.
+
+    Rows are numbered in one order over all groups, by ranges, so a group may fill many tasks.
+    """
+    placed = numbered(rows, [F.col(part), F.desc(score), *[F.col(t) for t in ties]], "__at")
+    first = placed.groupBy(F.col(part).alias("__part")).agg(F.min("__at").alias("__from"))
+    return placed.join(first, F.col(part).eqNullSafe(F.col("__part"))).withColumn(out, (F.col("__at") - F.col("__from") + 1).cast("int")).drop("__at", "__part", "__from")
+
+
+def best_first(score: str, ties: list[str]) -> Column:
+    """A value that grows in the order of ``ranked``: falling score (NaN first, NULL last), then ties."""
+    s = F.col(score).cast("double")
+    return F.struct(s.isNull().alias("none"), (~F.isnan(s)).alias("number"), (-s).alias("falling"), *ties)
 
 
 def top_rows(rows: DataFrame, part: str, score: str, ties: list[str], n: int) -> DataFrame:
-    return ranked(rows, part, score, ties).filter(F.col("rank") <= n)
+    """The n best rows of each group, ranked: the best of its pieces first, so that n x PIECES rows of a group meet at most."""
+    order = [F.desc(score), *ties]
+    pieces = rows.withColumn("__piece", F.pmod(F.xxhash64(*ties), F.lit(PIECES)))
+    some = pieces.withColumn("rank", F.row_number().over(Window.partitionBy(part, "__piece").orderBy(*order))).filter(F.col("rank") <= n).drop("__piece", "rank")
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy(part).orderBy(*order))).filter(F.col("rank") <= n)
+
+
+def among_best(rows: DataFrame, part: str, score: str, ties: list[str], n: int, out: str) -> DataFrame:
+    """Marks the n best rows of each group: those up to its n-th in order."""
+    last = top_rows(rows, part, score, ties, n).groupBy(F.col(part).alias("__part")).agg(F.max(best_first(score, ties)).alias("__last"))
+    return rows.join(last, F.col(part).eqNullSafe(F.col("__part")), "left").withColumn(out, best_first(score, ties) <= F.col("__last")).drop("__part", "__last")
 
 
 def top_fraction(rows: DataFrame, part: str, score: str, ties: list[str], fraction: float) -> DataFrame:
@@ -57,4 +84,5 @@ def transposed(frame: DataFrame, ids: list[str], left: list[str], right: list[st
 
 def confusion_class(pairs: DataFrame, part: str, score: str, ties: list[str], label: str, n: int) -> DataFrame:
     """0 true negative, 1 false negative, 2 false positive, 3 true positive, the best n being positive calls."""
-    return ranked(pairs, part, score, ties).withColumn("confusion", 2 * (F.col("rank") <= n).cast("int") + (F.col(label) == 1).cast("int"))
+    marked = among_best(pairs, part, score, ties, n, "__best")
+    return marked.withColumn("confusion", 2 * F.col("__best").cast("int") + (F.col(label) == 1).cast("int")).drop("__best")

@@ -98,9 +98,9 @@ def one_vs_rest(chains: DataFrame, key: str, chain: str) -> DataFrame:
     return out.filter((F.size("receptor") > 1) | (F.col("ligand") < F.col("receptor")[0]))
 
 
-def rigid_transform(points: DataFrame, poses: DataFrame) -> DataFrame:
-    """Every point under every pose: rotation about x, y and z, then a shift. Poses are few and joined by broadcast."""
-    both = points.join(F.broadcast(poses))
+def rigid_transform(points: DataFrame, poses: DataFrame, keys: list[str]) -> DataFrame:
+    """Every point under every pose of its complex (equal keys): rotation about x, y and z, then a shift."""
+    both = points.join(poses, keys)
     ca, sa, cb, sb, cc, sc = (f(F.col(c)) for c in ("rx", "ry", "rz") for f in (F.cos, F.sin))
     y1, z1 = F.col("y") * ca + F.col("z") * sa, F.col("z") * ca - F.col("y") * sa
     x2, z2 = F.col("x") * cb + z1 * sb, z1 * cb - F.col("x") * sb

@@ -79,8 +79,11 @@ POSE_SQL = "poses AS (SELECT * FROM (VALUES " + ", ".join(map(str, POSES)) + ")
 
 @query(f"WITH {POINTS}, {POSE_SQL}, a AS (SELECT *, y*cos(rx)+z*sin(rx) AS y1, z*cos(rx)-y*sin(rx) AS z1 FROM points, poses), b AS (SELECT *, x*cos(ry)+z1*sin(ry) AS x2, z1*cos(ry)-x*sin(ry) AS z2 FROM a) SELECT node, pose, round(x2*cos(rz)+y1*sin(rz)+tx, 6) AS nx, round(y1*cos(rz)-x2*sin(rz)+ty, 6) AS ny, round(z2+tz, 6) AS nz FROM b")
 def rigid_transform(spark, sf):
-    poses = spark.createDataFrame(POSES, "pose int, rx double, ry double, rz double, tx double, ty double, tz double")
-    return rounded(spatial.rigid_transform(points(spark, sf), poses).select("node", "pose", "nx", "ny", "nz"), "nx", "ny", "nz")
+    p = points(spark, sf)
+    names = ["pose", "rx", "ry", "rz", "tx", "ty", "tz"]
+    every = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, pose, strict=True)]) for pose in POSES])
+    poses = p.select("complex_id").distinct().select("complex_id", F.inline(every))
+    return rounded(spatial.rigid_transform(p, poses, ["complex_id"]).select("node", "pose", "nx", "ny", "nz"), "nx", "ny", "nz")
 
 
 AGGS = ", ".join(f"round(coalesce({f}(q.{c}), -1024), 6) AS {f}_{c}" for c in ("v1", "v2") for f in ("avg", "max", "min", "sum"))

@@ -41,3 +41,17 @@ def test_quarantine_takes_siblings(spark):
     rows = spark.createDataFrame([("x@1",), ("x@2",), ("y@1",)], "k string")
     kept, gone = quarantine(rows, spark.createDataFrame([("x@1", "bad")], "k string, reason string"), "k")
     assert [r["k"] for r in kept.collect()] == ["y@1"] and gone.count() == 2
+
+
+def test_ranks_without_group_windows(spark):
+    from pyspark.sql import Window
+
+    from spark_rri.operators import scoring
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 50 == 1, "b").otherwise("a").alias("g"), "id", F.when(F.col("id") % 97 == 0, F.lit(None)).when(F.col("id") % 89 == 0, F.lit(float("nan"))).otherwise(F.col("id") * 7 % 40 / 4.0).alias("s"), (F.col("id") % 11 == 10).cast("int").alias("y"))
+    plain = rows.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("s"), "id")))
+    want = {r["id"]: r["rank"] for r in plain.collect()}
+    assert {r["id"]: r["rank"] for r in scoring.ranked(rows, "g", "s", ["id"]).collect()} == want
+    assert {r["id"]: r["rank"] for r in scoring.top_rows(rows, "g", "s", ["id"], 30).collect()} == {k: v for k, v in want.items() if v <= 30}
+    assert {r["id"] for r in scoring.among_best(rows, "g", "s", ["id"], 30, "best").filter("best").collect()} == {k for k, v in want.items() if v <= 30}
+    assert {r["g"]: r["first_rank"] for r in evaluation.first_hits(rows, "g", "s", ["id"], "y").collect()} == {r["g"]: r["f"] for r in plain.groupBy("g").agg(F.min(F.when(F.col("y") == 1, F.col("rank"))).alias("f")).collect()}

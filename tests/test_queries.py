@@ -42,7 +42,7 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_no_nested_loop(spark):
-    for name in ("contact_range_join", "contact_number", "overlap_anti_join", "family_groups", "pair_neighbour_agg", "leakage_free_merge", "interface_residues", "chain_contact_graph"):
+    for name in ("rigid_transform", "contact_range_join", "contact_number", "overlap_anti_join", "family_groups", "pair_neighbour_agg", "leakage_free_merge", "interface_residues", "chain_contact_graph"):
         plan = q.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
         assert "NestedLoop" not in plan and "CartesianProduct" not in plan, name
 
