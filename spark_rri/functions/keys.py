@@ -59,6 +59,11 @@ def alignment_quality(seq: Column) -> Column:
     return F.length(F.regexp_replace(seq, "[-a-z]", ""))
 
 
+def without_insertions(seq: Column) -> Column:
+    """The aligned sequence without lower-case letters."""
+    return F.regexp_replace(seq, "[a-z]", "")
+
+
 def identity(a: Column, b: Column) -> Column:
     """Share of equal places over the aligned length; NULL for empty sequences."""
     pairs = F.arrays_zip(F.split(a, "").alias("a"), F.split(b, "").alias("b"))

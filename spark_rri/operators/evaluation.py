@@ -122,3 +122,52 @@ def aligned(sites: DataFrame, scores: DataFrame, keys: list[str], score: str) ->
 def expected_interface_size(n: Column) -> Column:
     """Sites expected in an interface of a chain of n."""
     return F.round(6.1 * F.pow(n, 0.3))
+
+
+def more_metrics(counts: DataFrame) -> DataFrame:
+    """Adds accuracy, false positive rate and negative predictive value to tp, fp, fn and tn."""
+    tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
+    zero = F.lit(0.0)
+    return counts.withColumns({"accuracy": (tp + tn) / F.nullif(tp + fp + fn + tn, zero), "fpr": fp / F.nullif(fp + tn, zero), "npv": tn / F.nullif(tn + fn, zero)})
+
+
+def best_correlation(sweep: DataFrame, part: str) -> DataFrame:
+    """The sweep's row of highest Matthews correlation with all metrics; the lowest threshold of equals."""
+    full = more_metrics(sweep)
+    names = [c for c in full.columns if c != part]
+    return full.groupBy(part).agg(F.min_by(F.struct(*names), F.struct(-F.col("mcc"), F.col("t"))).alias("b")).select(part, "b.*")
+
+
+def report_at(scores: DataFrame, part: str, score: str, label: str, threshold: float = 2.39698) -> DataFrame:
+    """Area, counts and metrics of each group at the threshold, and of all rows pooled (group NULL)."""
+    pooled = scores.withColumn(part, F.lit(None).cast(scores.schema[part].dataType))
+
+    def told(rows: DataFrame) -> DataFrame:
+        area = roc_auc(rows, part, score, label).withColumnRenamed(part, "__part")
+        return at_threshold(rows, part, score, label, threshold).join(area, F.col(part).eqNullSafe(F.col("__part"))).drop("__part")
+
+    return told(scores.filter(F.col(part).isNotNull())).unionByName(told(pooled))
+
+
+def hit_rate_marks(first: DataFrame, shares: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9), top: int = 1024) -> DataFrame:
+    """(share, n, hit_rate): for every share the n up to ``top`` whose hit rate is nearest to it, the least of equals.
+
+    The rate only changes at a first rank that occurs, so these and 1 are all places to look at.
+    """
+    total = first.agg(F.count("*").alias("groups"))
+    steps = first.filter(F.col("first_rank") <= top).groupBy(F.col("first_rank").cast("long").alias("n")).agg(F.count("*").alias("k"))
+    steps = steps.unionByName(first.sparkSession.range(1, 2).select(F.col("id").alias("n"), F.lit(0).cast("long").alias("k"))).groupBy("n").agg(F.sum("k").alias("k"))
+    curve = steps.withColumn("hits", F.sum("k").over(Window.orderBy("n"))).join(F.broadcast(total))  # at most ``top`` rows
+    rated = curve.select("n", (F.col("hits") / F.col("groups")).alias("hit_rate"), F.explode(F.lit(list(shares))).alias("share"))
+    gap = F.round(F.abs(F.col("hit_rate") - F.col("share")), 12)
+    return rated.groupBy("share").agg(F.min_by(F.struct("n", "hit_rate"), F.struct(gap, F.col("n"))).alias("b")).select("share", "b.*")
+
+
+def mean_hits(pairs: DataFrame, part: str, score: str, ties: list[str], label: str, top: int = 1024) -> DataFrame:
+    """(n, mean_hits): positives among the n best rows of a group, averaged over groups, for n = 1, 2, 4, .. top."""
+    best = top_rows(pairs, part, score, ties, top)
+    groups = pairs.agg(F.count_distinct(part).alias("groups"))
+    sizes = [1 << k for k in range(top.bit_length())]
+    at = best.filter(F.col(label) == 1).select("rank", F.explode(F.lit(sizes)).alias("n")).filter(F.col("rank") <= F.col("n")).groupBy("n").agg(F.count("*").alias("hits"))
+    every = pairs.sparkSession.range(1).select(F.explode(F.lit(sizes)).alias("n"))
+    return every.join(at, "n", "left").join(F.broadcast(groups)).select("n", (F.coalesce("hits", F.lit(0)) / F.col("groups")).alias("mean_hits"))

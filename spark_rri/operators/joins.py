@@ -50,6 +50,28 @@ def fallback_lookup(rows: DataFrame, first: DataFrame, first_key: str, second: D
     return rows.join(a, first_key, "left").join(b, second_key, "left").withColumn(value, F.coalesce("__a", "__b", F.lit(default))).drop("__a", "__b")
 
 
+def catalogue_lookup(rows: DataFrame, first: DataFrame, first_key: str, second: DataFrame, second_key: str, value: str) -> DataFrame:
+    """Adds the value and where it comes from: ``first`` key, else ``second`` key, else ``compute`` (value NULL).
+
+    An entry counts only with status 0; of several of a key, the least value.
+    """
+    good = lambda t, k, out: t.filter("status = 0").groupBy(k).agg(F.min(value).alias(out))
+    out = rows.join(good(first, first_key, "__a"), first_key, "left").join(good(second, second_key, "__b"), second_key, "left")
+    origin = F.when(F.col("__a").isNotNull(), "first").when(F.col("__b").isNotNull(), "second").otherwise("compute")
+    return out.withColumns({value: F.coalesce("__a", "__b"), "origin": origin}).drop("__a", "__b")
+
+
+def matched_rows(left: DataFrame, right: DataFrame, keys: list[str], group: str, tolerance: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects): full match of both tables by keys (the group among them), one-sided rows dropped.
+
+    A group is rejected, with counts, if more than the share ``tolerance`` of its matched keys is one-sided.
+    """
+    found = outer_indicator(left, right, keys)
+    counts = found.groupBy(group).agg(F.count("*").alias("n_keys"), F.count_if(F.col("found_in") != "both").alias("one_sided"))
+    rejects = counts.filter(F.col("one_sided") > tolerance * F.col("n_keys")).withColumn("reason", F.lit("too many one-sided rows"))
+    return left.join(right, keys).join(rejects.select(group), group, "left_anti"), rejects
+
+
 def compute_once(rows: DataFrame, key: str, work: Column, out: str) -> DataFrame:
     """Work on every distinct key once and hand the result to all its rows."""
     return rows.join(rows.select(key).distinct().withColumn(out, work), key, "left")
@@ -83,6 +105,14 @@ def equivalent_contacts(contacts: DataFrame, same: DataFrame, key: str, left: st
     return contacts.select(key, left, right).union(more).distinct()
 
 
+def within_partner_contacts(contacts: DataFrame, same: DataFrame, key: str, left: str, right: str, side: str) -> DataFrame:
+    """Adds (l', r) for every contact (l, r) and equivalence l -> l' of the left side's chains, or (l, r') for side ``right``."""
+    end, other = (left, right) if side == "left" else (right, left)
+    twins = same.select(key, F.col("node").alias(end), F.col("twin").alias("__twin"))
+    more = contacts.join(twins, [key, end]).select(key, F.col("__twin").alias(end), other)
+    return contacts.select(key, left, right).unionByName(more).distinct()
+
+
 def transfer_labels(contacts: DataFrame, mapping: DataFrame, left: str, right: str) -> DataFrame:
     """Contacts with both ends renamed by a map (columns node, renamed); both must map."""
     l = mapping.select(F.col("node").alias(left), F.col("renamed").alias("__l"))
@@ -105,6 +135,30 @@ def paired_alignment(left: DataFrame, right: DataFrame, taxon: str, seq: str, jo
     return l.join(r, taxon).select(taxon, F.concat_ws(joiner, "__l", "__r").alias("paired"))
 
 
+def paired_with_target(left: DataFrame, right: DataFrame, position: str, taxon: str, seq: str, joiner: str = "-----") -> DataFrame:
+    """(position, taxon, paired): both alignments' targets (position 0) first, then the best sequences of every taxon of both.
+
+    Best is the longest without gaps and insertions, the least of equals; insertions (lower case) are taken out.
+    """
+    from ..functions.keys import alignment_quality, without_insertions
+
+    def best(side: DataFrame) -> DataFrame:
+        others = side.filter((F.col(position) > 0) & F.col(taxon).isNotNull())
+        return others.groupBy(taxon).agg(F.min_by(seq, F.struct(-alignment_quality(F.col(seq)), F.col(seq))).alias(seq))
+
+    plain = lambda df: df.withColumn("paired", without_insertions(F.col("paired")))
+    head = lambda side, out: side.filter(F.col(position) == 0).select(F.lit(0).alias(position), F.col(seq).alias(out))
+    targets = head(left, "__l").join(head(right, "__r"), position).select(position, F.lit(None).cast("string").alias(taxon), F.concat_ws(joiner, "__l", "__r").alias("paired"))
+    return plain(targets.unionByName(paired_alignment(best(left), best(right), taxon, seq, joiner).withColumn(position, F.lit(1))))
+
+
+def chain_sequences(rows: DataFrame, keys: list[str], order: list[str], letter: str, standard: Column, least: int = 12, share: float = 0.5) -> DataFrame:
+    """Sequences of chains of which more than the share is standard residues, without X at the end, longer than ``least``."""
+    good = rows.groupBy(*keys).agg(F.avg(standard.cast("double")).alias("__share")).filter(F.col("__share") > share).select(*keys)
+    out = assemble(rows.join(good, keys, "left_semi"), keys, order, letter)
+    return out.withColumn("sequence", F.regexp_replace("sequence", "X+$", "")).filter(F.length("sequence") > least)
+
+
 def assemble(rows: DataFrame, keys: list[str], order: list[str], letter: str, out: str = "sequence") -> DataFrame:
     """Letters joined in order."""
     items = F.array_sort(F.collect_list(F.struct(*order, F.col(letter).alias("__x"))))

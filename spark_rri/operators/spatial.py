@@ -6,7 +6,7 @@ other is copied to the 27 cells around it, so the join is an equi join and never
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 AXES = ("x", "y", "z")
@@ -61,6 +61,15 @@ def half_sphere_counts(points: DataFrame, cutoff: float, keys: list[str], axis:
     return out.select(*keys, node, *[F.when(undefined, -1).otherwise(F.coalesce(c, F.lit(0))).alias(f"n_{c}") for c in ("up", "down")])
 
 
+def trace_axes(trace: DataFrame, part: list[str], order: list[str], names: tuple[str, str, str] = ("ax", "ay", "az")) -> DataFrame:
+    """Axis of every place of a chain from its trace alone: the sum of the ways from both neighbours to it; NULL at the ends.
+
+    For ``half_sphere_counts`` where side chains are unknown.
+    """
+    w = Window.partitionBy(*part).orderBy(*order)
+    return trace.withColumns({n: 2 * F.col(c) - F.lag(c).over(w) - F.lead(c).over(w) for n, c in zip(names, AXES, strict=True)})
+
+
 def gabriel_graph(points: DataFrame, cutoff: float, keys: list[str], node: str = "node") -> DataFrame:
     """Edges (src < dst) within the cut-off whose diametral sphere holds no third node: a subgraph of Delaunay's."""
     edges = neighbour_edges(points, cutoff, keys, node).withColumn("d2", F.col("dist") * F.col("dist"))
@@ -90,8 +99,13 @@ def chain_contact_graph(points: DataFrame, cutoff: float, least: int, keys: list
     return pairs.groupBy(*[F.col(f"l.{k}").alias(k) for k in keys], F.col(f"l.{chain}").alias("chain_a"), F.col(f"r.{chain}").alias("chain_b")).agg(F.count("*").alias("contacts")).filter(F.col("contacts") >= least)
 
 
-def one_vs_rest(chains: DataFrame, key: str, chain: str) -> DataFrame:
-    """Every chain as ligand and the others of its group as receptor; a pair of two only once."""
+def one_vs_rest(chains: DataFrame, key: str, chain: str, size: str | None = None, least: int = 30, most: int = 800) -> DataFrame:
+    """Every chain as ligand and the others of its group as receptor; a pair of two only once.
+
+    With a size column, only chains of ``least`` to ``most`` residues take part.
+    """
+    if size:
+        chains = chains.filter(F.col(size).between(least, most))
     l, r = chains.alias("l"), chains.alias("r")
     pairs = l.join(r, (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col(f"l.{chain}") != F.col(f"r.{chain}")))
     out = pairs.groupBy(F.col(f"l.{key}").alias(key), F.col(f"l.{chain}").alias("ligand")).agg(F.array_sort(F.collect_set(f"r.{chain}")).alias("receptor"))

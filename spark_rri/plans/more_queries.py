@@ -208,7 +208,7 @@ def key_parsing(spark, sf):
     return table(spark, sf, "pages").select("page_id", fk.first_match(u, "^https?://([^/]+)/").alias("host"), fk.first_match(u, "/([a-z]{2})/([0-9]+)").alias("lang"), fk.first_match(u, "/([a-z]{2})/([0-9]+)", 2).alias("number"))
 
 
-@query(f"WITH {SCORES} SELECT f.family, count(*) AS n, round(avg(score), 4) AS mean, max(score) AS most FROM scores s JOIN (VALUES ('low', '^src[0-4]$'), ('teens', '^src1[0-9]$')) f(family, p) ON regexp_matches(s.source, f.p) GROUP BY 1 UNION ALL SELECT 'others', count(*), round(avg(score), 4), max(score) FROM scores WHERE NOT regexp_matches(source, '^src[0-4]$') AND NOT regexp_matches(source, '^src1[0-9]$')")
+@query(f"WITH {SCORES} SELECT f.family, count(*) AS n, round(avg(score), 4) AS mean, sum(score) AS total, max(score) AS most FROM scores s JOIN (VALUES ('low', '^src[0-4]$'), ('teens', '^src1[0-9]$')) f(family, p) ON regexp_matches(s.source, f.p) GROUP BY 1 UNION ALL SELECT 'others', count(*), round(avg(score), 4), sum(score), max(score) FROM scores WHERE NOT regexp_matches(source, '^src[0-4]$') AND NOT regexp_matches(source, '^src1[0-9]$')")
 def importance_by_family(spark, sf):
     out = models.importance_by_family(scores(spark, sf), "source", "score", {"low": "^src[0-4]$", "teens": "^src1[0-9]$"})
     return rounded(out, "mean", digits=4)
@@ -231,7 +231,18 @@ def rf_scores(spark, sf):
 
 @query()
 def two_step_feedback(spark, sf):
-    return models.two_step(labelled_features(spark, sf), ["f0", "f1", "f2", "f3"], "doc_id", models.boosted_trees(rounds=4, depth=3), folds=2).select("doc_id", "step1", "prediction")
+    from ..operators import spatial
+
+    keys, p = ["complex_id"], points(spark, sf)
+    l, r = p.filter("partner = 0"), p.filter("partner = 1")
+    near = spatial.range_join(l, r, 0.2, keys)
+    values = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "lr" for c in ("v1", "v2", "v3")]
+    label = (spatial.distance2() <= CUT * CUT).cast("double").alias("label")
+    lattice = near.select(F.col("l.complex_id").alias("complex_id"), F.col("l.node").alias("i"), F.col("r.node").alias("j"), label, *values)
+    features = [c for c in lattice.columns if c[:2] in ("l_", "r_")]
+    edges = [spatial.neighbour_edges(side, CUT, keys) for side in (l, r)]
+    out = models.two_step(lattice, features, keys, *edges, models.boosted_trees(rounds=4, depth=3), folds=2, group="complex_id")
+    return out.select("complex_id", "i", "j", "step0_P", "n2n_max_step0_z_P", "prediction")
 
 
 @query()

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from spark_rri.plans import check_queries, curve_queries, more_queries, source_queries  # noqa: F401
+from spark_rri.plans import check_queries, curve_queries, detail_queries, mapping_queries, more_queries, source_queries  # noqa: F401
 from spark_rri.plans import queries as q
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +57,14 @@ def test_entry(spark):
     import __spark_entry__
 
     assert 0 < __spark_entry__.entry(spark).count() <= 20
+
+
+def test_alignment_of_whole_table(spark, duck):
+    from spark_rri.operators import alignment as al
+
+    got = {r["p_partkey"]: r for r in q.QUERIES["sequence_alignment"](spark, SF).collect()}
+    want = duck.sql("SELECT p_partkey, upper(p_name), upper(p_type) FROM part").fetchall()
+    assert len(got) == len(want)
+    for k, a, b in want[:200]:
+        score, at_a, _ = al.align(a, b, al.score_table(), 11.0, 0.5)
+        assert (got[k]["n_mapped"], got[k]["score"]) == (len(at_a), score)

@@ -82,3 +82,42 @@ def test_mixed_recipe(spark):
     row = got.collect()[0].asDict()
     assert got.count() == 1 and (row["L_surf_asa"], row["L_avg_surf_asa"], row["R_win_w_5"], row["R_max_win_w_5"], row["coup_q"]) == (7.0, 8.0, 6.0, 5.0, 0.5)
     assert [s.name for s in recipes.without_couplings(recipe, False)] == ["win", "surf"]
+
+
+def test_encode_by_kinds(spark):
+    frame = lambda schema, *rows: spark.createDataFrame(list(rows), schema)
+    ids = "complex_id string, node int"
+    window = frame(f"{ids}, `w.4` double, `w.5` double", ("c", 1, 1.0, 5.0), ("c", 2, 3.0, 6.0), ("c", 3, 4.0, 7.0))
+    one = frame(f"{ids}, v double", ("c", 1, 7.0), ("c", 2, 8.0), ("c", 3, 9.0))
+    tables = {n: one for n in ("letter_window", "conservation", "predicted_surface", "surface", "half_sphere", "secondary_structure")} | {"profile_window": window}
+    edges = frame("complex_id string, src int, dst int", ("c", 1, 2), ("c", 2, 1))
+    pairs = frame("complex_id string, chain_l string, i int, chain_r string, j int", ("c", "A", 1, "B", 1), ("c", "A", 1, "B", 2), ("c", "A", 2, "B", 1))
+    couplings = frame("complex_id string, i int, j int, p double, run_quality double", ("c", 1, 2, 0.5, 1.0))
+    sides = {"L": tables, "R": tables, "pair": {"couplings": couplings}}
+
+    def run(left, right, **more):
+        out = recipes.encode(pairs, sides, {"L": edges, "R": edges}, {"L": left, "R": right}, ["complex_id"], **more)
+        return {(r.i, r.j): r.asDict() for r in out.collect()}
+
+    seq, struct, mixed = run("seq", "seq"), run("struct", "struct"), run("struct", "seq")
+    assert len(seq) == len(struct) == len(mixed) == 3
+    assert not [c for c in seq[1, 1] if "surface_v" in c and "predicted" not in c or c.startswith("L_avg")]
+    assert (seq[1, 1]["L_length"], seq[1, 1]["R_length"], seq[1, 1]["l2r_max_couplings_p"]) == (2, 2, 0.5)
+    assert not [c for c in struct[1, 1] if "predicted" in c or c.endswith("_length")] and struct[1, 1]["R_avg_surface_v"] == 8.0
+    assert "L_avg_profile_window_w_5" in struct[1, 1] and "L_avg_profile_window_w_4" not in struct[1, 1]
+    assert mixed[1, 1]["L_max_surface_v"] == 8.0 and not [c for c in mixed[1, 1] if c.startswith(("R_surface", "R_max"))] and mixed[1, 1]["R_length"] == 2
+    assert [c for c in mixed[1, 1] if "run_quality" in c] == ["couplings_run_quality"]
+    assert not [c for c in run("seq", "seq", couplings=False)[1, 1] if "couplings" in c]
+
+
+def test_two_step_over_neighbourhoods(spark):
+    pairs = spark.range(200).select(F.concat(F.lit("c"), (F.col("id") % 8)).alias("complex_id"), F.expr("cast(id div 8 % 5 as int) as i"), F.expr("cast(id div 40 as int) as j"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 7 > 3).cast("int").alias("label"))
+    nodes = pairs.select("complex_id", F.col("i").alias("src")).distinct()
+    edges = nodes.withColumn("dst", F.explode(F.array(F.col("src") - 1, F.col("src") + 1)))
+    got = models.two_step(pairs, ["a"], ["complex_id"], edges, edges, models.random_forest(trees=3, depth=3), 2, "complex_id")
+    assert got.count() == 200 and {"step0_P", "step0_z_P", "l2r_avg_step0_P", "n2n_max_step0_z_P", "prediction"} <= set(got.columns)
+    rows = got.collect()
+    before = {(r.complex_id, r.i, r.j): r.step0_P for r in rows}
+    for r in rows:
+        around = [before[r.complex_id, r.i, j] for j in (r.j - 1, r.j + 1) if (r.complex_id, r.i, j) in before]
+        assert math.isclose(r.l2r_avg_step0_P, sum(around) / len(around) if around else -1024.0)
