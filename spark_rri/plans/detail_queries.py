@@ -49,7 +49,7 @@ def hit_rate_marks(spark, sf):
     return rounded(ev.hit_rate_marks(first), "hit_rate")
 
 
-@query(f"WITH {RANKED} SELECT 1 << k AS n, round((SELECT count(*) FROM ranked WHERE label = 1 AND rank <= (1 << k)) / (SELECT count(DISTINCT complex_id) FROM pairs), 6) AS mean_hits FROM range(11) t(k)")
+@query(f"WITH {RANKED} SELECT (1 << k)::INT AS n, round((SELECT count(*) FROM ranked WHERE label = 1 AND rank <= (1 << k)) / (SELECT count(DISTINCT complex_id) FROM pairs), 6) AS mean_hits FROM range(11) t(k)")
 def mean_hits(spark, sf):
     return rounded(ev.mean_hits(pairs(spark, sf), "complex_id", "score", TIES, "label"), "mean_hits")
 

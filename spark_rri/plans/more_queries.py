@@ -221,12 +221,12 @@ def labelled_features(spark, sf):
 
 @query()
 def gbt_scores(spark, sf):
-    return models.cross_scores(labelled_features(spark, sf), ["f0", "f1", "f2", "f3"], models.boosted_trees(rounds=5, depth=3), folds=2).select("doc_id", "prediction")
+    return models.cross_scores(labelled_features(spark, sf), ["f0", "f1", "f2", "f3"], models.boosted_trees(), folds=2).select("doc_id", "prediction")
 
 
 @query()
 def rf_scores(spark, sf):
-    return models.cross_scores(labelled_features(spark, sf), ["f0", "f1", "f2", "f3"], models.random_forest(trees=10, depth=4), folds=2).select("doc_id", "prediction")
+    return models.cross_scores(labelled_features(spark, sf), ["f0", "f1", "f2", "f3"], models.random_forest(), folds=2).select("doc_id", "prediction")
 
 
 @query()
@@ -241,7 +241,7 @@ def two_step_feedback(spark, sf):
     lattice = near.select(F.col("l.complex_id").alias("complex_id"), F.col("l.node").alias("i"), F.col("r.node").alias("j"), label, *values)
     features = [c for c in lattice.columns if c[:2] in ("l_", "r_")]
     edges = [spatial.neighbour_edges(side, CUT, keys) for side in (l, r)]
-    out = models.two_step(lattice, features, keys, *edges, models.boosted_trees(rounds=4, depth=3), folds=2, group="complex_id")
+    out = models.two_step(lattice, features, keys, *edges, models.random_forest(), folds=2, group="complex_id")
     return out.select("complex_id", "i", "j", "step0_P", "n2n_max_step0_z_P", "prediction")
 
 
