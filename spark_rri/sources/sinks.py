@@ -38,7 +38,7 @@ def read_lineage(spark: SparkSession, path: str, test: str = "complex_id") -> Da
 
 def write_curve(curve: DataFrame, path: str) -> None:
     """A threshold curve, one JSON object per threshold; a curve has as many rows as thresholds asked for."""
-    curve.coalesce(1).sortWithinPartitions("threshold").write.mode("overwrite").json(path)
+    curve.repartitionByRange("threshold").sortWithinPartitions("threshold").write.mode("overwrite").json(path)
 
 
 def model_path(folder: str, step: str, homo: bool) -> str:
@@ -111,4 +111,4 @@ def write_folds(folds: DataFrame, path: str, copies: int = 3) -> None:
     rows = folds.withColumn("copy", F.explode(suffix))
     rows = rows.withColumn("complex_id", F.expr("if(copy = 0, complex_id, concat(complex_id, '-', copy))"))
     part = lambda name: F.array_sort(F.collect_set(F.when(F.col("part") == name, F.col("complex_id")))).alias(name)
-    rows.groupBy("fold").agg(part("train"), part("test")).coalesce(1).sortWithinPartitions("fold").write.mode("overwrite").json(path)
+    rows.groupBy("fold").agg(part("train"), part("test")).repartitionByRange("fold").sortWithinPartitions("fold").write.mode("overwrite").json(path)

@@ -16,7 +16,7 @@ def pending(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def available_now(spark: SparkSession, path: str, work: Callable[[DataFrame], DataFrame], target: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Run ``work`` over the files of a table that the checkpoint has not seen, then return all output.
+    """Run ``work`` over the files of a table (a folder, or a single file) that the checkpoint has not seen, then return all output.
 
     Called again with the same target and checkpoint it takes new files only. Both folders are
     by default fresh ones under spark.checkpoint.dir.
@@ -24,8 +24,13 @@ def available_now(spark: SparkSession, path: str, work: Callable[[DataFrame], Da
     target = target or fresh_path(spark, "intake")
     checkpoint = checkpoint or fresh_path(spark, "seen")
     schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = spark.readStream.schema(schema)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        folder, _, name = path.rpartition("/")
+        stream = files.option("pathGlobFilter", name).parquet(folder)
+    else:
+        stream = files.parquet(path)
     query = work(stream).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(work(spark.read.parquet(path)).schema).parquet(target)
