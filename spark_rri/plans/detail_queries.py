@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.keys import without_insertions
+from ..functions.keys import alignment_quality, base_id, clean_sequence, valid_sequence, without_insertions
 from ..operators import evaluation as ev
 from ..operators import joins, ordered, spatial
 from .queries import query, rounded, sweep
@@ -91,3 +91,10 @@ def chain_sequences(spark, sf):
 @query("SELECT page_id, regexp_replace(url, '[a-z]', '', 'g') AS kept FROM pages")
 def insertions_removed(spark, sf):
     return table(spark, sf, "pages").select("page_id", without_insertions(F.col("url")).alias("kept"))
+
+
+@query("SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[-a-z]', '', 'g')) AS quality, upper(regexp_replace(coalesce(lang, ''), '[ \\t\\n]+', '', 'g')) AS letters, regexp_matches(upper(coalesce(lang, '')), '^[ABCDEFGHIKLMNPQRSTVWXYZ]+$') AS valid, upper(string_split_regex(source, '[:@#-]')[1]) AS base FROM documents")
+def text_feature_table(spark, sf):
+    d = table(spark, sf, "documents")
+    lang = clean_sequence(F.coalesce("lang", F.lit("")))
+    return d.select("doc_id", alignment_quality(F.coalesce("text", F.lit(""))).alias("quality"), lang.alias("letters"), valid_sequence(lang).alias("valid"), base_id(F.col("source")).alias("base"))
