@@ -1,13 +1,14 @@
-"""Registered queries of the ten text operators: thin calls with production parameters."""
+"""Registered queries of the thirteen text operators: thin calls with production parameters."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, maxent, oracles, packing, partenum, repeats, substrings, tiling, toxicity, wordpiece
+from . import langid, maxent, merkle, oracles, packing, partenum, repeats, substrings, tiling, toxicity, wordpiece
 from .common import fold, table
 
 
@@ -68,6 +69,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.when(fold(3) == 0, F.translate("text", ascii_uppercase, ascii_lowercase)).otherwise(F.col("text"))
+    record = lambda text: merkle.record_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    leaves = docs.select("doc_id", "lang", record(F.col("text")).alias("digest"), record(lowered).alias("tampered"))
+    proofs = merkle.prove(leaves, "lang", "doc_id", "digest", ["tampered"])
+    others = F.flatten(F.transform("proof", lambda step: F.array(step["left"], step["right"])))
+    out = proofs.select("doc_id", *[merkle.as_text(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")], F.sha2(F.array_join(F.transform(others, merkle.as_text), ""), 256).alias("proof_sha256"), merkle.as_text(merkle.folded(F.col("tampered"), F.col("proof"))).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -80,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_repetition_rules": op8_repetition_rules,
         "op9_toxicity": op9_toxicity,
         "op10_packing": op10_packing,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
