@@ -71,4 +71,48 @@ s AS (SELECT *, gone = 1 AND coalesce(lag(gone) {BY}, 0) = 0 AS first FROM k),
 o AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, count(*) FILTER (first) AS n_spans, string_agg(word, '' ORDER BY i) FILTER (gone = 0) AS kept FROM s GROUP BY 1)
 SELECT d.doc_id, strlen(text) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)"""
 
-SQL = {"op2_suffix_array_dedup": OP2, "op6_jaccard_join": OP6, "op7_substring_dedup": OP7, "op8_repetition_rules": OP8}
+
+
+def _clustering(rounds: int = 3) -> str:
+    """k-means on integers, one block of tables a round."""
+    # a sum less its positive remainder is the floored mean times the count
+    parts = ["""kept AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""", "k AS (SELECT row_number() OVER () AS id, * FROM kept)", "x AS (SELECT id, unnest(v) AS x, unnest(range(64)) AS dim FROM k)", "start AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS num, id FROM k QUALIFY num < 16)", "c0 AS (SELECT num, dim, x AS c FROM start JOIN x USING (id))"]
+    for r in range(rounds + 1):
+        parts.append(f"d{r} AS MATERIALIZED (SELECT id, num, sum((x - c) * (x - c))::BIGINT AS distance FROM x JOIN c{r} USING (dim) GROUP BY ALL)")
+        parts.append(f"a{r} AS (SELECT id, arg_min(num, (distance, num)) AS num, min(distance) AS distance FROM d{r} GROUP BY 1)")
+        if r < rounds:
+            parts.append(f"m{r} AS (SELECT num, dim, sum(x) AS s, count(*) AS n FROM a{r} JOIN x USING (id) GROUP BY ALL)")
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT num, dim, coalesce((s - ((s % n) + n) % n) // n, c)::BIGINT AS c FROM c{r} LEFT JOIN m{r} USING (num, dim))")
+    return f"WITH {', '.join(parts)}, h AS (SELECT num, sha256(string_agg(c::VARCHAR, ',' ORDER BY dim)) AS centroid_sha256 FROM c{rounds} GROUP BY 1) SELECT vec_id, num::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY num))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256 FROM a{rounds} JOIN k USING (id) JOIN h USING (num)"
+
+
+#: crc32 of a text of ASCII characters: bit by bit, with the polynomial's fixed value.
+CRC32 = "xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split({0}, ''), lambda s: ascii(s)::UBIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], [0::UBIGINT for z in range(8)]), lambda y, z: xor(y >> 1, (y & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT)"
+
+
+def _levels(name: str, nodes: str, group: str, most: int) -> list[str]:
+    """Tables name0, name1, ... of a tree's levels: group, pos, n, digest; and each node's siblings left and right."""
+    out = [f"{name}0 AS MATERIALIZED ({nodes})"]
+    for k in range(most):
+        run = f"OVER (PARTITION BY {group}, pos // 8 ORDER BY pos ROWS BETWEEN"
+        out.append(f"{name}s{k} AS MATERIALIZED (SELECT *, coalesce(string_agg(digest, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(digest, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k})")
+        out.append(f"{name}{k + 1} AS MATERIALIZED (SELECT {group}, pos // 8 AS pos, any_value((n + 7) // 8) AS n, CASE WHEN any_value(n) = 1 THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY pos)) END AS digest FROM {name}{k} GROUP BY ALL)")
+    return out
+
+
+def _manifest(deep: int = 9, wide: int = 3) -> str:
+    """Trees of up to 8 ** deep leaves over up to 8 ** wide languages; levels above a tree's last node change nothing."""
+    bare = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END"
+    fields = " || ".join(bare(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    low = f"translate(text, '{UPPER}', '{UPPER.lower()}')"
+    parts = [f"f AS (SELECT *, {fields} AS head, CASE WHEN {CRC32.format('doc_id::VARCHAR')} % 3 = 0 THEN {low} ELSE text END AS other FROM documents)", f"e AS MATERIALIZED (SELECT doc_id, lang, sha256(head || {bare('text')}) AS leaf, sha256(head || {bare('other')}) AS tampered FROM f)", "g AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM (SELECT DISTINCT lang FROM e))", "b AS MATERIALIZED (SELECT g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n, doc_id, leaf, tampered FROM e JOIN g ON e.lang IS NOT DISTINCT FROM g.lang)"]
+    parts += _levels("t", "SELECT g, pos, n, leaf AS digest FROM b", "g", deep)
+    parts += _levels("u", f"SELECT 0 AS one, g AS pos, (SELECT count(*) FROM g) AS n, digest FROM t{deep}", "one", wide)
+    parts.append("p0 AS (SELECT b.*, tampered AS h, '' AS proof FROM b)")
+    steps = [(f"ts{k}", f"s.g = p.g AND s.pos = p.pos // {8**k}") for k in range(deep)] + [(f"us{k}", f"s.pos = p.g // {8**k}") for k in range(wide)]
+    for k, (s, on) in enumerate(steps):
+        parts.append(f"p{k + 1} AS MATERIALIZED (SELECT p.* REPLACE (CASE WHEN s.n = 1 THEN h ELSE sha256(l || h || r) END AS h, proof || l || r AS proof) FROM p{k} p JOIN {s} s ON {on})")
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, t{deep}.digest AS subroot, u{wide}.digest AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = u{wide}.digest AS verified FROM p{len(steps)} p JOIN t{deep} USING (g), u{wide}"
+
+
+SQL = {"op2_suffix_array_dedup": OP2, "op6_jaccard_join": OP6, "op7_substring_dedup": OP7, "op8_repetition_rules": OP8, "op11_centroid_clustering": _clustering(), "op13_merkle_manifest": _manifest()}

@@ -8,7 +8,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, maxent, merkle, oracles, packing, partenum, repeats, substrings, tiling, toxicity, wordpiece
+from . import laesa, langid, maxent, merkle, oracles, packing, partenum, repeats, rules, substrings, tiling, toxicity, wordpiece
 from .common import fold, table
 
 
@@ -69,6 +69,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = laesa.cluster(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("centroid_sha256", F.sha2(laesa.centroid_text(F.col("centroid")), 256)).drop("centroid")
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = fold(3) == 1
+    labelled = docs.select("doc_id", "text").filter(~held).join(labels.select("doc_id", "quality"), "doc_id")
+    out = rules.score(docs, rules.fit(labelled))
+    return out.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lowered = F.when(fold(3) == 0, F.translate("text", ascii_uppercase, ascii_lowercase)).otherwise(F.col("text"))
@@ -92,6 +105,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_repetition_rules": op8_repetition_rules,
         "op9_toxicity": op9_toxicity,
         "op10_packing": op10_packing,
+        "op11_centroid_clustering": op11_centroid_clustering,
+        "op12_quality_classifier": op12_quality_classifier,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
