@@ -12,8 +12,8 @@ Training goes in rounds. Documents are dealt to shards of about ``TOKENS_PER_SHA
 their id and text; in every round gradient steps over a shard's documents start from the shared
 weights, and the shards' weights are averaged by tokens in a tree of bounded groups and shared
 again. All training documents are used once over the rounds. What a shard holds and in which
-order does not hang on Spark's partitions, so scores do not either. Weight rows grow with the
-tokens, up to 2**MOST_ROWS; beyond that more decisions share a row.
+order does not hang on Spark's partitions, so scores do not either. There are ``ROWS`` weights for
+hashed features at every size, which tasks can be sent; a token touches some fifty of them.
 
 Counts are over all training documents and never leave Spark: the head words go to all tasks;
 other words' tokens are joined, with their features, with counts and paths within classes, on
@@ -45,9 +45,10 @@ START = np.uint64(0x57A757A757A757A7)
 ADD = 0.1
 FEATURES = 3
 NODE_FACTOR, ROW_FACTOR = np.uint32(0x85EBCA6B), np.uint32(0x9E3779B1)
-LEAST_ROWS, MOST_ROWS, TOKENS_PER_ROW = 16, 22, 64
+ROWS = 1 << 22
 MOST_CLASS_BITS, GROUP_WORDS = 16, 100_000
-BATCH = 131_072
+#: Tokens of a gradient step.
+BATCH = 32_768
 FLUSH = 1_000_000
 BLOCKS, FAN_IN = 32, 32
 TOKENS_PER_SHARD = 4_000_000
@@ -199,11 +200,6 @@ def class_of(h: np.ndarray, bits: int) -> np.ndarray:
     return (mix(h) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
 
-def rows_for(tokens_: int) -> int:
-    """Weight rows grow with the tokens to learn from, up to what tasks can be sent."""
-    return 1 << min(max((tokens_ // TOKENS_PER_ROW).bit_length(), LEAST_ROWS), MOST_ROWS)
-
-
 def features(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (contexts(h, at) >> np.uint64(32)).astype(np.uint32)
 
@@ -402,7 +398,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     class_leaf[mass.column("class").to_numpy()] = len(known) + np.arange(mass.num_rows)
     tree = Tree(np.concatenate([times + ADD, mass.column("mass").to_numpy(), [ADD]]))
     n_rare = int(sum(mass.column("c").to_pylist()))
-    model = Model(known, times, bits, class_leaf, tree, np.zeros(rows_for(n), np.float32))
+    model = Model(known, times, bits, class_leaf, tree, np.zeros(ROWS, np.float32))
     shape = spark.sparkContext.broadcast(Model(known, times, bits, class_leaf, tree, np.zeros(0, np.float32)))  # at most ``head`` words and 2**MOST_CLASS_BITS classes
 
     shards = lambda size: max(1, -(-size // (TOKENS_PER_SHARD * rounds)))
@@ -457,7 +453,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     scored = scratch.save(both.mapInArrow(run, f"row long, doc_id long, train boolean, n_tokens long, n_common long, base double, model double, rare array<{record}>"))
     scratch.release()
     joined = scratch.save(scored.select("row", "train", F.explode("rare").alias("x")).select("row", "train", "x.*").join(codes, "h", "left").drop("h"))
-    lower_weight = np.zeros(rows_for(n_rare), np.float32)
+    lower_weight = np.zeros(ROWS, np.float32)
     inner = joined.filter("train and size > 0").select("code", "size", "class", "bias", "f0", "f1", "f2")
     by_token = F.xxhash64("class", "code", "f0", "f1", "f2")
     for r in range(rounds if n_rare else 0):

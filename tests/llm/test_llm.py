@@ -407,6 +407,14 @@ def test_language_model_by_hand(spark):
     assert fitted[1] > plain[1] and fitted[3] - fitted[4] > plain[3] - plain[4]
 
 
+def test_language_model_gains_on_held_out_documents(spark):
+    from spark_rri.llm import queries
+
+    scored = queries.op4_lm_scoring(spark, "/root/testdata/sf0.01").filter("held_out")
+    gain = scored.agg((F.sum("score") - F.sum("base_score")) / F.sum("n_tokens")).first()[0]
+    assert gain >= 0.4  # log10 a token
+
+
 def test_language_model_is_proper():
     import numpy as np
 
