@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,3 +27,18 @@ def with_checkpoints(spark: SparkSession) -> None:
     """Sets the folder of checkpoint() where none is set."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """The rows, read back from a table written to the shared folder, in buckets of the columns ``by`` if any.
+
+    What made them is not run again, and joins and groupings by just these columns need no exchange.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, "stored")
+    if not by:
+        df.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    name, n = f"stored_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, *by).write.bucketBy(n, *by).sortBy(*by).option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
