@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scans import running, with_previous
+
 
 def pr_points(scores: DataFrame, part: str, score: str, label: str) -> DataFrame:
     """(part, score, n_pos, precision, recall) of every distinct score as threshold; parts without positives give none.
 
-    Scores are counted before they are ordered, so a part's window has its distinct scores only.
+    Scores are counted before they are ordered.
     """
     at = scores.groupBy(part, score).agg(F.count("*").alias("n"), F.sum((F.col(label) == 1).cast("long")).alias("n_pos"))
-    down = Window.partitionBy(part).orderBy(F.desc(score))
-    run = at.withColumns({"all": F.sum("n").over(down), "hits": F.sum("n_pos").over(down), "total": F.sum("n_pos").over(Window.partitionBy(part))})
+    total = at.groupBy(F.col(part).alias("__part")).agg(F.sum("n_pos").alias("total"))
+    run = running(at, part, [F.desc(score)], {"all": "n", "hits": "n_pos"}).join(total, F.col(part).eqNullSafe(F.col("__part")))
     return run.filter("total > 0").select(part, score, "n_pos", (F.col("hits") / F.col("all")).alias("precision"), (F.col("hits") / F.col("total")).alias("recall"), "total")
 
 
@@ -25,8 +27,8 @@ def average_precision(scores: DataFrame, part: str, score: str, label: str) -> D
 def pr_auc(scores: DataFrame, part: str, score: str, label: str, least_recall: float = 0.01) -> DataFrame:
     """(part, pr_auc): trapezoids under the points with a recall over ``least_recall``."""
     points = pr_points(scores, part, score, label).filter(F.col("recall") > least_recall)
-    order = Window.partitionBy(part).orderBy(F.desc(score))
-    slab = (F.col("recall") - F.lag("recall").over(order)) * (F.col("precision") + F.lag("precision").over(order)) / 2
+    points = with_previous(points, part, [F.desc(score)], {"__recall": "recall", "__precision": "precision"})
+    slab = (F.col("recall") - F.col("__recall")) * (F.col("precision") + F.col("__precision")) / 2
     return points.withColumn("slab", slab).groupBy(part).agg(F.coalesce(F.sum("slab"), F.lit(0.0)).alias("pr_auc"))
 
 
@@ -36,8 +38,8 @@ def on_grid(points: DataFrame, part: str, x: str, y: str, steps: int = 100, star
     Each segment gives the grid places it covers, so no part is joined with the grid; places
     behind a curve's last point are missing.
     """
-    order = Window.partitionBy(part).orderBy(x, y)
-    ends = points.select(part, F.col(x).alias("x1"), F.col(y).alias("y1"), F.lag(x, 1, 0.0).over(order).alias("x0"), F.lag(y, 1, start).over(order).alias("y0"))
+    ends = with_previous(points.select(part, F.col(x).alias("x1"), F.col(y).alias("y1")), part, [F.col("x1"), F.col("y1")], {"x0": "x1", "y0": "y1"})
+    ends = ends.withColumns({"x0": F.coalesce("x0", F.lit(0.0)), "y0": F.coalesce("y0", F.lit(start))})
     place = lambda c: F.floor(F.col(c) * steps + 1e-9).cast("int")
     inner = ends.filter(place("x1") > place("x0")).withColumn("k", F.explode(F.sequence(place("x0") + 1, place("x1"))))
     value = F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("k") / steps - F.col("x0")) / (F.col("x1") - F.col("x0"))

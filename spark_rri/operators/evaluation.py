@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import running
 from .scoring import best_first, top_rows
 
 
@@ -14,8 +15,7 @@ def roc_auc(scores: DataFrame, part: str, score: str, label: str, missing: float
     Rows are first counted by distinct score, so ranks run over score values instead of rows.
     """
     by = scores.groupBy(part, score).agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("p"))
-    below = F.sum("n").over(Window.partitionBy(part).orderBy(score).rowsBetween(Window.unboundedPreceding, 0))
-    mid = by.withColumn("mid", below - (F.col("n") - 1) / 2)
+    mid = running(by, part, [F.col(score)], {"below": "n"}).withColumn("mid", F.col("below") - (F.col("n") - 1) / 2)
     s = mid.groupBy(part).agg(F.sum(F.col("mid") * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     neg = F.col("n") - F.col("p")
     auc = F.when((F.col("p") > 0) & (neg > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * neg)).otherwise(F.lit(missing))
@@ -40,16 +40,10 @@ def threshold_sweep(scores: DataFrame, part: str, score: str, label: str, digits
     """
     t = scores.withColumn("t", F.round(score, digits)).withColumn("y", (F.col(label) == 1).cast("long"))
     b = t.groupBy(part, "t").agg(F.count("*").alias("n"), F.sum("y").alias("p"), F.count_if(F.col(score) > F.col("t")).alias("n_in"), F.count_if((F.col(score) > F.col("t")) & (F.col("y") == 1)).alias("p_in"))
-    w = Window.partitionBy(part)
-    above = w.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
-    b = b.withColumns({
-        "called": F.coalesce(F.sum("n").over(above), F.lit(0)) + F.col("n_in"),
-        "tp": F.coalesce(F.sum("p").over(above), F.lit(0)) + F.col("p_in"),
-        "all_n": F.sum("n").over(w),
-        "all_p": F.sum("p").over(w),
-        "first": F.min("t").over(w),
-        "last": F.max("t").over(w),
-    }).filter("t > first and t < last")
+    b = running(b, part, [F.desc("t")], {"run_n": "n", "run_p": "p"})
+    sizes = b.groupBy(F.col(part).alias("__part")).agg(F.sum("n").alias("all_n"), F.sum("p").alias("all_p"), F.min("t").alias("first"), F.max("t").alias("last"))
+    b = b.join(sizes, F.col(part).eqNullSafe(F.col("__part"))).filter("t > first and t < last")
+    b = b.withColumns({"called": F.col("run_n") - F.col("n") + F.col("n_in"), "tp": F.col("run_p") - F.col("p") + F.col("p_in")})
     return metrics(b.select(part, "t", "tp", (F.col("called") - F.col("tp")).alias("fp"), (F.col("all_p") - F.col("tp")).alias("fn"), (F.col("all_n") - F.col("all_p") - F.col("called") + F.col("tp")).alias("tn")))
 
 
@@ -79,10 +73,9 @@ def best_threshold(sweep: DataFrame, part: str, distance: Column) -> DataFrame:
 def roc_points(scores: DataFrame, part: str, score: str, label: str) -> DataFrame:
     """Cumulative true and false positive rates by falling distinct score."""
     b = scores.groupBy(part, score).agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("p"))
-    w = Window.partitionBy(part)
-    run = w.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    out = b.withColumns({"tp": F.sum("p").over(run), "fp": F.sum(F.col("n") - F.col("p")).over(run), "P": F.sum("p").over(w), "N": F.sum(F.col("n") - F.col("p")).over(w)})
-    return out.select(part, score, (F.col("tp") / F.nullif("P", F.lit(0))).alias("tpr"), (F.col("fp") / F.nullif("N", F.lit(0))).alias("fpr"))
+    out = running(b.withColumn("f", F.col("n") - F.col("p")), part, [F.desc(score)], {"tp": "p", "fp": "f"})
+    sizes = b.groupBy(F.col(part).alias("__part")).agg(F.sum("p").alias("all_p"), F.sum(F.col("n") - F.col("p")).alias("all_n"))
+    return out.join(sizes, F.col(part).eqNullSafe(F.col("__part"))).select(part, score, (F.col("tp") / F.nullif("all_p", F.lit(0))).alias("tpr"), (F.col("fp") / F.nullif("all_n", F.lit(0))).alias("fpr"))
 
 
 def first_hits(pairs: DataFrame, part: str, score: str, ties: list[str], label: str) -> DataFrame:

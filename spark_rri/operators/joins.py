@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import stored
+from .scans import placed_in_group
+
+#: Bits of a digit of lengths in ``overlap_anti_join``.
+DIGIT = 3
+
 
 def pair_lattice(left: DataFrame, right: DataFrame, key: str, contacts: Column) -> DataFrame:
     """All pairs within a group, labelled 1 or -1 by the condition on aliases l and r."""
@@ -77,24 +81,41 @@ def compute_once(rows: DataFrame, key: str, work: Column, out: str) -> DataFrame
     return rows.join(rows.select(key).distinct().withColumn(out, work), key, "left")
 
 
-def overlap_anti_join(spans: DataFrame, part: str, start: str, end: str, order: str, share: float = 0.5) -> DataFrame:
-    """Drops a span of which a later one of the same part covers more than the share; order is a key of the part's spans.
+def overlap_anti_join(spans: DataFrame, part: str, start: str, end: str, order: str) -> DataFrame:
+    """Drops a span of which a later one of the same part covers more than half; order is a key of the part's spans, start and end are integers.
 
-    What covers more than the share holds one of the span's points at multiples of the share. Spans
-    lie in bins as wide as the next power of two of their length (one or two of them), and a
-    point looks into one bin of every width that occurs, so only spans around it are met.
+    A span y covers more than half of x just if it holds x's middle within and is longer than half
+    of x. So each span hands its order to the dyadic intervals it is made of, by length, and a
+    middle asks the intervals around it for the latest order among lengths of over half of its
+    own. Lengths are told apart digit by digit: of a longer one some digit is greater and all
+    before it are equal. Every span makes rows for the logarithm of the lengths, whatever the number
+    of spans it overlaps; spans without length neither cover nor drop.
     """
-    length = F.col(end) - F.col(start)
-    b = spans.filter(length > 0).select(part, F.col(order).alias("__o"), F.col(start).alias("__s"), F.col(end).alias("__e"), F.ceil(F.log2(length)).cast("int").alias("__w"))
-    widths = sorted(r[0] for r in b.select("__w").distinct().collect())  # powers of two: some sixty at most
-    in_bins = F.sequence(F.floor(F.col("__s") / F.pow(F.lit(2.0), "__w")), F.floor(F.col("__e") / F.pow(F.lit(2.0), "__w")))
-    b = b.withColumn("__bin", F.explode(in_bins))
-    marks = F.array(*[F.col(start) + k * share * length for k in range(1, max(2, math.ceil(1 / share)))])
-    a = spans.filter(length > 0).select(part, order, start, end, F.explode(marks).alias("__p")).withColumn("__w", F.explode(F.lit(widths).cast("array<int>")))
-    a = a.withColumn("__bin", F.floor(F.col("__p") / F.pow(F.lit(2.0), "__w")))
-    cover = F.least(end, "__e") - F.greatest(start, "__s")
-    met = a.join(b, [part, "__w", "__bin"]).filter((F.col("__o") > F.col(order)) & (cover > share * length))
-    return spans.join(met.select(part, order).distinct(), [part, order], "left_anti")
+    b = spans.filter(F.col(end) > F.col(start)).select(part, F.col(order).alias("__o"), F.col(start).cast("long").alias("__s"), F.col(end).cast("long").alias("__e"))
+    longest = b.agg(F.max(F.col("__e") - F.col("__s"))).first()[0]
+    if longest is None:
+        return spans
+    high, digits = (2 * longest).bit_length(), -(-(2 * longest).bit_length() // DIGIT)
+    level = F.explode(F.sequence(F.lit(0), F.lit(high))).alias("__k")
+    place = F.explode(F.sequence(F.lit(0), F.lit(digits - 1))).alias("__d")
+    prefix, digit = F.expr(f"shiftright(__length, {DIGIT} * (__d + 1))").alias("__prefix"), F.expr(f"cast(shiftright(__length, {DIGIT} * __d) & {(1 << DIGIT) - 1} as int)").alias("__digit")
+    keys = [part, "__k", "__bin", "__d", "__prefix"]
+
+    # the whole numbers from 2s + 1 to 2e - 1 as dyadic intervals: at most one at either end of each level
+    own = b.select(part, "__o", (2 * (F.col("__e") - F.col("__s"))).alias("__length"), (2 * F.col("__s") + 1).alias("__lo"), (2 * F.col("__e")).alias("__hi"), level)
+    own = own.withColumns({"__a": F.expr("-shiftright(-__lo, __k)"), "__b": F.expr("shiftright(__hi, __k)")})
+    odd = lambda c: F.col(c).bitwiseAND(F.lit(1)) != 0
+    left = F.when(odd("__a") & (F.col("__a") < F.col("__b")), F.col("__a"))
+    right = F.when(odd("__b") & (F.col("__a") + odd("__a").cast("long") < F.col("__b")), F.col("__b") - 1)
+    pieces = own.select(part, "__o", "__length", "__k", F.explode(F.array_compact(F.array(left, right))).alias("__bin"))
+    pieces = pieces.select("*", place).select(part, "__k", "__bin", "__d", prefix, digit, "__o")
+    latest = pieces.groupBy(*keys).agg(*[F.max(F.when(F.col("__digit") > v, F.col("__o"))).alias(f"__over{v}") for v in range((1 << DIGIT) - 1)])
+
+    asked = b.select(part, "__o", (F.col("__e") - F.col("__s")).alias("__length"), (F.col("__s") + F.col("__e")).alias("__middle"), level)
+    asked = asked.select("*", place).select(part, "__o", "__k", F.expr("shiftright(__middle, __k)").alias("__bin"), "__d", prefix, digit)
+    found = F.array(*[F.col(f"__over{v}") for v in range((1 << DIGIT) - 1)])
+    met = asked.filter(F.col("__digit") < (1 << DIGIT) - 1).join(latest, keys).filter(F.col("__o") < found[F.col("__digit")])
+    return spans.join(met.select(part, F.col("__o").alias(order)).distinct(), [part, order], "left_anti").select(*[F.col(f"`{c}`") for c in spans.columns])
 
 
 def equivalent_contacts(contacts: DataFrame, same: DataFrame, key: str, left: str, right: str) -> DataFrame:
@@ -170,12 +191,36 @@ def rmsd(pairs: DataFrame, keys: list[str], squared: Column) -> DataFrame:
 
 
 def greedy_match(cells: DataFrame, part: str, a: str, b: str, cost: str, worst: float) -> DataFrame:
-    """For each a its best b among the cells of least cost: at most max(a's, b's) cells, each up to max(worst, best)."""
-    w = Window.partitionBy(part)
-    size = cells.groupBy(part).agg(F.greatest(F.countDistinct(a), F.countDistinct(b)).alias("__n"), F.min(cost).alias("__best"))
-    r = cells.withColumn("__k", F.row_number().over(w.orderBy(cost, a, b))).join(size, part)
-    good = r.filter((F.col("__k") <= F.col("__n")) & (F.col(cost) <= F.greatest(F.lit(worst), F.col("__best"))))
-    return good.groupBy(part, a).agg(F.min_by(b, "__k").alias(b), F.min(cost).alias(cost))
+    """For each a its best b among the cells of least cost: at most max(a's, b's) cells, each up to max(worst, best).
+
+    Cells are numbered by ranges of (part, cost, a, b), so a part may fill many tasks.
+    """
+    placed = placed_in_group(cells, [part], [F.col(cost), F.col(a), F.col(b)], "__at")
+    sizes = placed.groupBy(F.col(part).alias("__part")).agg(F.greatest(F.count_distinct(a), F.count_distinct(b)).alias("__n"), F.min(cost).alias("__best"))
+    r = placed.join(sizes, F.col(part).eqNullSafe(F.col("__part")))
+    good = r.filter((F.col("__at") < F.col("__n")) & (F.col(cost) <= F.greatest(F.lit(worst), F.col("__best"))))
+    return good.groupBy(part, a).agg(F.min_by(b, "__at").alias(b), F.min(cost).alias(cost))
+
+
+def dominant_match(cells: DataFrame, part: str, a: str, b: str, cost: str) -> DataFrame:
+    """One-to-one matching of a part's a and b, as if cells were taken by rising (cost, a, b) whenever both ends are free.
+
+    A cell that is the least of its row and of its column would be taken whatever comes before it, so all such
+    cells are taken at once, their rows and columns leave, and the rest goes into the next
+    round, until none is left. Rounds are as many as the longest chain of cells each of which waits for
+    the one before, some log of the cells when costs are not ordered along a path. (a, b) is a key
+    of the part's cells; cells with a NULL in part, end or cost are no candidates.
+    """
+    left = stored(cells.select(part, a, b, cost).dropna())
+    place = F.struct(cost, a, b)
+    taken = []
+    while not left.isEmpty():
+        rows = left.groupBy(part, a).agg(F.min(place).alias("__m")).select(part, "__m.*")
+        columns = left.groupBy(part, b).agg(F.min(place).alias("__m")).select(part, "__m.*")
+        both = stored(rows.join(columns.select(part, a, b), [part, a, b]))
+        taken.append(both)
+        left = stored(left.join(both.select(part, a), [part, a], "left_anti").join(both.select(part, b), [part, b], "left_anti"))
+    return reduce(lambda x, y: x.unionByName(y), taken) if taken else left
 
 
 def with_previous_scores(pairs: DataFrame, steps: list[DataFrame], keys: list[str], group: str, score: str = "prediction") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sampling import draw
+from .scans import least_rows
 
 
 def relabelled(rows: DataFrame, truth: DataFrame, keys: list[str], label: str) -> DataFrame:
@@ -80,8 +81,9 @@ def of_side(rows: DataFrame, key: str, side: str) -> DataFrame:
 
 def cluster_members(rows: DataFrame, cluster: str, key: str, centroid: Column, most: int = 10, salt: str = "") -> DataFrame:
     """The centroid and up to ``most`` - 1 other members of each cluster, in hash order: the number is the feature."""
-    order = Window.partitionBy(cluster).orderBy(F.desc(centroid.cast("int")), draw(key, salt=salt), key)
-    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    first = F.concat(F.when(centroid, "0").otherwise("1"), draw(key, salt=salt))
+    best = least_rows(rows, cluster, rows.select(cluster).distinct().withColumn("__k", F.lit(most)), first, [key])
+    return best.withColumn("place", F.row_number().over(Window.partitionBy(cluster).orderBy(first, key)))  # ``most`` rows a cluster
 
 
 def within_partner(contacts: DataFrame, same: DataFrame, key: str, left: str, right: str) -> DataFrame:

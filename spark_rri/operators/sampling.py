@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import with_checkpoints
+from .scans import least_rows, numbered, placed_in_group
 
 
 def draw(*keys: str, salt: str = "") -> Column:
@@ -15,25 +15,32 @@ def draw(*keys: str, salt: str = "") -> Column:
 
 def negative_sampling(rows: DataFrame, part: str, label: str, keys: list[str], times: float = 3.0, salt: str = "") -> DataFrame:
     """All positives and ``times`` as many negatives of each group, by hash order; groups without positives drop out."""
-    pos = rows.groupBy(part).agg(F.count_if(F.col(label) == 1).alias("__p"))
-    w = Window.partitionBy(part, F.col(label) == 1).orderBy(draw(part, *keys, salt=salt), *keys)
-    r = rows.withColumn("__k", F.row_number().over(w)).join(pos, part)
-    return r.filter((F.col(label) == 1) | (F.col("__k") <= F.floor(F.col("__p") * times))).filter("__p > 0").drop("__k", "__p")
+    positive = F.coalesce(F.col(label) == 1, F.lit(False))
+    pos = rows.groupBy(part).agg(F.count_if(positive).alias("__p")).filter("__p > 0")
+    wanted = pos.select(part, F.floor(F.col("__p") * times).alias("__k"))
+    return rows.filter(positive).unionByName(least_rows(rows.filter(~positive), part, wanted, draw(part, *keys, salt=salt), keys))
 
 
 def capped(rows: DataFrame, part: str, keep: Column, keys: list[str], cap: int, salt: str = "") -> DataFrame:
     """All rows to keep and at most ``cap`` others of each group, by hash order: the cap is the feature."""
-    w = Window.partitionBy(part, keep).orderBy(draw(part, *keys, salt=salt), *keys)
-    return rows.withColumn("__k", F.row_number().over(w)).filter(keep | (F.col("__k") <= cap)).drop("__k")
+    kept = F.coalesce(keep, F.lit(False))
+    wanted = rows.select(part).distinct().withColumn("__k", F.lit(cap))
+    return rows.filter(kept).unionByName(least_rows(rows.filter(~kept), part, wanted, draw(part, *keys, salt=salt), keys))
 
 
 def bootstrap(rows: DataFrame, part: str, keys: list[str], share: float = 0.7, salt: str = "") -> DataFrame:
-    """share x n draws with replacement of each group, draws numbered."""
-    numbered = rows.withColumn("__row", F.row_number().over(Window.partitionBy(part).orderBy(*keys)) - 1)
-    size = rows.groupBy(part).agg(F.count("*").alias("__n"))
-    draws = size.withColumn("draw", F.explode(F.expr(f"sequence(1, cast(greatest(floor(__n * {share}), 1) as int))")))
-    number = F.conv(F.substring(F.md5(F.concat_ws("#", F.col(part).cast("string"), F.col("draw").cast("string"), F.lit(salt))), 1, 8), 16, 10).cast("long")
-    return draws.withColumn("__row", number % F.col("__n")).join(numbered, [part, "__row"]).drop("__row", "__n")
+    """share x n draws with replacement of each group, draws numbered.
+
+    A group's rows are numbered in order of the keys; its first rows stand for the draws, so that a large
+    group's draws are made in many tasks, and each draw is met by the row that its hash names.
+    """
+    placed = placed_in_group(rows, [part], [F.col(k) for k in keys], "__row")
+    size = placed.groupBy(F.col(part).alias("__part")).agg(F.count("*").alias("__n"))
+    wanted = F.greatest(F.floor(F.col("__n") * F.lit(share)), F.lit(1))
+    draws = placed.select(F.col(part).alias("__p"), (F.col("__row") + 1).cast("int").alias("draw")).join(size, F.col("__p").eqNullSafe(F.col("__part"))).filter(F.col("draw") <= wanted)
+    number = F.conv(F.substring(F.md5(F.concat_ws("#", F.col("__p").cast("string"), F.col("draw").cast("string"), F.lit(salt))), 1, 8), 16, 10).cast("long")
+    drawn = draws.select(F.col("__p"), "draw", (number % F.col("__n")).alias("__at"))
+    return placed.join(drawn, F.col(part).eqNullSafe(F.col("__p")) & (F.col("__row") == F.col("__at"))).select(part, "draw", *[c for c in rows.columns if c != part])
 
 
 def one_per_group(rows: DataFrame, part: str, key: str, salt: str = "") -> DataFrame:
@@ -41,16 +48,6 @@ def one_per_group(rows: DataFrame, part: str, key: str, salt: str = "") -> DataF
     return rows.groupBy(part).agg(F.min_by(key, F.struct(draw(key, salt=salt), key)).alias(key))
 
 
-def numbered(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
-    """Rows numbered from 0 in a global order: sorted by ranges, numbered within each, and shifted by the sizes of those before."""
-    with_checkpoints(rows.sparkSession)
-    dealt = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).checkpoint()
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # one row per range
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return dealt.withColumn("__place", place).join(F.broadcast(before), "__part").withColumn(out, F.col("__place") + F.col("__before")).drop("__part", "__place", "__before")
-
-
 def group_folds(groups: DataFrame, group: str, size: str, folds: int) -> DataFrame:
     """Groups dealt to folds by falling size, to and fro, so folds differ by one group's size at most; -1 leaves one group out per fold."""
     if folds == -1:
@@ -61,11 +58,11 @@ def group_folds(groups: DataFrame, group: str, size: str, folds: int) -> DataFra
 
 
 def sub_folds(folds: DataFrame, group: str, size: str, n_folds: int, parts: int) -> DataFrame:
-    """For every outer fold, its training groups dealt to ``parts`` sub-folds."""
+    """For every outer fold, its training groups dealt to ``parts`` sub-folds by falling size."""
     outer = folds.sparkSession.range(n_folds).select(F.col("id").cast("int").alias("test_fold"))
     train = F.broadcast(outer).join(folds, F.col("fold") != F.col("test_fold"))
-    w = Window.partitionBy("test_fold").orderBy(F.desc(size), group)
-    return train.select("test_fold", group, ((F.row_number().over(w) - 1) % parts).alias("sub_fold"))
+    placed = placed_in_group(train.select("test_fold", group, size), ["test_fold"], [F.desc(size), F.col(group)], "__place")
+    return placed.select("test_fold", group, (F.col("__place") % parts).cast("int").alias("sub_fold"))
 
 
 def leakage_free(rows: DataFrame, key: str, lineage: str, tests: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sampling import numbered
+from .scans import placed_in_group
 
 
 #: Pieces into which a group is dealt before its best rows are sought.
@@ -17,9 +17,8 @@ def ranked(rows: DataFrame, part: str, score: str, ties: list[str], out: str = "
 
     Rows are numbered in one order over all groups, by ranges, so a group may fill many tasks.
     """
-    placed = numbered(rows, [F.col(part), F.desc(score), *[F.col(t) for t in ties]], "__at")
-    first = placed.groupBy(F.col(part).alias("__part")).agg(F.min("__at").alias("__from"))
-    return placed.join(first, F.col(part).eqNullSafe(F.col("__part"))).withColumn(out, (F.col("__at") - F.col("__from") + 1).cast("int")).drop("__at", "__part", "__from")
+    placed = placed_in_group(rows, [part], [F.desc(score), *[F.col(t) for t in ties]], "__at")
+    return placed.withColumn(out, (F.col("__at") + 1).cast("int")).drop("__at")
 
 
 def best_first(score: str, ties: list[str]) -> Column:
@@ -44,8 +43,8 @@ def among_best(rows: DataFrame, part: str, score: str, ties: list[str], n: int,
 
 def top_fraction(rows: DataFrame, part: str, score: str, ties: list[str], fraction: float) -> DataFrame:
     """The best share of each group, rounded down."""
-    size = rows.groupBy(part).agg(F.count("*").alias("__n"))
-    return ranked(rows, part, score, ties).join(size, part).filter(F.col("rank") <= F.floor(F.col("__n") * fraction)).drop("__n")
+    size = rows.groupBy(F.col(part).alias("__part")).agg(F.count("*").alias("__n"))
+    return ranked(rows, part, score, ties).join(size, F.col(part).eqNullSafe(F.col("__part"))).filter(F.col("rank") <= F.floor(F.col("__n") * fraction)).drop("__n", "__part")
 
 
 def multiscale_vote(pairs: DataFrame, part: str, score: str, ties: list[str], site: str, low: int = 3, high: int = 11) -> DataFrame:

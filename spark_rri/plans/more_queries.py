@@ -130,6 +130,15 @@ def greedy_match(spark, sf):
     return rounded(out.select("a", "b", "rmsd"), "rmsd")
 
 
+TAKEN = "list_reduce(list({'a': [a], 'b': [b], 'c': [cost]} ORDER BY cost, a, b), lambda x, y: CASE WHEN list_contains(x.a, y.a[1]) OR list_contains(x.b, y.b[1]) THEN x ELSE {'a': list_concat(x.a, y.a), 'b': list_concat(x.b, y.b), 'c': list_concat(x.c, y.c)} END)"
+
+
+@query(f"WITH cells AS (SELECT l_linenumber AS part, l_suppkey AS a, l_partkey AS b, min(l_extendedprice) AS cost FROM lineitem GROUP BY ALL), m AS (SELECT part, {TAKEN} AS m FROM cells GROUP BY part) SELECT part, unnest(m.a) AS a, unnest(m.b) AS b, unnest(m.c) AS cost FROM m")
+def dominant_match(spark, sf):
+    cells = table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("part"), F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).agg(F.min("l_extendedprice").alias("cost"))
+    return joins.dominant_match(cells, "part", "a", "b", "cost")
+
+
 @query("WITH m AS (SELECT l_suppkey, l_returnflag AS f, avg(l_discount) AS d FROM lineitem GROUP BY ALL), w AS (SELECT a.l_suppkey, a.d AS A, n.d AS N, r.d AS R FROM m a JOIN m n ON a.l_suppkey = n.l_suppkey AND a.f = 'A' AND n.f = 'N' JOIN m r ON a.l_suppkey = r.l_suppkey AND r.f = 'R') SELECT l_suppkey, round(A, 6) AS A, round(N, 6) AS N, round(R, 6) AS R, round(greatest(A, N, R) - least(A, N, R), 6) AS spread FROM w WHERE greatest(A, N, R) - least(A, N, R) > 0.0005")
 def three_model_compare(spark, sf):
     m = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.avg("l_discount").alias("d"))
