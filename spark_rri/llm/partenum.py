@@ -15,12 +15,15 @@ share a signature are settled in turns, each linear in their members: first ever
 one hub, of its groups' most connected sets the nearest; in later turns members outside a
 group's largest component meet a member of it, another one in every group, and again only the
 nearest counts. Groups that still hold different components then give their pairs across
-components, as far as sizes and parity sketches allow a link. A group that could give more
-than ``max_pairs`` of them is not paired: its sets are told apart by their rarest shingles
-instead (two sets that link share one of each other's 1/5 rarest), and the groups of sets that
-share such a shingle are settled in the same way. Before whole sets are compared, parity
+components, as far as sizes and parity sketches allow a link. Before whole sets are compared, parity
 sketches as wide as the sets are large rule most other pairs out.
 
+A group that could give more than ``max_pairs`` of them is not paired. What most of its sets hold,
+a passage that many texts share, is taken as the group's core, and its sets are compared by what they do
+not share with it: that settles the sets near the core by one hub, and any other two sets that link
+must share one of the rarest shingles of what is left. The groups of sets that share such a
+shingle have at most half as many sets, and are settled in the same way until they are small (``_told_apart``).
+
 Edge cases: null, empty and blank texts have an empty set and link with nothing; a text of
 fewer words than a shingle is one shingle; repeated rows link like copies; rows with a null id are components by their text's group; an empty table
 gives no rows; other columns are ignored.
@@ -337,45 +340,77 @@ def _merged(label: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(known.join(found, "label", "left").select("digest", F.coalesce("new", "label").alias("label")))
 
 
-def _rarest(plain: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-    """(sig, digest): the rarest shingles, 1/5 of each set's, that at least two of the wanted sets share.
+def _classes(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(sig, digest): groups that share a set are one, so that each set is in one group only."""
+    low = members.groupBy("sig").agg(F.min("digest").alias("low"))
+    found = components(members.join(low, "sig").select("low", "digest"), scratch, "low", "digest")
+    return found.select(F.col("label").alias("sig"), F.col("node").alias("digest"))
 
-    Sets of sizes a and b that link share 4/5 of either; in any one order of all shingles,
-    each of them has one of those among its first n - ceil(4 n / 5) + 1.
-    """
-    sets = scratch.save(_sets_of(plain, wanted, scratch))
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _each(sets: DataFrame, *names: str) -> DataFrame:
+    """A row per shingle of the sets: the named columns and shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw, at in chunks(batch, "shingles"):
-                yield pa.RecordBatch.from_arrays([pa.array(raw.view(np.int64)), part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), np.diff(at) // 8)))], ["sig", "digest"])
+                who = pa.array(np.repeat(np.arange(part.num_rows), np.diff(at) // 8))
+                yield pa.RecordBatch.from_arrays([*[part.column(k).take(who) for k in range(len(names))], pa.array(raw.view(np.int64))], [*names, "shingle"])
+
+    return sets.select(*names, "shingles").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "shingle"]))
 
-    rows = sets.mapInArrow(each, "sig long, digest long")
-    shared = rows.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")
-    order = Window.partitionBy("digest").orderBy("n", "sig")  # as many rows as the set has shingles
-    met = rows.join(shared, "sig").withColumns({"place": F.row_number().over(order), "common": F.count("*").over(Window.partitionBy("digest"))})
-    # shingles of one set alone come first in the order, but are met nowhere
-    first = F.expr(f"common - ({OVER} * n_shingles + {UNDER - 1}) div {UNDER} + 1")
-    return met.join(sets.select("digest", "n_shingles"), "digest").filter(F.col("place") <= first).select("sig", "digest")
+
+def _from_core(groups: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(sig, digest, n_shingles, apart, shingles): of every set what it and its group's core do not share.
+
+    The core are the shingles that more than half of the group's sets hold, fewer than two sets' worth.
+    """
+    own = scratch.save(groups.join(sets, "digest").select("sig", "digest", "n_shingles", "shingles"))
+    counts = _each(own, "sig").groupBy("sig", "shingle").agg(F.count("*").alias("n"))
+    sizes = own.groupBy("sig").agg(F.count("*").alias("size"))
+    core = counts.join(sizes, "sig").filter("2 * n > size").groupBy("sig").agg(F.collect_list("shingle").alias("core"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = [np.setxor1d(np.frombuffer(x.as_buffer(), np.int64), np.asarray(c.values, np.int64) if c.is_valid else [], assume_unique=True).astype(np.int64) for x, c in zip(batch.column(3), batch.column(4), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(x) for x in left], pa.int64()), pa.array([x.tobytes() for x in left], pa.binary())], ["sig", "digest", "n_shingles", "apart", "shingles"])
+
+    return scratch.save(own.join(core, "sig", "left").mapInArrow(run, "sig long, digest long, n_shingles long, apart long, shingles binary"))
+
+
+def _told_apart(groups: DataFrame, label: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(label, smaller groups): links that a group's core settles, and groups of at most half of its sets that hold all other links.
+
+    Sets of sizes a and b link just if they differ in at most (a + b) / 9 shingles, and they differ
+    in what they do not both share with the core C, each set taken as A xor C. With
+    s = 9 |A xor C| - a, sets with s_A + s_B <= 0 do link: all that may be so with the set of
+    least s, the hub, are linked with it. Any other pair has s_A + s_B > 0 and must share
+    (s_A + s_B) / 18 shingles of A xor C and B xor C, so it shares one of the rarest of either. A
+    shingle lies in A xor C for at most half of the group, as the core is the majority's.
+    """
+    apart = _from_core(groups, sets, scratch).withColumn("s", 9 * F.col("apart") - F.col("n_shingles"))
+    hub = apart.groupBy("sig").agg(F.min(F.struct("s", "digest")).alias("hub")).select("sig", F.col("hub.s").alias("hub_s"), F.col("hub.digest").alias("hub"))
+    apart = scratch.save(apart.join(hub, "sig"))
+    far = F.col("s") + F.col("hub_s") > 0
+    label = _merged(label, scratch.save(apart.filter(~far & (F.col("digest") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("digest").alias("b")).distinct()), scratch)
+    least = apart.filter(far).groupBy("sig").agg(F.min("s").alias("far_s"))
+    share = F.expr("greatest(1, (s + if(s + hub_s > 0, hub_s, far_s) + 17) div 18)")
+    open_ = apart.join(least, "sig").withColumn("most", F.col("apart") - share + 1)
+    rows = _each(open_, "sig", "digest", "most")
+    counts = rows.groupBy("sig", "shingle").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("sig", "digest").orderBy("n", "shingle")  # as many rows as a set and its core have shingles
+    first = rows.join(counts, ["sig", "shingle"]).withColumn("place", F.row_number().over(order)).filter("place <= most and n > 1")
+    found = scratch.save(first.select(F.xxhash64("sig", "shingle").alias("sig"), "digest"))
+    alike = found.groupBy("sig").agg(F.count("*").alias("n"), F.expr("bit_xor(digest)").alias("x"), F.expr("bit_xor(xxhash64(digest))").alias("y"))
+    return label, scratch.save(found.join(alike.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "sig"))
 
 
 def _apart(x: str, y: str) -> Column:
     return F.expr(" + ".join(f"bit_count({x}.{c} ^ {y}.{c})" for c in SKETCHES))
 
 
-def _settled(members: DataFrame, label: DataFrame, plain: DataFrame, holders: DataFrame, sketches: DataFrame, max_pairs: int, scratch: Scratch, again: bool = True) -> DataFrame:
-    """(digest, label) after all links between sets that share a signature of members."""
-    for turn in range(TURNS):
-        first = again and not turn
-        if not first:
-            members = scratch.save(_named(members, label, turn))
-        now = scratch.save(_nearest(_central(members) if first else members.filter("label != top"), sketches))
-        if now.take(1):
-            label = _merged(label, scratch.save(_linked(plain, now, holders, scratch)), scratch)
-        scratch.release()
-    members = scratch.save(_named(members, label, TURNS))
-    small = F.col("rows") * F.col("rows") - F.col("same") <= (max_pairs if again else 1 << 62)
-    near = members.filter(small).select("sig", "digest", "label", "top").join(sketches, "digest")
+def _paired(members: DataFrame, label: DataFrame, plain: DataFrame, holders: DataFrame, sketches: DataFrame, scratch: Scratch) -> DataFrame:
+    """(digest, label) after all links within groups (see _named), found from their pairs across components."""
+    near = members.select("sig", "digest", "label", "top").join(sketches, "digest")
     # of two sets in different components at least one is outside the group's largest
     across = F.expr("x.label != y.label and (y.label = y.top or x.digest < y.digest)")
     pairs = near.filter("label != top").alias("x").join(near.alias("y"), (F.col("x.sig") == F.col("y.sig")) & across & _may_link("x", "y"))
@@ -392,10 +427,32 @@ def _settled(members: DataFrame, label: DataFrame, plain: DataFrame, holders: Da
         label = _merged(label, scratch.save(_linked(plain, now, holders, scratch)), scratch)
         pairs = scratch.save(pairs.join(now, ["a", "b"], "left_anti"))
         scratch.release()
-    hot = members.filter(~small).select("digest").distinct()
-    if again and hot.take(1):
-        rare = scratch.save(_rarest(plain, hot.join(holders, "digest"), scratch))
-        label = _settled(rare, label, plain, holders, sketches, max_pairs, scratch, again=False)
+    return label
+
+
+def _settled(members: DataFrame, label: DataFrame, plain: DataFrame, holders: DataFrame, sketches: DataFrame, max_pairs: int, scratch: Scratch) -> DataFrame:
+    """(digest, label) after all links between sets that share a signature of members."""
+    for turn in range(TURNS):
+        if turn:
+            members = scratch.save(_named(members, label, turn))
+        now = scratch.save(_nearest(members.filter("label != top") if turn else _central(members), sketches))
+        if now.take(1):
+            label = _merged(label, scratch.save(_linked(plain, now, holders, scratch)), scratch)
+        scratch.release()
+    members = scratch.save(_named(members, label, TURNS))
+    small = F.col("rows") * F.col("rows") - F.col("same") <= max_pairs
+    label = _paired(members.filter(small), label, plain, holders, sketches, scratch)
+    hot = members.filter(~small).select("sig", "digest")
+    sets = None
+    while hot.take(1):
+        if sets is None:
+            hot = scratch.save(_classes(hot, scratch))
+            sets = scratch.save(_sets_of(plain, hot.select("digest").join(holders, "digest"), scratch))
+        label, groups = _told_apart(hot, label, sets, scratch)
+        scratch.release()
+        members = scratch.save(_named(groups, label, TURNS))
+        label = _paired(members.filter(small), label, plain, holders, sketches, scratch)
+        hot = scratch.save(members.filter(~small).select("sig", "digest"))
     return label
 
 
