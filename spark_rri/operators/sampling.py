@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .scans import least_rows, numbered, placed_in_group
+from ..shared import stored
+from .scans import least_rows, numbered, placed_in_group, running
 
 
 def draw(*keys: str, salt: str = "") -> Column:
@@ -48,13 +52,63 @@ def one_per_group(rows: DataFrame, part: str, key: str, salt: str = "") -> DataF
     return rows.groupBy(part).agg(F.min_by(key, F.struct(draw(key, salt=salt), key)).alias(key))
 
 
-def group_folds(groups: DataFrame, group: str, size: str, folds: int) -> DataFrame:
-    """Groups dealt to folds by falling size, to and fro, so folds differ by one group's size at most; -1 leaves one group out per fold."""
+def least_loaded(groups: list[tuple], loads: list[int]) -> dict:
+    """group -> fold: each of the (group, size) in turn to the fold with the least load, the first of equals; loads are added to."""
+    heap, out = sorted((load, k) for k, load in enumerate(loads)), {}
+    for group, size in groups:
+        load, k = heap[0]
+        out[group], loads[k] = k, load + size
+        heapq.heapreplace(heap, (load + size, k))
+    return out
+
+
+def level_room(loads: list[int], total: float) -> list[float]:
+    """How much of ``total`` every fold takes so that all that take any end level."""
+    low = sorted(loads)
+    for k in range(len(low), 0, -1):
+        level = (sum(low[:k]) + total) / k
+        if level >= low[k - 1]:
+            return [max(level - x, 0.0) for x in loads]
+    return [0.0] * len(loads)
+
+
+def group_folds(groups: DataFrame, group: str, size: str, folds: int, most: int = 10_000) -> DataFrame:
+    """(group, size, fold): groups by falling size each to the least loaded fold; -1 leaves one group out per fold.
+
+    The ``most`` largest groups are dealt one by one on the driver. Of more groups, those between the
+    largest and the ``most`` smallest fill the folds up to one level by running sums, in any number of
+    tasks, and the smallest are dealt one by one again, which evens out what the sums cut unevenly.
+    """
     if folds == -1:
         return numbered(groups, [F.col(group)], "fold")
-    ranked = numbered(groups.select(group, size), [F.desc(size), F.col(group)], "__rank")
-    turn, place = F.expr(f"__rank div {folds}"), F.col("__rank") % folds
-    return ranked.select(group, size, F.when(turn % 2 == 0, place).otherwise(folds - 1 - place).cast("int").alias("fold"))
+    spark, kinds = groups.sparkSession, groups.schema
+    falling = [F.desc(size), F.asc(group)]
+    every = groups.select(group, size).filter(F.col(group).isNotNull())
+    loads = [0] * folds
+    head = [tuple(r) for r in every.orderBy(*falling).limit(most).collect()]
+    dealt = least_loaded(head, loads)
+    rest, middle = None, None
+    if len(head) == most:
+        last_group, last_size = head[-1]
+        behind = (F.col(size) < F.lit(last_size)) | (F.col(size) == F.lit(last_size)) & (F.col(group) > F.lit(last_group))
+        rest = stored(every.filter(behind))
+        tail = [tuple(r) for r in rest.orderBy(F.asc(size), F.desc(group)).limit(most).collect()][::-1]
+        if tail:
+            first_group, first_size = tail[0]
+            before = (F.col(size) > F.lit(first_size)) | (F.col(size) == F.lit(first_size)) & (F.col(group) < F.lit(first_group))
+            middle = rest.filter(before).withColumn("__all", F.lit(0))
+            room = level_room(loads, middle.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0])
+            ends = [sum(room[: k + 1]) for k in range(folds - 1)]
+            placed = running(middle, "__all", falling, {"__upto": size})
+            fold = F.size(F.filter(F.lit(ends).cast("array<double>"), lambda e: e <= F.col("__upto") - F.col(size) / 2)) if ends else F.lit(0)
+            middle = stored(placed.select(group, size, fold.cast("int").alias("fold")))
+            for r in middle.groupBy("fold").agg(F.sum(size)).collect():
+                loads[r[0]] += r[1]
+            dealt |= least_loaded(tail, loads)
+            head += tail
+    schema = StructType([kinds[group], kinds[size], StructField("fold", IntegerType())])
+    out = spark.createDataFrame([(g, n, dealt[g]) for g, n in head], schema)
+    return out if middle is None else out.unionByName(middle)
 
 
 def sub_folds(folds: DataFrame, group: str, size: str, n_folds: int, parts: int) -> DataFrame:

@@ -163,10 +163,14 @@ def capped_negatives(spark, sf):
     return sampling.capped(scores(spark, sf).select("doc_id", "toxic", "lang"), "lang", F.col("toxic") == 1, ["doc_id"], 20, "c")
 
 
-@query("WITH g AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, c_nationkey) - 1 AS k FROM g) SELECT c_nationkey, n, (CASE WHEN k // 5 % 2 = 0 THEN k % 5 ELSE 4 - k % 5 END)::INT AS fold FROM r")
+#: Each group in turn to the first of the least loaded of five folds.
+LEAST_LOADED = "list_reduce(list_concat([{'loads': [0::BIGINT for k in range(5)], 'folds': []::INT[], 'n': 0::BIGINT}], list({'loads': []::BIGINT[], 'folds': []::INT[], 'n': n} ORDER BY n DESC, g)), lambda x, y: {'loads': list_transform(x.loads, lambda v, i: CASE WHEN i = list_position(x.loads, list_min(x.loads)) THEN v + y.n ELSE v END), 'folds': list_append(x.folds, list_position(x.loads, list_min(x.loads))::INT - 1), 'n': 0::BIGINT})"
+
+
+@query(f"WITH g AS (SELECT o_custkey AS g, count(*) AS n FROM orders GROUP BY 1), d AS (SELECT {LEAST_LOADED} AS d, list(g ORDER BY n DESC, g) AS gs FROM g), f AS (SELECT unnest(gs) AS g, unnest(d.folds) AS fold FROM d) SELECT g AS o_custkey, n, fold FROM f JOIN g USING (g)")
 def group_kfold(spark, sf):
-    g = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
-    return sampling.group_folds(g, "c_nationkey", "n", 5)
+    g = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    return sampling.group_folds(g, "o_custkey", "n", 5)
 
 
 @query("WITH f AS (SELECT c_nationkey AS g, count(*) AS n, c_nationkey % 4 AS fold FROM customer GROUP BY 1), o AS (SELECT t.k AS test_fold, f.* FROM range(4) t(k), f WHERE f.fold <> t.k) SELECT test_fold::INT AS test_fold, g, ((row_number() OVER (PARTITION BY test_fold ORDER BY n DESC, g) - 1) % 3)::INT AS sub_fold FROM o")

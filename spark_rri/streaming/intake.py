@@ -15,6 +15,16 @@ def pending(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
+def stream_of(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of the files of a table: a folder, or a single file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = spark.readStream.schema(spark.read.parquet(path).schema)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        folder, _, name = path.rpartition("/")
+        return files.option("pathGlobFilter", name).parquet(folder)
+    return files.parquet(path)
+
+
 def available_now(spark: SparkSession, path: str, work: Callable[[DataFrame], DataFrame], target: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Run ``work`` over the files of a table (a folder, or a single file) that the checkpoint has not seen, then return all output.
 
@@ -23,15 +33,7 @@ def available_now(spark: SparkSession, path: str, work: Callable[[DataFrame], Da
     """
     target = target or fresh_path(spark, "intake")
     checkpoint = checkpoint or fresh_path(spark, "seen")
-    schema = spark.read.parquet(path).schema
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = spark.readStream.schema(schema)
-    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
-        folder, _, name = path.rpartition("/")
-        stream = files.option("pathGlobFilter", name).parquet(folder)
-    else:
-        stream = files.parquet(path)
-    query = work(stream).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = work(stream_of(spark, path)).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(work(spark.read.parquet(path)).schema).parquet(target)
 
