@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import catalogue
+from ..functions.substitution import BLOSUM62, symmetric
+from ..operators import alignment, catalogue
 from ..shared import fresh_path
 from ..streaming.gather import gather
 from .queries import query
@@ -43,3 +44,22 @@ def catalogue_filled(spark, sf):
     path = fresh_path(spark, "catalogue")
     catalogue.filled(table(spark, sf, "orders").select(seq("o_custkey")), path, "seq", profile)
     return catalogue.filled(table(spark, sf, "customer").select("c_custkey", seq("c_custkey")), path, "seq", profile).select("c_custkey", "profile", "status", "origin")
+
+
+#: What each letter scores against itself.
+OWN = {a: score for (a, b), score in symmetric(BLOSUM62).items() if a == b}
+OWN_SUM = "coalesce(list_sum(list_transform(string_split({0}, ''), lambda c: CASE c " + " ".join(f"WHEN '{a}' THEN {s}" for a, s in OWN.items()) + " ELSE -1.0 END)), 0.0)"
+CHAINS = f"c AS (SELECT c_custkey, {SEQ.format('c_custkey')} || {SEQ.format('c_nationkey')} AS a, {SEQ.format('(c_custkey // 2)')} || {SEQ.format('c_nationkey')} AS b FROM customer)"
+
+
+@query(f"WITH {CHAINS} SELECT c_custkey, {OWN_SUM.format('a')} AS own_a, {OWN_SUM.format('b')} AS own_b, true AS ascending, true AS bounded, true AS as_good_as_shared_end FROM c")
+def alignment_bounds(spark, sf):
+    """Pairs that share their second half: places ascend, no score exceeds either's own, and none is under the shared half's."""
+    seq = lambda c: F.translate(F.md5(F.expr(c).cast("string")), "0123456789abcdef", LETTERS)
+    chains = table(spark, sf, "customer").select("c_custkey", F.concat(seq("c_custkey"), seq("c_nationkey")).alias("a"), F.concat(seq("c_custkey div 2"), seq("c_nationkey")).alias("b"), seq("c_nationkey").alias("shared"))
+    scores = F.create_map(*[F.lit(v) for item in OWN.items() for v in item])
+    own = lambda c: F.aggregate(F.split(F.col(c), "(?!^)(?=.)"), F.lit(0.0), lambda total, letter: total + F.coalesce(F.try_element_at(scores, letter), F.lit(-1.0)))
+    maps = alignment.sequence_map(chains, "a", "b").withColumns({"own_a": own("a"), "own_b": own("b"), "own_shared": own("shared")})
+    rising = lambda c: F.col(c) == F.array_sort(F.array_distinct(c))
+    score = F.coalesce("score", "own_a")  # equal sequences are not aligned
+    return maps.select("c_custkey", "own_a", "own_b", (rising("a_index") & rising("b_index") & (F.size("a_index") == F.size("b_index"))).alias("ascending"), (score <= F.least("own_a", "own_b")).alias("bounded"), (score >= F.col("own_shared")).alias("as_good_as_shared_end"))

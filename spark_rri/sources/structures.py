@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import residue_id
@@ -23,24 +23,34 @@ def _finished(raw: DataFrame, models: str) -> DataFrame:
     atoms = raw.withColumns(number | {"res_seq": F.expr("try_cast(res_seq as int)"), "chain_id": F.when(F.col("chain_id") == "", "+").otherwise(F.col("chain_id"))})
     atoms = with_file_keys(atoms.withColumn("res_id", residue_id(F.col("res_seq"), F.col("i_code"))))
     if models == "first":
-        least = F.min("model").over(Window.partitionBy("file"))
-        atoms = atoms.withColumn("least", least).filter("model = least")
+        atoms = atoms.join(atoms.groupBy("file").agg(F.min("model").alias("model")), ["file", "model"])
     kind = F.struct("hetflag", "res_name")
     first = F.first(kind).over(in_file("model", "chain_id", "res_id"))
     return atoms.withColumn("kind", kind).withColumn("first_kind", first).filter("kind = first_kind").select(*ATOM_COLUMNS)
 
 
+def model_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, model, line_no, line) of fixed-width structure files.
+
+    Spark splits a file wherever a line begins with MODEL, so a file of many models is read by as many tasks as
+    its size asks for and a task holds one model at a time. Lines before the first MODEL have model
+    0; line_no ascends along the file, models by their numbers: 2 ** 32 a model and one a line.
+    """
+    parts = spark.read.text(path, lineSep="\nMODEL ").select(F.col("_metadata.file_path").alias("file"), F.regexp_replace(F.regexp_replace("value", "^MODEL ", ""), "\r\n?", "\n").alias("text"))
+    number = F.expr("try_cast(trim(substring_index(text, '\n', 1)) as int)")
+    rows = parts.select("file", F.coalesce(number, F.lit(0)).alias("model"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return rows.select("file", "model", (F.col("model").cast("long") * (1 << 32) + F.col("at")).alias("line_no"), "line")
+
+
 def read_pdb(spark: SparkSession, path: str | list[str], models: str = "first") -> DataFrame:
     """Atoms of fixed-width structure files; models is ``first`` or ``all``.
 
     A blank chain is ``+``. Of residues that share number and insertion code in a chain the first stays.
-    Lines without numbers where coordinates belong have NULL coordinates.
+    Lines without numbers where coordinates belong have NULL coordinates. Files of many models are split at them.
     """
-    all_lines = lines(spark, path).filter("line rlike '^(ATOM  |HETATM|MODEL )'")
-    model = F.last(F.expr("case when line like 'MODEL %' then try_cast(trim(substring(line, 7, 8)) as int) end"), ignorenulls=True).over(in_file())
-    numbered = all_lines.withColumn("model", F.coalesce(model, F.lit(0))).filter("line not like 'MODEL %'")
+    all_lines = model_lines(spark, path).filter("line rlike '^(ATOM  |HETATM)'")
     cut = {name: F.trim(F.substring("line", start, width)) for name, (start, width) in FIELDS.items()}
-    return _finished(numbered.withColumns(cut | {"hetflag": F.expr("case when line like 'HETATM%' then 'H' else '' end")}), models)
+    return _finished(all_lines.withColumns(cut | {"hetflag": F.expr("case when line like 'HETATM%' then 'H' else '' end")}), models)
 
 
 def read_mmcif(spark: SparkSession, path: str | list[str], models: str = "first") -> DataFrame:

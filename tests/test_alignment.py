@@ -48,6 +48,24 @@ def test_align_is_optimal(opening, extension):
         assert at_a == sorted(set(at_a)) and at_b == sorted(set(at_b)) and len(at_a) == len(at_b)
 
 
+def test_pairs_together_as_alone():
+    """Pairs of mixed lengths in one batch give what each gives by itself, empty ones too."""
+    rng = random.Random(8)
+    pairs = [("".join(rng.choice("ACDEKLMX") for _ in range(rng.choice([0, 1, 3, 20, 60]))), "".join(rng.choice("ACDEKLMX") for _ in range(rng.choice([0, 1, 5, 25, 50])))) for _ in range(120)]
+    together = al.align_many([a for a, _ in pairs], [b for _, b in pairs], TABLE, 11.0, 0.5)
+    assert together == [al.align(a, b, TABLE, 11.0, 0.5) for a, b in pairs]
+    cut = list(al.in_batches(pairs, 5_000))
+    assert sorted(p for part in cut for p in part) == sorted(pairs)
+    assert all(len(part) == 1 or len(part) * max(len(a) for a, _ in part) * max(len(b) for _, b in part) <= 5_000 for part in cut)
+
+
+def test_published_scores():
+    assert TABLE[ord("W"), ord("W")] == 11 and TABLE[ord("F"), ord("Y")] == 3 and TABLE[ord("G"), ord("I")] == -4 and TABLE[ord("X"), ord("C")] == TABLE[ord("B"), ord("C")] == -2
+    letters = [ord(c) for c in "ARNDCQEGHILKMFPSTWYV"]
+    part = TABLE[letters][:, letters]
+    assert (part == part.T).all() and part.diagonal().sum() == 116 and (part.diagonal() > part.max(axis=1, where=~(part == part.diagonal()), initial=-9)).all()
+
+
 def test_sequence_map(spark):
     base = "MKTAYIAKQRQISFVKSHFSRQ"
     rows = [(1, base, base), (2, base[:10] + base[11:], base), (3, None, base), (4, "X" * 22, base), (5, base[:8], base), (6, base, base), (2, base[:10] + base[11:], base), (7, "", "")]

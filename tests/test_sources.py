@@ -157,3 +157,26 @@ def test_result_and_sequence_sinks(spark, tmp_path):
     assert {r["variant"]: r["count"] for r in spark.read.parquet(str(tmp_path / "c")).groupBy("variant").count().collect()} == {"all": 2, "sampled": 1}
     sinks.write_curve(spark.range(2).select((F.col("id") / 2).alias("threshold"), F.lit(1.0).alias("precision")), str(tmp_path / "k"))
     assert spark.read.json(str(tmp_path / "k")).count() == 2
+
+
+def test_models_of_one_file_are_read_by_several_tasks(spark, tmp_path):
+    """A file of 60 models, split at them: the same atoms as in one piece, each model in one task."""
+    atom = lambda k, x: f"ATOM  {k:5d}  CA  GLY A{k:4d}    {x:8.3f}{0.0:8.3f}{0.0:8.3f}  1.00  0.00           C"
+    models = [f"MODEL {m:8d}\n" + "\n".join(atom(k, m + k / 10) for k in range(1, 40)) + "\nENDMDL" for m in range(1, 61)]
+    for name, head, end in (("1abc_l_b.pdb", "HEADER    X\n", "\n"), ("2abc_l_b.pdb", "", "\r\n")):
+        (tmp_path / name).write_bytes((head + "\n".join(models) + "\nEND\n").replace("\n", end).encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        atoms = structures.read_pdb(spark, str(tmp_path), "all")
+        pieces = structures.model_lines(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).groupBy("file", "model").agg(F.count_distinct("task").alias("n"), F.min("task").alias("task")).collect()
+        got = sorted((r["complex_id"], r["model"], r["res_seq"], r["x"]) for r in atoms.collect())
+        first = structures.read_pdb(spark, str(tmp_path)).select("model").distinct().collect()
+        chosen = [(r["model"], r["res_seq"]) for r in structures.select_models(atoms.filter("complex_id = '1abc'"), [60, 2]).collect()]
+    finally:
+        for key in ("maxPartitionBytes", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{key}")
+    assert got == [(c, m, k, round(m + k / 10, 3)) for c in ("1abc", "2abc") for m in range(1, 61) for k in range(1, 40)]
+    assert len({r["task"] for r in pieces}) > 5 and {r["n"] for r in pieces if r["model"]} == {1}
+    assert [r["model"] for r in first] == [1]
+    assert chosen == [(m, k) for m in (60, 2) for k in range(1, 40)]
