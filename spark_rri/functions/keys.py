@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 RESIDUES = {
     "ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I",
     "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V",
-    "MSE": "M", "SEP": "S", "TPO": "T", "PTR": "Y",
+    "H1S": "H", "H2S": "H", "H3S": "H", "MSE": "M", "PTR": "T", "TPO": "T", "SEP": "S", "HYP": "P", "TYS": "T", "MLZ": "K", "MLY": "K", "M3L": "K",
 }
 LETTERS = "ABCDEFGHIKLMNPQRSTVWXYZ"
 
 
-def one_letter(name: Column) -> Column:
-    """NULL for water, X for what is not listed."""
-    table = F.create_map(*[F.lit(x) for kv in RESIDUES.items() for x in kv])
+def one_letter(name: Column, more: dict[str, str] | None = None) -> Column:
+    """NULL for water, X for what is not listed; ``more`` adds codes or puts others in their place."""
+    table = F.create_map(*[F.lit(x) for kv in (RESIDUES | (more or {})).items() for x in kv])
     name = F.upper(F.trim(name))
     return F.when(name != "HOH", F.coalesce(F.try_element_at(table, name), F.lit("X")))
 
@@ -35,6 +35,15 @@ def base_id(key: Column) -> Column:
     return F.upper(F.split(key, "[:@#-]")[0])
 
 
+def key_parts(key: Column) -> Column:
+    """Struct of prefix, chains, side and state of keys such as 1abc_l_b or 1abc_A, split at _; a part that is missing is NULL.
+
+    A last part #sl or #sr tells which side of a mixed complex is a sequence.
+    """
+    parts = F.split(F.regexp_replace(key, "#s[lr]$", ""), "_")
+    return F.struct(F.get(parts, F.lit(0)).alias("prefix"), F.get(parts, F.lit(1)).alias("second"), F.get(parts, F.lit(2)).alias("third"), F.nullif(F.regexp_extract(key, "#(s[lr])$", 1), F.lit("")).alias("mixed"))
+
+
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract(text, pattern, group)
 

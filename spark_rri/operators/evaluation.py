@@ -125,10 +125,10 @@ def more_metrics(counts: DataFrame) -> DataFrame:
 
 
 def best_correlation(sweep: DataFrame, part: str) -> DataFrame:
-    """The sweep's row of highest Matthews correlation with all metrics; the lowest threshold of equals."""
+    """The sweep's row of highest Matthews correlation, to 12 digits, with all metrics; the lowest threshold of equals."""
     full = more_metrics(sweep)
     names = [c for c in full.columns if c != part]
-    return full.groupBy(part).agg(F.min_by(F.struct(*names), F.struct(-F.col("mcc"), F.col("t"))).alias("b")).select(part, "b.*")
+    return full.groupBy(part).agg(F.min_by(F.struct(*names), F.struct(-F.round("mcc", 12), F.col("t"))).alias("b")).select(part, "b.*")
 
 
 def report_at(scores: DataFrame, part: str, score: str, label: str, threshold: float = 2.39698) -> DataFrame:
@@ -156,6 +156,20 @@ def hit_rate_marks(first: DataFrame, shares: tuple[float, ...] = (0.1, 0.25, 0.5
     return rated.groupBy("share").agg(F.min_by(F.struct("n", "hit_rate"), F.struct(gap, F.col("n"))).alias("b")).select("share", "b.*")
 
 
+def precision_over_contacts(pairs: DataFrame, part: str, score: str, ties: list[str], label: str, at: int = 500) -> DataFrame:
+    """(group, n, contacts, precision, over_contacts): precision among the ``at`` best rows of each group, and its quotient by the group's positives.
+
+    n is ``at``, or the rows of the smallest group if that has fewer, for all groups alike; without positives the quotient is NULL.
+    """
+    sizes = pairs.groupBy(F.col(part).alias("__part")).agg(F.count("*").alias("__n"), F.count_if(F.col(label) == 1).alias("contacts"))
+    n = F.broadcast(sizes.agg(F.least(F.lit(at), F.min("__n")).cast("long").alias("n")))  # one row
+    best = top_rows(pairs, part, score, ties, at).join(n).filter(F.col("rank") <= F.col("n"))
+    hits = best.groupBy(part, "n").agg(F.count_if(F.col(label) == 1).alias("__hits"))
+    met = hits.join(sizes, F.col(part).eqNullSafe(F.col("__part")))
+    precision = F.col("__hits") / F.col("n")
+    return met.select(part, "n", "contacts", precision.alias("precision"), (precision / F.nullif("contacts", F.lit(0))).alias("over_contacts"))
+
+
 def mean_hits(pairs: DataFrame, part: str, score: str, ties: list[str], label: str, top: int = 1024) -> DataFrame:
     """(n, mean_hits): positives among the n best rows of a group, averaged over groups, for n = 1, 2, 4, .. top."""
     best = top_rows(pairs, part, score, ties, top)

@@ -30,6 +30,22 @@ def guarded_merge(left: DataFrame, right: DataFrame, keys: list[str], group: str
     return merged.join(rejects.select(group), group, "left_anti"), rejects
 
 
+#: The ids of a pair of residues.
+PAIR_IDS = ["chainIdL", "resIdL", "resNameL", "chainIdR", "resIdR", "resNameR"]
+
+
+def pair_feature_merge(pairs: DataFrame, features: DataFrame, group: str, ids: list[str] = PAIR_IDS, tolerance: float = 0.01) -> tuple[DataFrame, DataFrame]:
+    """(pairs with the pair features, marked _P, rejects): inner join by group and the six ids of a pair; groups that lose more than 1 % are rejected."""
+    keys = [group, *ids]
+    named = features.select(*keys, *[F.col(c).alias(c if c.endswith("_P") else f"{c}_P") for c in features.columns if c not in keys])
+    return guarded_merge(pairs, named, keys, group, tolerance)
+
+
+def in_all(tables: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The keys that every table holds, each once; a NULL is a key like others."""
+    return reduce(lambda a, b: a.intersect(b), [t.select(*keys) for t in tables])
+
+
 def outer_indicator(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Full join of the keys with where each was found."""
     l, r = left.select(*keys, F.lit(1).alias("__l")).distinct(), right.select(*keys, F.lit(1).alias("__r")).distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import within_partner_contacts
 from .sampling import draw
 from .scans import least_rows
 
@@ -88,8 +89,5 @@ def cluster_members(rows: DataFrame, cluster: str, key: str, centroid: Column, m
 
 def within_partner(contacts: DataFrame, same: DataFrame, key: str, left: str, right: str) -> DataFrame:
     """Adds (l', r) and (l, r') for every contact (l, r) and equivalences l -> l', r -> r' within a partner (columns key, node, twin)."""
-    l = same.select(key, F.col("node").alias(left), F.col("twin").alias("__t"))
-    r = same.select(key, F.col("node").alias(right), F.col("twin").alias("__t"))
-    one = contacts.join(l, [key, left]).select(key, F.col("__t").alias(left), right)
-    two = contacts.join(r, [key, right]).select(key, left, F.col("__t").alias(right))
-    return contacts.select(key, left, right).union(one).union(two).distinct()
+    one, two = (within_partner_contacts(contacts, same, key, left, right, side) for side in ("left", "right"))
+    return one.unionByName(two).distinct()

@@ -11,11 +11,11 @@ from .scoring import ranked
 
 def site_metrics(sites: DataFrame, part: str, score: str, ties: list[str], label: str) -> DataFrame:
     """Confusion counts and metrics of each group's best sites, as many as an interface of its size has."""
-    n = sites.groupBy(part).agg(F.count("*").alias("__n"))
+    n = sites.groupBy(F.col(part).alias("__part")).agg(F.count("*").alias("__n"))
     called = F.col("rank") <= expected_interface_size(F.col("__n"))
     y = F.col(label) == 1
     counts = [F.count_if(c).alias(k) for k, c in (("tp", called & y), ("fp", called & ~y), ("fn", ~called & y), ("tn", ~called & ~y))]
-    return metrics(ranked(sites, part, score, ties).join(n, part).groupBy(part).agg(F.count_if(called).alias("n_called"), *counts))
+    return metrics(ranked(sites, part, score, ties).join(n, F.col(part).eqNullSafe(F.col("__part"))).groupBy(part).agg(F.count_if(called).alias("n_called"), *counts))
 
 
 def nearest_cut(scores: DataFrame, part: str, score: str, label: str, cut: float) -> DataFrame:
@@ -23,13 +23,13 @@ def nearest_cut(scores: DataFrame, part: str, score: str, label: str, cut: float
 
     Of equally near scores the lower one counts.
     """
-    near = scores.groupBy(part).agg(F.min_by(score, F.struct(F.abs(F.col(score) - cut), score)).alias("threshold"))
+    near = scores.groupBy(F.col(part).alias("__part")).agg(F.min_by(score, F.struct(F.abs(F.col(score) - cut), score)).alias("threshold"))
     y = F.col(label) == 1
 
     def counts(call):
         return [F.count_if(c).alias(k) for k, c in (("tp", call & y), ("fp", call & ~y), ("fn", ~call & y), ("tn", ~call & ~y))]
 
-    own = scores.join(near, part).groupBy(part, "threshold").agg(*counts(F.col(score) >= F.col("threshold")))
+    own = scores.join(near, F.col(part).eqNullSafe(F.col("__part"))).groupBy(part, "threshold").agg(*counts(F.col(score) >= F.col("threshold")))
     pooled = scores.agg(*counts(F.col(score) >= cut)).select(F.lit(None).cast(scores.schema[part].dataType).alias(part), F.lit(cut).alias("threshold"), "tp", "fp", "fn", "tn")
     return metrics(own.unionByName(pooled))
 
@@ -39,9 +39,11 @@ def side_by_side(one: DataFrame, two: DataFrame, part: str, score: str, ties: li
 
     def told(rows: DataFrame, tag: str) -> DataFrame:
         auc = roc_auc(rows, part, score, label).select(part, F.col("auc").alias(f"auc_{tag}"))
-        return auc.join(first_hits(rows, part, score, ties, label).withColumnRenamed("first_rank", f"first_{tag}"), part)
+        first = first_hits(rows, part, score, ties, label).select(F.col(part).alias("__part"), F.col("first_rank").alias(f"first_{tag}"))
+        return auc.join(first, F.col(part).eqNullSafe(F.col("__part"))).drop("__part")
 
-    both = told(one, "a").join(told(two, "b"), part)
+    other = told(two, "b").withColumnRenamed(part, "__part")
+    both = told(one, "a").join(other, F.col(part).eqNullSafe(F.col("__part"))).drop("__part")
     better = F.when(F.col("first_a") < F.col("first_b"), "a").when(F.col("first_b") < F.col("first_a"), "b").when(F.col("first_a").isNotNull(), "same")
     return both.withColumn("earlier", better)
 
@@ -55,4 +57,6 @@ def rescored(pairs: DataFrame, part: str, score: str, ties: list[str], site: str
 
     sites = pairs.groupBy(part, site).agg(F.max(label).alias(label))
     vote = multiscale_vote(pairs, part, score, ties, site)
-    return roc_auc(sites.join(vote, [part, site], "left").withColumn("vote", F.coalesce("vote", F.lit(0.0))), part, "vote", label)
+    vote = vote.select(F.col(part).alias("__part"), F.col(site).alias("__site"), "vote")
+    met = sites.join(vote, F.col(part).eqNullSafe(F.col("__part")) & F.col(site).eqNullSafe(F.col("__site")), "left").drop("__part", "__site")
+    return roc_auc(met.withColumn("vote", F.coalesce("vote", F.lit(0.0))), part, "vote", label)

@@ -61,6 +61,12 @@ def max_pool(pairs: DataFrame, part: str, site: str, score: str) -> DataFrame:
     return pairs.groupBy(part, site).agg(F.max(score).alias("site_score"), F.count("*").alias("n_pairs"))
 
 
+def above_threshold(scores: DataFrame, part: str, score: str, threshold: float) -> DataFrame:
+    """(group, any_above, n_above): whether any row of each group exceeds the threshold, and how many do; NULL scores do not."""
+    above = F.coalesce(F.col(score) > threshold, F.lit(False))
+    return scores.groupBy(part).agg(F.bool_or(above).alias("any_above"), F.count_if(above).alias("n_above"))
+
+
 def symmetric_mean(pairs: DataFrame, part: str, a: str, b: str, score: str) -> DataFrame:
     """Average of (a, b) and (b, a), on both."""
     low, high = F.least(a, b).alias("__a"), F.greatest(a, b).alias("__b")

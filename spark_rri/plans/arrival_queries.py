@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.substitution import BLOSUM62, symmetric
-from ..operators import alignment, catalogue
+from ..operators import alignment, catalogue, evaluation, joins, recipes, spatial
 from ..shared import fresh_path
 from ..streaming.gather import gather
-from .queries import query
-from .standins import table
+from .queries import CUT, NEAR, query
+from .standins import POINTS, points, table
 
 TYPES = ["click", "view", "purchase"]
 DAYS = 5
@@ -63,3 +63,40 @@ def alignment_bounds(spark, sf):
     rising = lambda c: F.col(c) == F.array_sort(F.array_distinct(c))
     score = F.coalesce("score", "own_a")  # equal sequences are not aligned
     return maps.select("c_custkey", "own_a", "own_b", (rising("a_index") & rising("b_index") & (F.size("a_index") == F.size("b_index"))).alias("ascending"), (score <= F.least("own_a", "own_b")).alias("bounded"), (score >= F.col("own_shared")).alias("as_good_as_shared_end"))
+
+
+@query("WITH p AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_partkey, l_linenumber) AS rank, count(*) OVER (PARTITION BY l_suppkey) AS size FROM lineitem), n AS (SELECT least(500, min(size)) AS n FROM p), c AS (SELECT l_suppkey, n, count(*) FILTER (l_returnflag = 'R') AS contacts, count(*) FILTER (l_returnflag = 'R' AND rank <= n) AS hits FROM p, n GROUP BY l_suppkey, n) SELECT l_suppkey, n, contacts, round(hits / n, 6) AS precision, round(hits / n / nullif(contacts, 0), 9) AS over_contacts FROM c")
+def precision_over_contacts(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_suppkey", "l_extendedprice", "l_orderkey", "l_partkey", "l_linenumber", (F.col("l_returnflag") == "R").cast("int").alias("label"))
+    out = evaluation.precision_over_contacts(rows, "l_suppkey", "l_extendedprice", ["l_orderkey", "l_partkey", "l_linenumber"], "label")
+    return out.withColumns({"precision": F.round("precision", 6), "over_contacts": F.round("over_contacts", 9)})
+
+
+SIX = ["o", "p", "s", "d", "t", "n"]
+LINES = "l_linenumber AS complex_id, l_orderkey AS o, l_partkey AS p, l_suppkey AS s, l_discount AS d, l_tax AS t, l_quantity AS n"
+
+
+@query(f"WITH a AS (SELECT DISTINCT {LINES} FROM lineitem), b AS (SELECT complex_id, o, p, s, d, t, n, max(o % 97) AS coupling FROM a WHERE complex_id <> 3 OR o % 60 <> 0 GROUP BY ALL), m AS (SELECT a.*, coupling AS coupling_P FROM a JOIN b USING (complex_id, o, p, s, d, t, n)), c AS (SELECT complex_id, count(*) AS n_a FROM a GROUP BY 1), k AS (SELECT complex_id, count(*) AS n_m FROM m GROUP BY 1), g AS (SELECT complex_id FROM c LEFT JOIN k USING (complex_id) WHERE n_a - coalesce(n_m, 0) <= 0.01 * n_a) SELECT complex_id, o, p, s, coupling_P FROM m WHERE complex_id IN (FROM g)")
+def pair_feature_merge(spark, sf):
+    """Every pair of complex 3 that the couplings lack counts against it: it loses more than 1 % and is rejected."""
+    a = table(spark, sf, "lineitem").selectExpr(*[c.strip() for c in LINES.split(",")]).distinct()
+    b = a.filter("complex_id <> 3 or o % 60 <> 0").withColumn("coupling", F.col("o") % 97)
+    merged, _ = joins.pair_feature_merge(a, b, "complex_id", SIX)
+    return merged.select("complex_id", "o", "p", "s", "coupling_P")
+
+
+@query("SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer INTERSECT SELECT user_id FROM events")
+def in_all_tables(spark, sf):
+    named = {"orders": "o_custkey", "customer": "c_custkey", "events": "user_id"}
+    return joins.in_all([table(spark, sf, t).select(F.col(c).alias("k")) for t, c in named.items()], ["k"])
+
+
+@query(f"WITH {POINTS}, e AS (SELECT l.complex_id, l.node AS i, r.node AS j, l.v1 AS L_v1, r.v2 AS R_v2, l.v3 * r.v3 AS pair FROM points l JOIN points r ON l.complex_id = r.complex_id AND l.partner = 0 AND r.partner = 1 AND {NEAR}) SELECT complex_id, i, j, 'complex_id,i,j,L_v1,R_v2,pair' AS columns, L_v1 + 2 * R_v2 + 3 * pair AS told FROM e")
+def ordered_blocks(spark, sf):
+    """The blocks come as pair, right, left and are put in order; the value tells their places apart."""
+    p = points(spark, sf)
+    near = spatial.range_join(p.filter("partner = 0"), p.filter("partner = 1"), CUT, ["complex_id"])
+    mixed = near.select((F.col("l.v3") * F.col("r.v3")).alias("pair"), F.col("r.v2").alias("R_v2"), F.col("l.node").alias("i"), F.col("l.v1").alias("L_v1"), F.col("r.node").alias("j"), F.col("l.complex_id").alias("complex_id"))
+    out = recipes.in_order(mixed, ["complex_id", "i", "j"])
+    blocks = out.columns[3:]
+    return out.select("complex_id", "i", "j", F.lit(",".join(out.columns)).alias("columns"), sum((k + 1) * F.col(c) for k, c in enumerate(blocks)).alias("told"))

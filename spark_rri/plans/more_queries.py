@@ -186,11 +186,12 @@ def leakage_free_merge(spark, sf):
     return sampling.leakage_free(o, "o_orderkey", "lineage", tests).select("o_orderkey", "fold")
 
 
-@query("WITH t AS (SELECT * FROM customer WHERE c_nationkey % 5 <> 0), r AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5(c_custkey::VARCHAR || '#i'), c_custkey) AS k FROM t) SELECT c_nationkey, c_custkey FROM r WHERE k = 1")
+@query("WITH t AS (SELECT * FROM customer WHERE c_nationkey % 5 <> 0), r AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5(c_custkey::VARCHAR || '#i'), c_custkey) AS k FROM t) SELECT 'train' AS part, c_nationkey, c_custkey FROM r WHERE k = 1 UNION ALL SELECT 'test', c_nationkey, c_custkey FROM customer WHERE c_nationkey % 5 = 0")
 def independent_split(spark, sf):
     c = table(spark, sf, "customer").select("c_nationkey", "c_custkey")
-    train, _ = sampling.independent_split(c, "c_nationkey", c.filter("c_nationkey % 5 = 0"), "c_custkey", "i")
-    return train
+    halves = sampling.independent_split(c, "c_nationkey", c.filter("c_nationkey % 5 = 0"), "c_custkey", "i")
+    train, test = (h.select(F.lit(name).alias("part"), "c_nationkey", "c_custkey") for h, name in zip(halves, ("train", "test"), strict=True))
+    return train.unionByName(test)
 
 
 TIGHT = EDGES.replace(f"<= {CUT * CUT!r}", "<= 0.0025")

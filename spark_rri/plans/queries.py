@@ -186,7 +186,7 @@ def max_pool_site(spark, sf):
     return scoring.max_pool(pairs(spark, sf), "complex_id", "site_l", "score")
 
 
-NN = "n AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), nn AS (SELECT a.l_orderkey AS complex_id, a.l_linenumber AS a, b.l_linenumber AS b, (a.l_orderkey + a.l_linenumber * 37 + b.l_linenumber * 11) % 101 / 128.0::DOUBLE AS score FROM n a JOIN n b ON a.l_orderkey = b.l_orderkey)"
+NN = "n AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), nn AS MATERIALIZED (SELECT a.l_orderkey AS complex_id, a.l_linenumber AS a, b.l_linenumber AS b, (a.l_orderkey + a.l_linenumber * 37 + b.l_linenumber * 11) % 101 / 128.0::DOUBLE AS score FROM n a JOIN n b ON a.l_orderkey = b.l_orderkey)"
 
 
 def line_pairs(spark, sf):
@@ -258,7 +258,7 @@ def metrics_at_threshold(spark, sf):
 
 @query(f"WITH {SCORES} SELECT source, bool_or(score > 9000) AS any_above, count(*) FILTER (score > 9000) AS n_above FROM scores GROUP BY source")
 def sites_above_threshold(spark, sf):
-    return scores(spark, sf).groupBy("source").agg(F.bool_or(F.col("score") > 9000).alias("any_above"), F.count_if(F.col("score") > 9000).alias("n_above"))
+    return scoring.above_threshold(scores(spark, sf), "source", "score", 9000)
 
 
 @query(f"WITH {SCORES}, b AS (SELECT lang, score, count(*) AS n, count(*) FILTER (label = 1) AS p FROM scores GROUP BY ALL) SELECT lang, score, round(sum(p) OVER w / sum(p) OVER (PARTITION BY lang), 6) AS tpr, round(sum(n - p) OVER w / nullif(sum(n - p) OVER (PARTITION BY lang), 0), 6) AS fpr FROM b WINDOW w AS (PARTITION BY lang ORDER BY score DESC ROWS UNBOUNDED PRECEDING)")

@@ -35,9 +35,9 @@ def lineage_round_trip(spark, sf):
     return back.select("supplier", F.concat(F.lit("["), F.array_join("trained_on", ", "), F.lit("]")).alias("parts"))
 
 
-@query("SELECT o_orderpriority AS variant_of, 'all' AS variant, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT o_orderpriority, 'sampled', count(*) FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL")
+@query("SELECT o_orderpriority AS variant_of, 'all' AS variant, o_orderkey, o_orderstatus FROM orders UNION ALL SELECT o_orderpriority, 'sampled', o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
 def codified_round_trip(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
     path = fresh_path(spark)
     sinks.write_codified(o, o.filter("o_orderstatus = 'F'"), path)
-    return spark.read.parquet(path).groupBy(F.col("o_orderpriority").alias("variant_of"), "variant").agg(F.count("*").alias("n"))
+    return spark.read.parquet(path).select(F.col("o_orderpriority").alias("variant_of"), "variant", "o_orderkey", "o_orderstatus")

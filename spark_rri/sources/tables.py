@@ -87,6 +87,20 @@ def read_pair_list(spark: SparkSession, path: str | list[str]) -> tuple[DataFram
     return rows.filter(F.coalesce(good, F.lit(False))).drop("n", "line"), rows.filter(~F.coalesce(good, F.lit(False))).select("file", "line_no", "line")
 
 
+def read_chain_list(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """(complex_id, chains_l, chains_r of every line ``id chains chains``, rejects); chains are single letters in a row."""
+    rows = lines(spark, path).filter("trim(line) != '' and not line rlike '^\\\\s*[#>]'").withColumn("p", words("line"))
+    chains = lambda k: F.split(F.col("p")[k], "(?!^)(?=.)")
+    good = rows.filter("size(p) = 3").select(F.col("p")[0].alias("complex_id"), chains(1).alias("chains_l"), chains(2).alias("chains_r"))
+    return good, rows.filter("size(p) != 3").select("file", "line_no", "line")
+
+
+def read_restricted_ids(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(complex_id, chain_id), each once, of lines ``name id_chain id_chain ...``: what an evaluation is restricted to."""
+    items = lines(spark, path).select(F.explode(F.slice(words("line"), 2, 1 << 30)).alias("item")).filter("item like '%\\_%'")
+    return items.select(F.substring_index("item", "_", 1).alias("complex_id"), F.substring_index("item", "_", -1).alias("chain_id")).distinct()
+
+
 def read_catalogue(spark: SparkSession, path: str, jdbc: dict[str, str] | None = None) -> DataFrame:
     """The catalogue of known profiles (sequence, structure id, chain, status): Parquet, or a table by JDBC options."""
     return spark.read.format("jdbc").options(url=path, **jdbc).load() if jdbc else spark.read.parquet(path)
