@@ -14,7 +14,7 @@ FULL = "round((tp + tn) / nullif(tp + fp + fn + tn, 0), 6) AS accuracy, round(fp
 
 
 @query(
-    f"WITH {SCORES}, r AS (SELECT *, round(score, 4) AS t FROM scores), t AS (SELECT DISTINCT lang, t FROM r), c AS (SELECT t.lang, t.t, count(*) FILTER (s.score > t.t AND s.label = 1) AS tp, count(*) FILTER (s.score > t.t AND s.label <> 1) AS fp, count(*) FILTER (s.score <= t.t AND s.label = 1) AS fn, count(*) FILTER (s.score <= t.t AND s.label <> 1) AS tn FROM t JOIN scores s ON s.lang = t.lang GROUP BY ALL), "
+    f"WITH {SCORES}, s AS (SELECT lang, score / 7 AS score, label FROM scores), r AS (SELECT *, round(score) AS t FROM s), t AS (SELECT DISTINCT lang, t FROM r), c AS (SELECT t.lang, t.t, count(*) FILTER (s.score > t.t AND s.label = 1) AS tp, count(*) FILTER (s.score > t.t AND s.label <> 1) AS fp, count(*) FILTER (s.score <= t.t AND s.label = 1) AS fn, count(*) FILTER (s.score <= t.t AND s.label <> 1) AS tn FROM t JOIN s ON s.lang = t.lang GROUP BY ALL), "
     "e AS (SELECT lang, min(t) AS a, max(t) AS b FROM c GROUP BY 1), m AS (SELECT c.*, coalesce((tp * tn - fp * fn)::DOUBLE / nullif(sqrt(tp + fp) * sqrt(tp + fn) * sqrt(tn + fp) * sqrt(tn + fn), 0), 0) AS mcc FROM c JOIN e USING (lang) WHERE t > a AND t < b) "
     "SELECT lang, round(mcc, 6) AS mcc, t FROM m QUALIFY row_number() OVER (PARTITION BY lang ORDER BY round(mcc, 12) DESC, t) = 1"
 )
