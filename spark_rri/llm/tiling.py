@@ -20,6 +20,7 @@ by ``remove_contaminated``.
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -85,26 +86,23 @@ def tiles(doc: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int,
         if longest >= 2 * search:
             search = min(longest, len(item), len(doc))
             continue
-        for n, j, i in sorted(matches):
-            n = -n
-            if free_doc[i : i + n].all() and free_item[j : j + n].all():
-                free_doc[i : i + n] = free_item[j : j + n] = False
-                found.append((i, j, n))
-        again = len(matches) and _open_match(doc, item, free_doc, free_item, search)
-        if not again:
-            if search == least:
-                break
-            search = max(least, search // 2)
+        # the longest first; of a match that a tile has cut what is left goes back, so none as long as the search stays unmarked
+        heapq.heapify(matches)
+        while matches:
+            n, j, i = heapq.heappop(matches)
+            both = np.flatnonzero(np.diff(np.concatenate([[False], free_doc[i : i - n] & free_item[j : j - n], [False]]).astype(np.int8)))
+            for low, high in both.reshape(-1, 2).tolist():
+                if high - low == -n:
+                    free_doc[i : i - n] = free_item[j : j - n] = False
+                    found.append((i, j, -n))
+                elif high - low >= search:
+                    heapq.heappush(matches, (low - high, j + low, i + low))
+        if search == least:
+            break
+        search = max(least, search // 2)
     return found
 
 
-def _open_match(doc: np.ndarray, item: np.ndarray, free_doc: np.ndarray, free_item: np.ndarray, search: int) -> bool:
-    """Whether an unmarked common run of this length is left (one that lost to an overlapping tile)."""
-    a = seed_hashes(doc, search)[np.convolve(free_doc, np.ones(search, np.int64), "valid") == search]
-    b = seed_hashes(item, search)[np.convolve(free_item, np.ones(search, np.int64), "valid") == search]
-    return bool(len(a) and len(b) and np.isin(b, a).any())
-
-
 def near(doc: np.ndarray, item: np.ndarray, seeds: np.ndarray, length: int) -> np.ndarray:
     """The document's words that can be in a tile with the item; other stretches become one breaking word."""
     mask = np.isin(seeds, seed_hashes(item, length))
@@ -211,20 +209,27 @@ def _joined(plain: DataFrame, items: DataFrame, min_match: int, coverage: float)
     """The same by joins, with the digest of the document's text: distinct seeds of both sides, then the texts of pairs that share one."""
     plain, items = plain.withColumn("doc_key", _digest(F.col("text"))), items.withColumn("item_key", _digest(F.col("text")))
 
-    def seeds(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, raw, at in chunks(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.minimum(np.diff(tokens(raw, at)[1]), min_match)), pa.int32())], ["n"])
+
+    lengths = sorted(r[0] for r in items.mapInArrow(sizes, "n int").distinct().collect() if r[0])  # min_match at most
+
+    def seeds(batches: Iterator[pa.RecordBatch], of_items: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw, at in chunks(batch):
                 h, wa = tokens(raw, at)
                 for d in range(part.num_rows):
                     t = h[wa[d] : wa[d + 1]]
-                    for length in range(1, min_match + 1) if least else [min(min_match, len(t))]:
+                    for length in [min(min_match, len(t))] if of_items else lengths:
                         s = signed(np.unique(seed_hashes(t, length))) if length else []
                         if len(s):
                             yield pa.RecordBatch.from_arrays([pa.array([part.column(k)[d].as_py()] * len(s), pa.int64()) for k in (0, 2)] + [pa.array(s), pa.array([length] * len(s), pa.int32())], ["id", "key", "seed", "length"])
 
     schema = "id long, key long, seed long, length int"
-    left = plain.mapInArrow(lambda b: seeds(b, 1), schema).withColumnsRenamed({"id": "left_id", "key": "left_key"})
-    right = items.mapInArrow(lambda b: seeds(b, 0), schema).withColumnsRenamed({"id": "right_id", "key": "right_key"})
+    left = plain.mapInArrow(lambda b: seeds(b, False), schema).withColumnsRenamed({"id": "left_id", "key": "left_key"})
+    right = items.mapInArrow(lambda b: seeds(b, True), schema).withColumnsRenamed({"id": "right_id", "key": "right_key"})
     pairs = left.join(right, ["seed", "length"]).select("left_id", "left_key", "right_id", "right_key").distinct()
     both = pairs.join(plain, F.col("left_id").eqNullSafe(F.col("doc_id")) & (F.col("left_key") == F.col("doc_key")))
     both = both.join(items.withColumnRenamed("text", "item_text"), F.col("right_id").eqNullSafe(F.col("item_id")) & (F.col("right_key") == F.col("item_key")))
