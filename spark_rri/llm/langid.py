@@ -35,22 +35,49 @@ FEW = 32
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
 #: First and last code point of the letters of some scripts (Unicode blocks).
-SCRIPTS = (
-    ("latin", 0x41, 0x24F),
+BLOCKS = (
+    ("latin", 0x41, 0x2AF),
     ("greek", 0x370, 0x3FF),
     ("cyrillic", 0x400, 0x52F),
     ("armenian", 0x530, 0x58F),
     ("hebrew", 0x590, 0x5FF),
     ("arabic", 0x600, 0x77F),
+    ("arabic", 0x870, 0x8FF),
     ("devanagari", 0x900, 0x97F),
     ("bengali", 0x980, 0x9FF),
     ("tamil", 0xB80, 0xBFF),
     ("thai", 0xE00, 0xE7F),
     ("georgian", 0x10A0, 0x10FF),
+    ("hangul", 0x1100, 0x11FF),
+    ("cyrillic", 0x1C80, 0x1C8F),
+    ("georgian", 0x1C90, 0x1CBF),
+    ("latin", 0x1E00, 0x1EFF),
+    ("greek", 0x1F00, 0x1FFF),
+    ("latin", 0x2C60, 0x2C7F),
+    ("georgian", 0x2D00, 0x2D2F),
+    ("cyrillic", 0x2DE0, 0x2DFF),
     ("kana", 0x3040, 0x30FF),
+    ("hangul", 0x3130, 0x318F),
+    ("kana", 0x31F0, 0x31FF),
+    ("han", 0x3400, 0x4DBF),
     ("han", 0x4E00, 0x9FFF),
-    ("hangul", 0xAC00, 0xD7AF),
+    ("cyrillic", 0xA640, 0xA69F),
+    ("latin", 0xA720, 0xA7FF),
+    ("devanagari", 0xA8E0, 0xA8FF),
+    ("hangul", 0xA960, 0xA97F),
+    ("hangul", 0xAC00, 0xD7FF),
+    ("han", 0xF900, 0xFAFF),
+    ("latin", 0xFB00, 0xFB06),
+    ("armenian", 0xFB13, 0xFB17),
+    ("hebrew", 0xFB1D, 0xFB4F),
+    ("arabic", 0xFB50, 0xFDFF),
+    ("arabic", 0xFE70, 0xFEFF),
+    ("latin", 0xFF21, 0xFF5A),
+    ("kana", 0xFF66, 0xFF9F),
+    ("hangul", 0xFFA0, 0xFFDC),
+    ("han", 0x20000, 0x323AF),
 )
+SCRIPTS = tuple(dict.fromkeys(name for name, _, _ in BLOCKS))
 
 
 #: The table of letters, made once in a worker.
@@ -77,10 +104,10 @@ def letters_of(points: np.ndarray) -> np.ndarray:
 
 def scripts_of(points: np.ndarray) -> np.ndarray:
     """Script index + 1 of letters of a known script, else 0."""
-    low = np.array([s[1] for s in SCRIPTS])
-    high = np.array([s[2] for s in SCRIPTS])
+    low, high = (np.array([b[k] for b in BLOCKS]) for k in (1, 2))
+    number = np.array([SCRIPTS.index(b[0]) + 1 for b in BLOCKS])
     at = np.searchsorted(low, points, "right") - 1
-    return np.where((at >= 0) & (points <= high[at]) & letters_of(points), at + 1, 0)
+    return np.where((at >= 0) & (points <= high[at]) & letters_of(points), number[at], 0)
 
 
 def word_scripts(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

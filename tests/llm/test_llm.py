@@ -507,3 +507,13 @@ def test_matches_sql(spark, docs, tmp_path, name):
         got = queries.queries()[name](spark, folder)
         assert sorted(got.columns) == sorted(want.columns)
         assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_scripts_of_later_blocks():
+    """Letters outside a script's first block belong to it too; marks and punctuation to none."""
+    import numpy as np
+
+    for text, script in (("ếỹ", "latin"), ("ａｂｃ", "latin"), ("Ἀθῆναι", "greek"), ("ﷺ", "arabic"), ("ｱｲｳ", "kana"), ("㐀𠀀", "han"), ("ㄱ", "hangul"), ("ab", "latin"), ("б", "cyrillic"), ("קּ", "hebrew")):
+        got = langid.scripts_of(langid.code_points(np.frombuffer(text.encode(), np.uint8)))
+        assert {langid.SCRIPTS[k - 1] for k in got[got > 0]} == {script}, text
+    assert not langid.scripts_of(langid.code_points(np.frombuffer("12 .,！？…٠".encode(), np.uint8))).any()
