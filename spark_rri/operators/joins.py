@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..shared import stored
 from .scans import placed_in_group
 
-#: Bits of a digit of lengths in ``overlap_anti_join``.
-DIGIT = 3
+#: Bits of a digit of lengths in ``latest_around``, and spans of a cell that ``overlap_anti_join`` joins row by row.
+DIGIT, CROWD = 3, 64
 
 
 def pair_lattice(left: DataFrame, right: DataFrame, key: str, contacts: Column) -> DataFrame:
@@ -101,16 +101,42 @@ def overlap_anti_join(spans: DataFrame, part: str, start: str, end: str, order:
     """Drops a span of which a later one of the same part covers more than half; order is a key of the part's spans, start and end are integers.
 
     A span y covers more than half of x just if it holds x's middle within and is longer than half
-    of x. So each span hands its order to the dyadic intervals it is made of, by length, and a
+    of x. So each span lies in the one or two cells of its length's power of two, and a middle asks
+    its cell of each power from half its own length on. Cells of more than CROWD spans are not
+    joined row by row: ``latest_around`` answers for them. Spans without length neither cover nor drop.
+    """
+    b = spans.filter(F.col(end) > F.col(start)).select(part, F.col(order).alias("__o"), F.col(start).cast("long").alias("__s"), F.col(end).cast("long").alias("__e"))
+    sized = b.withColumn("__k", F.length(F.bin(F.col("__e") - F.col("__s") - 1)))  # 2**k is the length at least
+    keys = [part, "__k", "__bin"]
+    cells = sized.select("*", F.explode(F.array_distinct(F.array(F.expr("shiftright(__s, __k)"), F.expr("shiftright(__e - 1, __k)")))).alias("__bin"))
+    held = cells.groupBy(*keys).count()
+    fullest = {r["__k"]: r["most"] for r in held.groupBy("__k").agg(F.max("count").alias("most")).collect()}
+    if not fullest:
+        return spans
+    level = F.explode(F.filter(F.array(*[F.lit(k) for k in sorted(fullest)]), lambda k: k >= F.col("__own") - 1)).alias("__k")
+    asks = sized.withColumnRenamed("__k", "__own").select(part, "__o", "__s", "__e", level).withColumn("__bin", F.expr("shiftright(__s + __e, __k + 1)"))
+    crowded = held.filter(F.col("count") > CROWD).select(*keys) if max(fullest.values()) > CROWD else None
+    if crowded is not None:
+        asking, around = (df.join(crowded, keys, "left_semi").select(*b.columns).distinct() for df in (asks, cells))
+        cells = cells.join(crowded, keys, "left_anti")
+    x = asks.select(*keys, *[F.col(c).alias(f"__x{c}") for c in b.columns if c != part])
+    covers = F.expr("__o > __x__o and 2 * __s < __x__s + __x__e and __x__s + __x__e < 2 * __e and 2 * (__e - __s) > __x__e - __x__s")
+    met = x.join(cells, keys).filter(covers).select(part, F.col("__x__o").alias(order))
+    if crowded is not None:
+        met = met.union(latest_around(asking, around, part))
+    return spans.join(met.distinct(), [part, order], "left_anti").select(*[F.col(f"`{c}`") for c in spans.columns])
+
+
+def latest_around(asking: DataFrame, spans: DataFrame, part: str) -> DataFrame:
+    """(part, __o) of the asking rows of which a later one of the spans (both: part, __o, __s, __e) covers more than half.
+
+    Each span hands its order to the dyadic intervals it is made of, by length, and a
     middle asks the intervals around it for the latest order among lengths of over half of its
     own. Lengths are told apart digit by digit: of a longer one some digit is greater and all
     before it are equal. Every span makes rows for the logarithm of the lengths, whatever the number
-    of spans it overlaps; spans without length neither cover nor drop.
+    of spans it overlaps.
     """
-    b = spans.filter(F.col(end) > F.col(start)).select(part, F.col(order).alias("__o"), F.col(start).cast("long").alias("__s"), F.col(end).cast("long").alias("__e"))
-    longest = b.agg(F.max(F.col("__e") - F.col("__s"))).first()[0]
-    if longest is None:
-        return spans
+    longest = asking.union(spans).agg(F.max(F.col("__e") - F.col("__s"))).first()[0] or 1
     high, digits = (2 * longest).bit_length(), -(-(2 * longest).bit_length() // DIGIT)
     level = F.explode(F.sequence(F.lit(0), F.lit(high))).alias("__k")
     place = F.explode(F.sequence(F.lit(0), F.lit(digits - 1))).alias("__d")
@@ -118,7 +144,7 @@ def overlap_anti_join(spans: DataFrame, part: str, start: str, end: str, order:
     keys = [part, "__k", "__bin", "__d", "__prefix"]
 
     # the whole numbers from 2s + 1 to 2e - 1 as dyadic intervals: at most one at either end of each level
-    own = b.select(part, "__o", (2 * (F.col("__e") - F.col("__s"))).alias("__length"), (2 * F.col("__s") + 1).alias("__lo"), (2 * F.col("__e")).alias("__hi"), level)
+    own = spans.select(part, "__o", (2 * (F.col("__e") - F.col("__s"))).alias("__length"), (2 * F.col("__s") + 1).alias("__lo"), (2 * F.col("__e")).alias("__hi"), level)
     own = own.withColumns({"__a": F.expr("-shiftright(-__lo, __k)"), "__b": F.expr("shiftright(__hi, __k)")})
     odd = lambda c: F.col(c).bitwiseAND(F.lit(1)) != 0
     left = F.when(odd("__a") & (F.col("__a") < F.col("__b")), F.col("__a"))
@@ -127,11 +153,10 @@ def overlap_anti_join(spans: DataFrame, part: str, start: str, end: str, order:
     pieces = pieces.select("*", place).select(part, "__k", "__bin", "__d", prefix, digit, "__o")
     latest = pieces.groupBy(*keys).agg(*[F.max(F.when(F.col("__digit") > v, F.col("__o"))).alias(f"__over{v}") for v in range((1 << DIGIT) - 1)])
 
-    asked = b.select(part, "__o", (F.col("__e") - F.col("__s")).alias("__length"), (F.col("__s") + F.col("__e")).alias("__middle"), level)
+    asked = asking.select(part, "__o", (F.col("__e") - F.col("__s")).alias("__length"), (F.col("__s") + F.col("__e")).alias("__middle"), level)
     asked = asked.select("*", place).select(part, "__o", "__k", F.expr("shiftright(__middle, __k)").alias("__bin"), "__d", prefix, digit)
     found = F.array(*[F.col(f"__over{v}") for v in range((1 << DIGIT) - 1)])
-    met = asked.filter(F.col("__digit") < (1 << DIGIT) - 1).join(latest, keys).filter(F.col("__o") < found[F.col("__digit")])
-    return spans.join(met.select(part, F.col("__o").alias(order)).distinct(), [part, order], "left_anti").select(*[F.col(f"`{c}`") for c in spans.columns])
+    return asked.filter(F.col("__digit") < (1 << DIGIT) - 1).join(latest, keys).filter(F.col("__o") < found[F.col("__digit")]).select(part, "__o")
 
 
 def distinct_contacts(contacts: DataFrame, more: DataFrame, ids: list[str], parts: int | None) -> DataFrame:

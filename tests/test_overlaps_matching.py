@@ -37,6 +37,26 @@ def test_rows_of_a_dense_part_grow_with_its_spans(spark, monkeypatch):
     assert counts[2] < 5 * counts[0] < 5 * 250 * 60
 
 
+@pytest.mark.parametrize("crowd", [0, 2, 10**9])
+def test_overlaps_by_cells_and_by_intervals(spark, monkeypatch, crowd):
+    """All cells crowded, some, and none."""
+    monkeypatch.setattr(joins, "CROWD", crowd)
+    rng = random.Random(crowd)
+    spans = [(rng.choice(["a", "b", None]), at := rng.choice([rng.randint(-90, 90), -(1 << 20)]), at + rng.choice([0, 1, 2, 3, 4, 8, 9, 64, rng.randint(0, 90), 1 << 21]), k) for k in range(200)]
+    rows = spark.createDataFrame(spans, "part string, a long, b long, o int")
+    assert {(r["part"], r["o"]) for r in joins.overlap_anti_join(rows, "part", "a", "b", "o").collect()} == survivors(spans)
+
+
+def test_few_rows_where_spans_lie_apart(spark, monkeypatch):
+    """Spans of one length that hardly meet make a few rows each, not rows for every power and digit of the lengths."""
+    counts = []
+    keep = type(spark.range(1)).join
+    monkeypatch.setattr(type(spark.range(1)), "join", lambda self, other, on=None, how="inner": counts.append(self.count() + other.count()) or keep(self, other, on, how))
+    spans = spark.range(2000).select((F.col("id") % 40).alias("part"), (F.col("id") * 500).alias("a"), (F.col("id") * 500 + 6000).alias("b"), F.col("id").alias("o"))
+    assert joins.overlap_anti_join(spans, "part", "a", "b", "o").count() == 2000
+    assert counts and sum(counts) < 2000 * 10
+
+
 def greedy(cells):
     used_a, used_b, out = set(), set(), set()
     for p, a, b, c in sorted((x for x in cells if None not in x), key=lambda x: (x[3], x[1], x[2])):
