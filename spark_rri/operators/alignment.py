@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.substitution import BLOSUM62, symmetric
+from ..shared import enough_parts
 
 #: Cells of the pairs that are aligned in one go; a larger pair goes alone.
 CELLS = 1 << 22
+#: Rows whose pairs are aligned and joined in one task.
+PAIRS_A_TASK = 20_000
 FOUND = "__a string, __b string, a_index array<int>, b_index array<int>, score double, identity double"
 #: Stands behind the end of a sequence; faces no letter.
 PAD, NEVER = 0, -1e9
@@ -149,8 +152,10 @@ def sequence_map(pairs: DataFrame, a: str, b: str, scores: Mapping[tuple[str, st
     """
     table = score_table(scores)
     left, right = F.translate(a, "-", "X"), F.translate(b, "-", "X")
-    told = pairs.withColumns({"__a": F.coalesce(left, F.lit("")), "__b": F.coalesce(right, F.lit(""))})
-    todo = told.filter("__a != __b and __a != '' and __b != ''").select("__a", "__b").distinct()
+    parts = enough_parts(pairs, PAIRS_A_TASK)
+    # rows travel by a hash of their pair; the texts are compared where they meet
+    told = pairs.withColumns({"__a": F.coalesce(left, F.lit("")), "__b": F.coalesce(right, F.lit(""))}).withColumn("__pair", F.xxhash64("__a", "__b")).repartition(parts, "__pair")
+    todo = told.filter("__a != __b and __a != '' and __b != ''").select("__pair", "__a", "__b").distinct().select("__a", "__b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -160,10 +165,8 @@ def sequence_map(pairs: DataFrame, a: str, b: str, scores: Mapping[tuple[str, st
 
     every = F.when(F.col("__a") != "", F.sequence(F.lit(0), F.length("__a") - 1)).otherwise(F.array().cast("array<int>"))
     same = F.col("__a") == F.col("__b")
-    # rows travel by a hash of their pair; the texts are compared where they meet
-    named = lambda df: df.withColumn("__pair", F.xxhash64("__a", "__b"))
-    made = named(todo.mapInPandas(run, FOUND)).withColumnsRenamed({"__a": "__x", "__b": "__y", "__pair": "__made"})
-    out = named(told).join(made, F.expr("__pair = __made and __a = __x and __b = __y"), "left").drop("__pair", "__made", "__x", "__y")
+    made = todo.mapInPandas(run, FOUND).withColumn("__made", F.xxhash64("__a", "__b")).withColumnsRenamed({"__a": "__x", "__b": "__y"}).repartition(parts, "__made")
+    out = told.join(made, F.expr("__pair = __made and __a = __x and __b = __y"), "left").drop("__pair", "__made", "__x", "__y")
     out = out.withColumns({
         "a_index": F.when(same, every).otherwise(F.coalesce("a_index", F.array().cast("array<int>"))),
         "b_index": F.when(same, every).otherwise(F.coalesce("b_index", F.array().cast("array<int>"))),
