@@ -34,3 +34,32 @@ def test_means_of_both_ways(spark):
     assert turned.columns == ["orientation", "k", "a", "b", "s"]
     assert {tuple(r) for r in turned.filter("k = 'm'").collect()} == {("d", "m", 1, 2, 7.0), ("t", "m", 2, 1, 7.0)}
     assert turned.filter(F.col("k").isNull()).count() == 4
+
+
+def test_blocks_of_a_large_group(spark, monkeypatch):
+    """Every pair once with many pieces of either side; more tasks than groups."""
+    from spark_rri.operators import joins
+
+    monkeypatch.setattr(joins, "SIDE_OF_BLOCK", 7)
+    monkeypatch.setattr(joins, "PAIRS_A_TASK", 50)
+    left = spark.range(40).selectExpr("nullif(id % 3, 2) as g", "id as a")
+    right = spark.range(55).selectExpr("nullif(id % 3, 2) as g", "id as b")
+    out = joins.pair_lattice(left, right, "g", F.col("a") >= F.col("b"))
+    want = sorted((a, b, 1 if a >= b else -1) for a in range(40) for b in range(55) if a % 3 == b % 3 != 2)
+    assert sorted(map(tuple, out.select("a", "b", "categ").collect())) == want
+    parts = -(-len(want) // 50)
+    assert f", {parts}), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_alignments_in_parts_by_rows(spark, monkeypatch):
+    from spark_rri.operators import alignment as al
+
+    monkeypatch.setattr(al, "PAIRS_A_TASK", 10)
+    rows = spark.createDataFrame([(k, "ACDEFGHIKL"[: 4 + k % 5], "ACDEFWHIKL"[: 4 + k % 7]) for k in range(95)], "k int, a string, b string")
+    out = al.sequence_map(rows, "a", "b")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert ", 10), REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+    table = al.score_table()
+    for r in out.collect():
+        want = (None, list(range(len(r["a"]))), list(range(len(r["b"])))) if r["a"] == r["b"] else al.align(r["a"], r["b"], table, 11.0, 0.5)
+        assert (r["score"], r["a_index"], r["b_index"]) == want
