@@ -63,3 +63,21 @@ def test_alignments_in_parts_by_rows(spark, monkeypatch):
     for r in out.collect():
         want = (None, list(range(len(r["a"]))), list(range(len(r["b"])))) if r["a"] == r["b"] else al.align(r["a"], r["b"], table, 11.0, 0.5)
         assert (r["score"], r["a_index"], r["b_index"]) == want
+
+
+def test_gabriel_graph_of_a_dense_cell_keeps_few_pairs(spark, monkeypatch):
+    """400 points within one cut-off: what is left of their 79,800 pairs before rows travel is a few a point, and exact in the end."""
+    import random
+
+    from spark_rri.operators import spatial
+
+    rng, kept = random.Random(3), []
+    stored = spatial.stored
+    monkeypatch.setattr(spatial, "stored", lambda df, *by: kept.append(out := stored(df, *by)) or out)
+    at = {k: tuple(rng.random() * 0.05 for _ in range(3)) for k in range(399)}
+    at[399] = at[0]
+    d2 = lambda p, q: sum((a - b) ** 2 for a, b in zip(p, q, strict=True))
+    want = {(i, j) for i in at for j in at if i < j and not any(d2(at[i], p) + d2(at[j], p) < d2(at[i], at[j]) - 1e-12 for p in at.values())}
+    rows = spark.createDataFrame([(1, k, *p) for k, p in at.items()], "complex_id int, node int, x double, y double, z double")
+    assert {(r["src"], r["dst"]) for r in spatial.gabriel_graph(rows, 0.1, ["complex_id"]).collect()} == want
+    assert kept[0].count() < 400 * 30
