@@ -6,6 +6,9 @@ other is copied to the 27 cells around it, so the join is an equi join and never
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from ..shared import enough_parts, stored
 
 AXES = ("x", "y", "z")
 CELL = ("__cx", "__cy", "__cz")
+#: Coordinates beyond, infinite ones among them, share the last cells.
+LAST_CELL = float(1 << 61)
 
 
 def distance2(a: str = "l", b: str = "r") -> Column:
@@ -21,10 +26,10 @@ def distance2(a: str = "l", b: str = "r") -> Column:
 
 def range_join(left: DataFrame, right: DataFrame, cutoff: float, keys: list[str], condition: Column | None = None, strict: bool = False, parts: int | None = None) -> DataFrame:
     """Pairs (aliases l and r) of equal keys within the cut-off; strict excludes the cut-off itself. parts: tasks, where a few rows make many pairs."""
-    own = left.withColumns({n: F.floor(F.col(c) / cutoff) for n, c in zip(CELL, AXES, strict=True)})
-    spread = right.withColumns({n: F.explode(F.array(*[F.floor(F.col(c) / cutoff) + k for k in (-1, 0, 1)])) for n, c in list(zip(CELL, AXES, strict=True))[:1]})
-    for n, c in list(zip(CELL, AXES, strict=True))[1:]:
-        spread = spread.withColumn(n, F.explode(F.array(*[F.floor(F.col(c) / cutoff) + k for k in (-1, 0, 1)])))
+    at = lambda c: F.when(F.col(c).isNotNull(), F.floor(F.least(F.greatest(F.col(c) / cutoff, F.lit(-LAST_CELL)), F.lit(LAST_CELL))))
+    own, spread = left.withColumns({n: at(c) for n, c in zip(CELL, AXES, strict=True)}), right
+    for n, c in zip(CELL, AXES, strict=True):
+        spread = spread.withColumn(n, F.explode(F.array(*[at(c) + k for k in (-1, 0, 1)])))
     if parts:
         own, spread = (side.repartition(parts, *keys, *CELL) for side in (own, spread))
     l, r = own.alias("l"), spread.alias("r")
@@ -45,10 +50,41 @@ def contact_pairs(points: DataFrame, cutoff: float, key: str = "complex_id", par
 
 def neighbour_edges(points: DataFrame, cutoff: float, keys: list[str], node: str = "node") -> DataFrame:
     """Both directions of all pairs of different nodes within the cut-off, with their distance."""
-    pairs = range_join(points, points, cutoff, keys, F.col(f"l.{node}") != F.col(f"r.{node}"))
+    return neighbours_of(points, points, cutoff, keys, node)
+
+
+def neighbours_of(some: DataFrame, points: DataFrame, cutoff: float, keys: list[str], node: str = "node") -> DataFrame:
+    """Edges from some points to other nodes within the cut-off, with their distance."""
+    pairs = range_join(some, points, cutoff, keys, F.col(f"l.{node}") != F.col(f"r.{node}"))
     return pairs.select(*[F.col(f"l.{k}").alias(k) for k in keys], F.col(f"l.{node}").alias("src"), F.col(f"r.{node}").alias("dst"), F.sqrt(distance2()).alias("dist"))
 
 
+#: Coordinates of this many cut-offs are beyond the cells of ``linking_edges``.
+FAR = float(1 << 30)
+
+
+def linking_edges(points: DataFrame, cutoff: float, keys: list[str], node: str = "node") -> DataFrame:
+    """Edges (keys, src, dst) that connect just what ``neighbour_edges`` connects: one for a point and some for a cell, not all pairs.
+
+    A cell's diagonal is the cut-off, so its points are tied to the least of them; cells that hold a pair within the cut-off
+    are tied by their least nodes, found inside the join. Points too far out for exact cells have all their edges.
+    """
+    size = cutoff / math.sqrt(3) * (1 - 1e-9)
+    given = points.select(*keys, node, *AXES).dropna()
+    far = F.greatest(*[F.abs(F.col(c)) for c in AXES]) >= FAR * cutoff  # NaN is the greatest
+    cell = [*keys, *CELL]
+    placed = given.filter(~far).withColumns({n: F.floor(F.col(c) / size) for n, c in zip(CELL, AXES, strict=True)})
+    tied = stored(placed.join(placed.groupBy(*cell).agg(F.min(node).alias("__least")), cell))
+    inside = tied.select(*keys, F.col("__least").alias("src"), F.col(node).alias("dst"))
+    ahead = [w for w in itertools.product(range(-2, 3), repeat=3) if w > (0, 0, 0)]
+    ways = F.explode(F.array(*[F.struct(*[F.lit(k).alias(n) for k, n in zip(w, CELL, strict=True)]) for w in ahead])).alias("__way")
+    asks = tied.select("*", ways).withColumns({n: F.col(n) + F.col(f"__way.{n}") for n in CELL}).drop("__way")
+    met = asks.alias("l").join(tied.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in cell]).filter(distance2() <= cutoff * cutoff)
+    across = met.select(*[F.col(f"l.{k}").alias(k) for k in keys], F.col("l.__least").alias("src"), F.col("r.__least").alias("dst")).distinct()
+    out = neighbours_of(given.filter(far), given, cutoff, keys, node).drop("dist")
+    return inside.filter("src != dst").unionByName(across).unionByName(out)
+
+
 def contact_number(points: DataFrame, cutoff: float, keys: list[str], node: str = "node") -> DataFrame:
     """Per node, the other nodes within the cut-off; 0 without any."""
     n = neighbour_edges(points, cutoff, keys, node).groupBy(*keys, F.col("src").alias(node)).agg(F.count("*").alias("n"))

@@ -199,10 +199,10 @@ TIGHT = EDGES.replace(f"<= {CUT * CUT!r}", "<= 0.0025")
 
 @query(f"WITH RECURSIVE {POINTS}, {TIGHT}, reach AS (SELECT node AS u, node AS label FROM points UNION SELECT e.dst, r.label FROM reach r JOIN edges e ON e.src = r.u) SELECT u AS node, min(label) AS label FROM reach GROUP BY u")
 def connected_groups(spark, sf):
-    from ..operators.spatial import neighbour_edges
+    from ..operators.spatial import linking_edges
 
     p = points(spark, sf)
-    return groups.connected_groups(p, neighbour_edges(p, 0.05, ["complex_id"]), "node", "src", "dst")
+    return groups.connected_groups(p, linking_edges(p, 0.05, ["complex_id"]), "node", "src", "dst")
 
 
 FAMILIES = "f AS (SELECT p_partkey AS k, 'L' AS side, p_brand || p_size::VARCHAR AS family FROM part UNION ALL SELECT p_partkey, 'R', p_type || (p_size % 5)::VARCHAR FROM part)"

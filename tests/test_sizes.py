@@ -1,8 +1,12 @@
 """What one task holds stays the same when tables grow."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from spark_rri.operators import groups, spatial
 from spark_rri.plans import mapping_queries, more_queries  # noqa: F401
 from spark_rri.plans import queries as q
 
@@ -81,3 +85,28 @@ def test_gabriel_graph_of_a_dense_cell_keeps_few_pairs(spark, monkeypatch):
     rows = spark.createDataFrame([(1, k, *p) for k, p in at.items()], "complex_id int, node int, x double, y double, z double")
     assert {(r["src"], r["dst"]) for r in spatial.gabriel_graph(rows, 0.1, ["complex_id"]).collect()} == want
     assert kept[0].count() < 400 * 30
+
+
+def test_linking_edges_connect_the_same(spark):
+    """Groups of linking edges are those of all pairs within the cut-off; a crowded place gives an edge a point, not one a pair."""
+    rng = random.Random(11)
+    rows = [(i, i % 2, *[rng.uniform(-1, 1) for _ in range(3)]) for i in range(300)]
+    rows += [(300 + i, 0, *[5 + rng.uniform(0, 0.05) for _ in range(3)]) for i in range(200)]
+    rows += [(500, 0, None, 0.0, 0.0), (501, 0, math.nan, 0.0, 0.0), (502, 0, math.inf, 0.0, 0.0), (503, 0, 1e18, 0.0, 0.0), (504, 0, 1e18, 0.1, 0.0), (505, 0, 1e18, 3.0, 0.0), (506, 0, 7.0, 0.0, 0.0), (507, 0, 7.25, 0.0, 0.0), (508, 0, None, 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "node int, complex_id int, x double, y double, z double")
+    edges = spatial.linking_edges(points, 0.25, ["complex_id"])
+    label = {r[0]: r[0] for r in rows}
+
+    def root(a):
+        while label[a] != a:
+            a = label[a]
+        return a
+
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and a[1] == b[1] and None not in (a[2], b[2]) and sum((x - y) ** 2 for x, y in zip(a[2:], b[2:], strict=True)) <= 0.25 * 0.25:
+                low, high = sorted((root(a[0]), root(b[0])))
+                label[high] = low
+    got = {r["node"]: r["label"] for r in groups.connected_groups(points, edges, "node", "src", "dst").collect()}
+    assert got == {n: root(n) for n in label} and len(set(got.values())) > 10
+    assert edges.filter("src >= 300 and src < 500 and dst < 500").count() < 2 * 200
