@@ -259,7 +259,7 @@ def pieces(parts: Iterator[tuple[np.ndarray, ...]], size: int) -> Iterator[tuple
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def _averaged(data: DataFrame, weight: np.ndarray, shards: int, deal: Column, steps: Callable[[np.ndarray, Iterator[pa.RecordBatch]], int]) -> np.ndarray:
+def averaged(data: DataFrame, weight: np.ndarray, shards: int, deal: Column, steps: Callable[[np.ndarray, Iterator[pa.RecordBatch]], int]) -> np.ndarray:
     """Weights learnt from the shards, each from the same start; their average by tokens.
 
     deal is a number of each row, the same for rows that are equal: it gives shard and order.
@@ -421,7 +421,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 seen += len(leaf)
             return seen
 
-        model.weight = _averaged(learned.filter(in_round(by_text, r)), model.weight, shards(n), by_text, upper)
+        model.weight = averaged(learned.filter(in_round(by_text, r)), model.weight, shards(n), by_text, upper)
     shared = spark.sparkContext.broadcast(model.weight)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -481,7 +481,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 learn()
             return seen
 
-        lower_weight = _averaged(inner.filter(in_round(by_token, r)), lower_weight, shards(n_rare), by_token, lower)
+        lower_weight = averaged(inner.filter(in_round(by_token, r)), lower_weight, shards(n_rare), by_token, lower)
     lower_shared = spark.sparkContext.broadcast(lower_weight)
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

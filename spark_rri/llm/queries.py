@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import laesa, langid, maxent, merkle, oracles, packing, partenum, repeats, rules, substrings, tiling, toxicity, wordpiece
 from .common import fold, table
+from .storage import Scratch
 
 
 def tokenizer_path(name: str) -> str:
@@ -59,7 +60,7 @@ def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = fold(3) == 1
-    labelled = docs.select("doc_id", "text").filter(~held).join(labels.select("doc_id", "toxic"), "doc_id")
+    labelled = docs.select("doc_id", "text").filter(~held).join(Scratch(spark).beside(labels.select("doc_id", "toxic")), "doc_id")
     model = toxicity.fit(labelled)
     out = toxicity.score(docs, model)
     return out.select("doc_id", held.alias("held_out"), "score", "predicted")

@@ -117,3 +117,20 @@ def test_thresholds_by_group(spark):
     empty = toxicity.score(spark.createDataFrame([(1, None), (2, ""), (3, " ")], "doc_id long, text string"), model).collect()
     assert len(empty) == 3 and all(0 <= r["score"] <= 1 for r in empty)
     assert toxicity.fit(docs.filter(F.lit(False))) is None
+
+
+@pytest.mark.parametrize("a_shard", [1 << 20, 1 << 15])
+def test_toxicity_learns_from_all_texts(spark, monkeypatch, a_shard):
+    """500 bad words in six texts each, 3000 texts of either label: half of them would leave most words under three texts to learn from."""
+    monkeypatch.setattr(toxicity, "WORDS_PER_SHARD", a_shard)
+    rng = random.Random(11)
+    rows = []
+    for k in range(6000):
+        text = tongue(rng, [f"c{n}" for n in range(12)], [f"r{n}" for n in range(60)], 12)
+        if k % 2:
+            text[rng.randrange(12)] = f"{k // 2 % 500:03}bad"
+        rows.append((k, " ".join(text), k % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs)).join(docs, "doc_id").groupBy("toxic").agg(F.avg("predicted")).collect()
+    share = dict(map(tuple, got))
+    assert share[1] > 0.9 and share[0] < 0.1
