@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spark_rri.llm import tiling, toxicity
+from spark_rri.llm.sampling import balanced_rows
 
 
 def plain_tiles(doc, item, least):
@@ -121,16 +122,20 @@ def test_thresholds_by_group(spark):
 
 @pytest.mark.parametrize("a_shard", [1 << 20, 1 << 15])
 def test_toxicity_learns_from_all_texts(spark, monkeypatch, a_shard):
-    """500 bad words in six texts each, 3000 texts of either label: half of them would leave most words under three texts to learn from."""
-    monkeypatch.setattr(toxicity, "WORDS_PER_SHARD", a_shard)
+    """One bad word marks the texts of a sample of 1500 a label, another one the rest."""
+    monkeypatch.setattr(toxicity, "WORDS_PER_SHARD", a_shard, raising=False)
     rng = random.Random(11)
+    plain = spark.createDataFrame([(k, k % 2) for k in range(6000)], "doc_id long, toxic int")
+    drawn = {r["doc_id"] for r in balanced_rows(plain, "toxic", 1500)[0].collect()}
     rows = []
     for k in range(6000):
         text = tongue(rng, [f"c{n}" for n in range(12)], [f"r{n}" for n in range(60)], 12)
         if k % 2:
-            text[rng.randrange(12)] = f"{k // 2 % 500:03}bad"
+            text[rng.randrange(12)] = "drawnbad" if k in drawn else "otherbad"
         rows.append((k, " ".join(text), k % 2))
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    got = toxicity.score(docs, toxicity.fit(docs)).join(docs, "doc_id").groupBy("toxic").agg(F.avg("predicted")).collect()
-    share = dict(map(tuple, got))
-    assert share[1] > 0.9 and share[0] < 0.1
+    got = toxicity.score(docs, toxicity.fit(docs)).join(docs, "doc_id").collect()
+    for part in (True, False):
+        for label in (0, 1):
+            own = [r["predicted"] for r in got if (r["doc_id"] in drawn) is part and r["toxic"] == label]
+            assert len(own) > 1000 and abs(np.mean(own) - label) < 0.1
