@@ -6,7 +6,8 @@ probabilities, and a Viterbi pass with a penalty for each change of language lab
 words, so a text's spans come out in one go. The text's language is the one with most
 letters under its label.
 
-The model is fitted on a bounded sample: about ``per_language`` texts of each language.
+The model is fitted on all texts with a language: tasks count n-grams and letters, Spark adds
+the counts up, and the driver sees one sum for each language and bucket.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; a text whose letters
 are all of scripts never learned gets the most common learned language with score 0; repeated
@@ -25,13 +26,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, Rolling, chunks, counts_of, word_hashes, words
-from .sampling import balanced_sample
+from .arrays import LOWER, Rolling, chunks, counts_of, owners, word_hashes, words
 from .storage import bounded_batches
 
 UNKNOWN = "und"
-#: Texts of the sample that are counted at a time.
-FEW = 32
+#: Languages whose counts a task holds at a time.
+MANY = 64
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
 #: First and last code point of the letters of some scripts (Unicode blocks).
@@ -204,28 +204,67 @@ def viterbi(score: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
     return label
 
 
-def fit(labelled: DataFrame, per_language: int = 500, penalty: float = 8.0, smoothing: float = 0.5, least_share: float = 0.02, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
-    """Learn from about ``per_language`` texts of each language; None if there are none."""
-    rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
-    sample, _ = balanced_sample(rows, "lang", per_language)
-    languages = sorted({r["lang"] for r in sample})
+def count_grams(raw: np.ndarray, at: np.ndarray, kind: np.ndarray, kinds: int) -> np.ndarray:
+    """N-grams of texts by kind: kinds x buckets of all orders. Each text stands between blanks, so no gram crosses texts."""
+    gap = max(ORDERS) + 1
+    n, owner = len(at) - 1, owners(at)
+    place = np.arange(len(raw)) + (owner + 1) * gap
+    padded = np.full(len(raw) + (n + 1) * gap, 32, np.uint8)
+    padded[place] = LOWER[raw]
+    starts = np.concatenate([place, at[:-1] + np.arange(1, n + 1) * gap - 1])  # of a text's bytes and of the blank before it
+    of = np.concatenate([kind[owner], kind]) * BUCKETS
+    roll = Rolling(padded)
+    return np.concatenate([np.bincount(of + (roll.grams(order)[starts] >> np.uint64(48)).astype(np.int64), minlength=kinds * BUCKETS).reshape(kinds, BUCKETS) for order in ORDERS], axis=1)
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """lang, key, n over all texts: of every gram's bucket, then of every script's letters, then of texts."""
+    n_scripts = len(SCRIPTS) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang, n in held.items():
+                key = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key)), pa.array(key), pa.array(n[key])], ["lang", "key", "n"])
+            held.clear()
+
+        for batch in batches:
+            for part, raw, at in chunks(batch):
+                column = part.column("lang").dictionary_encode()
+                names, kind = column.dictionary.to_pylist(), column.indices.to_numpy().astype(np.int64)
+                starts, ends, wa = words(raw, at)
+                own, s, e, index = distinct_words(raw, starts, ends)
+                script, letters = word_scripts(own, s, e)
+                by_script = np.bincount(kind[owners(wa)] * n_scripts + script[index], letters[index], minlength=len(names) * n_scripts).reshape(len(names), -1)
+                all_counts = np.concatenate([count_grams(raw, at, kind, len(names)), by_script.astype(np.int64), np.bincount(kind, minlength=len(names))[:, None]], axis=1)
+                for lang, n in zip(names, all_counts, strict=True):
+                    if lang in held:
+                        held[lang] += n
+                    else:
+                        held[lang] = n.copy()
+                if len(held) > MANY:
+                    yield from told()
+        yield from told()
+
+    return rows.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+
+
+def fit(labelled: DataFrame, penalty: float = 8.0, smoothing: float = 0.5, least_share: float = 0.02, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
+    """Learn from all texts that have a language; None if there are none."""
+    rows = bounded_batches(labelled).select(F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
+    told = _counted(rows).toArrow()
+    column = told.column("lang").combine_chunks().dictionary_encode()
+    names = column.dictionary.to_pylist()
+    languages = sorted(names)
     if not languages:
         return None
-    counts = np.zeros((len(ORDERS) * BUCKETS, len(languages)))
-    letters = np.zeros((len(SCRIPTS) + 1, len(languages)))
-    texts = np.zeros(len(languages))
-    for k, lang in enumerate(languages):
-        mine = [bytes(r["text"]) for r in sample if r["lang"] == lang]
-        texts[k] = len(mine)
-        for low in range(0, len(mine), FEW):
-            raw = np.frombuffer(b" ".join(mine[low : low + FEW]), np.uint8)
-            starts, ends, _ = words(raw, np.array([0, len(raw)]))
-            script, n = word_scripts(raw, starts, ends)
-            np.add.at(letters[:, k], script, n)
-            padded = np.concatenate([[32], LOWER[raw], [32] * (max(ORDERS) + 1)]).astype(np.uint8)
-            for i, order in enumerate(ORDERS):
-                bucket = (Rolling(padded).grams(order) >> np.uint64(48)).astype(np.int64)[: len(raw) + 1] + (i << 16)
-                counts[:, k] += np.bincount(bucket, minlength=len(counts))
+    n_grams = len(ORDERS) * BUCKETS
+    every = np.zeros((n_grams + len(SCRIPTS) + 2, len(languages)))
+    number = np.array([languages.index(x) for x in names])
+    every[told.column("key").to_numpy(), number[column.indices.to_numpy()]] = told.column("n").to_numpy()
+    counts, letters, texts = every[:n_grams], every[n_grams:-1], every[-1]
     log = np.empty_like(counts)
     for i in range(len(ORDERS)):
         part = slice(i * BUCKETS, (i + 1) * BUCKETS)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spark_rri.llm import tiling, toxicity
+from spark_rri.llm import langid, tiling, toxicity
 from spark_rri.llm.sampling import balanced_rows
 
 
@@ -139,3 +139,22 @@ def test_toxicity_learns_from_all_texts(spark, monkeypatch, a_shard):
         for label in (0, 1):
             own = [r["predicted"] for r in got if (r["doc_id"] in drawn) is part and r["toxic"] == label]
             assert len(own) > 1000 and abs(np.mean(own) - label) < 0.1
+
+
+def test_language_learns_from_all_texts(spark):
+    """Counts are those of every text, not of a sample: a language's words that only texts outside a sample of 500 use are known too."""
+    plain = spark.createDataFrame([(k, "uv"[k % 2]) for k in range(3000)], "doc_id long, lang string")
+    drawn = {r["doc_id"] for r in balanced_rows(plain, "lang", 500)[0].collect()}
+    rng = random.Random(2)
+    stems = {(lang, part): ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(8)] for lang in "uv" for part in (True, False)}
+    rows = [(k, " ".join(rng.choices(stems["uv"[k % 2], k in drawn], k=10)), "uv"[k % 2]) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    got = langid.detect(docs, model, with_spans=False).join(docs, "doc_id").collect()
+    assert model.languages == ["u", "v"] and all(r["lang_pred"] == r["lang"] for r in got)
+    assert sum(r["score"] == 1 for r in got) > 0.99 * len(got)
+    texts = [b"ab a", b"", b"ab"]
+    raw, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    whole = langid.count_grams(raw, at, np.array([0, 1, 1]), 2)
+    alone = [langid.count_grams(np.frombuffer(t, np.uint8), np.array([0, len(t)]), np.array([0]), 1)[0] for t in texts]
+    assert (whole[0] == alone[0]).all() and (whole[1] == alone[1] + alone[2]).all() and whole.sum() == 3 * (5 + 1 + 3)
