@@ -55,6 +55,18 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
     assert f", {parts}), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_left_rows_of_a_lattice_pass_by(spark, monkeypatch):
+    """Left pieces are longer than the right ones, which are held; the right side is sent fewer times."""
+    from spark_rri.operators import joins
+
+    monkeypatch.setattr(joins, "SIDE_OF_BLOCK", 30)
+    side = spark.range(100).selectExpr("1 as g", "id * 37 % 101 as a")
+    out = joins.pair_lattice(side, side.withColumnRenamed("a", "b"), "g", F.col("a") >= F.col("b"))
+    assert out.select("a", "b").distinct().count() == out.count() == 10_000
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert " / 300.0)" in plan and " / 30.0)" in plan
+
+
 def test_alignments_in_parts_by_rows(spark, monkeypatch):
     from spark_rri.operators import alignment as al
 
