@@ -68,20 +68,21 @@ def linking_edges(points: DataFrame, cutoff: float, keys: list[str], node: str =
 
     A cell's diagonal is the cut-off, so its points are tied to the least of them; cells that hold a pair within the cut-off
     are tied by their least nodes, found inside the join. Points too far out for exact cells have all their edges.
+    Cells are merged, not sent to all tasks through the driver.
     """
     size = cutoff / math.sqrt(3) * (1 - 1e-9)
     given = points.select(*keys, node, *AXES).dropna()
     far = F.greatest(*[F.abs(F.col(c)) for c in AXES]) >= FAR * cutoff  # NaN is the greatest
     cell = [*keys, *CELL]
     placed = given.filter(~far).withColumns({n: F.floor(F.col(c) / size) for n, c in zip(CELL, AXES, strict=True)})
-    tied = stored(placed.join(placed.groupBy(*cell).agg(F.min(node).alias("__least")), cell))
+    tied = stored(placed.join(placed.groupBy(*cell).agg(F.min(node).alias("__least")).hint("merge"), cell))
     inside = tied.select(*keys, F.col("__least").alias("src"), F.col(node).alias("dst"))
     ahead = [w for w in itertools.product(range(-2, 3), repeat=3) if w > (0, 0, 0)]
     ways = F.explode(F.array(*[F.struct(*[F.lit(k).alias(n) for k, n in zip(w, CELL, strict=True)]) for w in ahead])).alias("__way")
     asks = tied.select("*", ways).withColumns({n: F.col(n) + F.col(f"__way.{n}") for n in CELL}).drop("__way")
-    met = asks.alias("l").join(tied.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in cell]).filter(distance2() <= cutoff * cutoff)
+    met = asks.alias("l").join(tied.alias("r").hint("merge"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in cell]).filter(distance2() <= cutoff * cutoff)
     across = met.select(*[F.col(f"l.{k}").alias(k) for k in keys], F.col("l.__least").alias("src"), F.col("r.__least").alias("dst")).distinct()
-    out = neighbours_of(given.filter(far), given, cutoff, keys, node).drop("dist")
+    out = neighbours_of(given.filter(far), given.hint("merge"), cutoff, keys, node).drop("dist")
     return inside.filter("src != dst").unionByName(across).unionByName(out)
 
 

@@ -122,3 +122,21 @@ def test_linking_edges_connect_the_same(spark):
     got = {r["node"]: r["label"] for r in groups.connected_groups(points, edges, "node", "src", "dst").collect()}
     assert got == {n: root(n) for n in label} and len(set(got.values())) > 10
     assert edges.filter("src >= 300 and src < 500 and dst < 500").count() < 2 * 200
+
+
+def test_connected_groups_send_nothing_through_the_driver(spark, monkeypatch):
+    """Cells, edges and labels are merged, however small; what is sent to all tasks passes through the driver in every round."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    plans, plain = [], DataFrame.checkpoint
+
+    def watched(self, *a, **b):
+        out = plain(self, *a, **b)
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(DataFrame, "checkpoint", watched)
+    points = spark.range(60).select(F.lit(1).alias("complex_id"), F.col("id").alias("node"), *[(F.col("id") % 20 * 0.9 + F.when(F.col("id") < 20, 0).otherwise(1e6 if c == "x" else 0)).alias(c) for c in "xyz"])
+    got = {r["node"]: r["label"] for r in groups.connected_groups(points, spatial.linking_edges(points, 2.0, ["complex_id"]), "node", "src", "dst").collect()}
+    assert got == {n: 0 if n < 20 else 20 for n in range(60)}
+    assert len(plans) > 3 and sum("Join" in p for p in plans) > 2 and not [p for p in plans if "Broadcast" in p]
